@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.jaccard import ngram_jaccard_join
+from quire.llm.license_scan import license_scan
 from quire.llm.line_dedup import line_dedup
+from quire.llm.secret_scan import secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,26 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), ngram=4, num=85, den=100)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, each a version of the path source/id; the ledger is empty before."""
+    found, _, _ = secret_scan(table(spark, sf_dir, "documents"), ["source", "doc_id"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later copies of line runs of 50 words or more."""
     return line_dedup(table(spark, sf_dir, "documents"), min_words=50).select("doc_id", "text", "lines_total", "lines_removed")
