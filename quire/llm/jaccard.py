@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -201,100 +201,133 @@ def _read_sets(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     return rows.select("set_id", "text").mapInArrow(_full(ngram), "set_id long, tokens array<long>")
 
 
-def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    width = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
-    chosen = sets.withColumnRenamed("doc_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", "low")
-    tokens = stored(chosen).select("set_id", "n", F.size("low").alias("q"), F.posexplode("low").alias("idx", "tok"))
+def _prefix_rows(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """``(set_id, n, tok, pos)``: the tokens of each set's prefix that another set holds there too, perhaps.
+
+    ``pos`` is the token's place in its set by the global order.
+    """
+    width = F.expr(_width(num, den))
+    chosen = stored(sets.withColumnRenamed("doc_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", "low"))
+    tokens = chosen.select("set_id", "n", F.posexplode("low").alias("idx", "tok"))
     counts = stored(tokens.groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1"))
-    shared = stored(tokens.join(counts, "tok").select("tok", "set_id", "n", "q", "idx", (F.col("cnt") > LONG_LIST).alias("hot")))
-    hot = counts.where(F.col("cnt") > LONG_LIST).select("tok")
+    shared = tokens.join(counts, "tok").select("tok", "set_id", "n", "idx", (F.col("cnt") > LONG_LIST).alias("hot"))
+    shared = stored(shared)
+    emitted = F.expr(f"least(n, {_width(num, den)} + (n + 19) div 20)")
 
     # sets that lose so many tokens to the end of the order that the emitted ones don't fill the prefix
-    lost = shared.where("hot").groupBy("set_id", "n", "q").agg(F.count("*").alias("hot_n")).where((F.col("q") < F.col("n")) & (F.col("q") - F.col("hot_n") < width))
+    lost = shared.where("hot").groupBy("set_id", "n").agg(F.count("*").alias("hot_n")).where((emitted < F.col("n")) & (emitted - F.col("hot_n") < width))
     again = stored(lost.select("set_id", "n").distinct())
     place = Window.partitionBy("set_id").orderBy("idx")
     whole = Window.partitionBy("set_id")
 
-    def prefixes(rows: DataFrame) -> DataFrame:
-        """Rows of a set with its tokens in hash order -> those of its prefix, with their place in the global order."""
-        before = F.coalesce(F.sum(F.col("hot").cast("long")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.withColumn("before", before).withColumn("all_hot", F.sum(F.col("hot").cast("long")).over(whole))
-        pos = F.when(F.col("hot"), F.col("q") - F.col("all_hot") + F.col("before")).otherwise(F.col("idx") - F.col("before"))
-        return rows.withColumn("pos", pos).where(F.col("pos") < width).select("tok", "set_id", "n", "pos")
-
-    if again.limit(1).count():
-        full = _read_sets(texts, again.select("set_id"), ngram).select("set_id", F.size("tokens").alias("q"), F.posexplode("tokens").alias("idx", "tok"))
-        marked = full.join(hot.withColumn("is_hot", F.lit(True)), "tok", "left").select("tok", "set_id", F.col("q").cast("long").alias("n"), "q", "idx", F.coalesce("is_hot", F.lit(False)).alias("hot"))
-        late = stored(prefixes(marked))
-        new = stored(late.select("tok").distinct().join(counts, "tok", "left_anti"))
-        extra = tokens.join(small(new), "tok", "left_semi").select("tok", "set_id", "n", "q", "idx", F.lit(False).alias("hot"))
-        shared = shared.unionByName(extra).join(small(again.select("set_id")), "set_id", "left_anti")
-        prefix = prefixes(shared).unionByName(late)
-    else:
-        prefix = prefixes(shared)
-    # a hot token of a set whose emitted tokens fill the prefix lies beyond it, so nothing else is missing
-
-    # groups of the same size and prefix
-    keyed = prefix.groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("prefix"))
+    def prefixes(rows: DataFrame, held) -> DataFrame:
+        hot = F.col("hot").cast("long")
+        before = F.coalesce(F.sum(hot).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        pos = F.when(F.col("hot"), held - F.col("all_hot") + F.col("before")).otherwise(F.col("idx") - F.col("before"))
+        rows = rows.withColumns({"before": before, "all_hot": F.sum(hot).over(whole)}).withColumn("pos", pos)
+        return rows.where(F.col("pos") < width).select("set_id", "n", "tok", "pos")
+
+    if not again.limit(1).count():
+        return prefixes(shared, emitted)
+    hot = counts.where(F.col("cnt") > LONG_LIST).select("tok", F.lit(True).alias("is_hot"))
+    full = _read_sets(texts, again.select("set_id"), ngram).select("set_id", F.size("tokens").cast("long").alias("n"), F.posexplode("tokens").alias("idx", "tok"))
+    late = full.join(hot, "tok", "left").select("tok", "set_id", "n", "idx", F.coalesce("is_hot", F.lit(False)).alias("hot"))
+    late = stored(prefixes(late, F.col("n")))
+    # tokens that only these sets and one other hold
+    new = stored(late.select("tok").distinct().join(counts, "tok", "left_anti"))
+    extra = tokens.join(small(new), "tok", "left_semi").select("tok", "set_id", "n", "idx", F.lit(False).alias("hot"))
+    rest = shared.unionByName(extra).join(small(again.select("set_id")), "set_id", "left_anti")
+    return prefixes(rest, emitted).unionByName(late)
+
+
+def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """Links (src, dst) that join the same components as all links do."""
+    keyed = _prefix_rows(texts, sets, ids, ngram, num, den).groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("prefix"))
     keyed = stored(keyed)
     grouped = keyed.groupBy("n", "prefix").agg(F.min("set_id").alias("group_id"), F.count("*").alias("members"))
     grouped = stored(grouped)
-    lists = grouped.select("group_id", "n", "members", F.explode("prefix").alias("p")).select(F.col("p.tok").alias("key"), F.col("p.pos").alias("pos"), "group_id", "n", "members")
-    sizes = lists.groupBy("key").agg(F.count("*").alias("m"), F.sum("members").alias("all"), F.min("group_id").alias("centre")).where("m > 1")
-    lists = stored(lists.join(sizes, "key"))
-    member = stored(keyed.join(grouped.where("members > 1"), ["n", "prefix"]).select("group_id", "set_id", "n"))
-    pair = pair_filter(num, den)
-
-    # round 0: short lists of groups in full, members against the first of their group
-    left, right = (lists.where(F.col("m") <= LONG_LIST).select("key", *[F.col(c).alias(f"{c}{s}") for c in ("group_id", "n", "pos")]) for s in "ab")
-    short = left.join(right, "key").where("group_ida < group_idb").where(pair).select(F.col("group_ida").alias("src"), F.col("group_idb").alias("dst")).distinct()
+    lists = grouped.select("group_id", "n", F.explode("prefix").alias("p")).select("group_id", "n", F.col("p.tok").alias("key"), F.col("p.pos").alias("pos"))
+    lists = stored(lists.join(lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"))
+    many = grouped.where("members > 1")
+    member = stored(keyed.join(many, ["n", "prefix"]).select("group_id", "set_id", "n"))
+
+    # short lists: groups in pairs, kept if they share enough of their prefixes
+    long_ = lists.where(F.col("m") > LONG_LIST).groupBy("group_id").agg(F.count("*").alias("long"))
+    short = lists.where(F.col("m") <= LONG_LIST).join(long_, "group_id", "left").select("key", "group_id", "n", "pos", F.coalesce("long", F.lit(0)).alias("long"))
+    a, b = (short.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("group_id", "n", "pos", "long")]) for s in "ab")
+    pairs = a.join(b, "key").where("group_ida < group_idb").where(_near("na", "nb", "posa", "posb", num, den))
+    pairs = pairs.groupBy("group_ida", "group_idb", "na", "nb").agg(F.count("*").alias("common"), F.first(F.least("longa", "longb")).alias("more"))
+    pairs = stored(pairs.where(_enough(num, den)).select(F.col("group_ida").alias("src"), F.col("group_idb").alias("dst")))
     own = member.where("set_id <> group_id").select(F.col("group_id").alias("src"), F.col("set_id").alias("dst"))
-    tried = stored(short)
-    links = stored(_verify(texts, tried.union(own), ngram, num, den))
-
-    # long lists and groups of several members: entries of all members, by list
-    entries = lists.where((F.col("m") > LONG_LIST) | (F.col("all") > F.col("m"))).select("key", "pos", "group_id")
-    if not entries.limit(1).count() and not member.limit(1).count():
+    tried = stored(pairs.union(own))
+    links = stored(_verify(texts, tried, ngram, num, den))
+    entries = lists.where(F.col("m") > LONG_LIST).select("key", "group_id", "n", "pos")
+    within = many.select((-F.col("group_id") - 1).alias("key"), "group_id", "n", F.lit(0).alias("pos"))
+    entries = stored(entries.unionByName(within))
+    if not entries.limit(1).count():
         return links
-    expanded = entries.join(keyed.join(grouped, ["n", "prefix"]).select("group_id", "set_id", "n"), "group_id").select("key", "pos", "set_id", "n")
-    within = member.select((-F.col("group_id") - 1).alias("key"), F.lit(0).alias("pos"), "set_id", "n")
-    expanded = stored(expanded.unionByName(within).withColumn("kind", F.lit(0)))
+
+    # long lists and groups of several sets: one round after the other against a centre
+    alone = grouped.select("group_id", F.col("group_id").alias("set_id")).join(member.select("group_id").distinct(), "group_id", "left_anti")
+    sets_of = stored(alone.unionByName(member.select("group_id", "set_id")))
+    listed = stored(entries.join(sets_of, "group_id").select("key", "set_id", "group_id", "n", "pos"))
     for k in range(STAR_ROUNDS):
-        label = components(links).withColumnRenamed("node", "set_id")
-        now = expanded.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        now = stored(now)
-        # the centre of a list is one of its largest component, another one each round
+        label = stored(components(links).withColumnRenamed("node", "set_id"))
+        now = stored(_labelled(listed, label))
         each = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "n", "pos")).alias("one"))
-        best = each.groupBy("key").agg(F.max(F.struct("size", "one")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("m"))
-        best = best.where(F.col("parts") > 1).select("key", "m", "parts", F.col("top.size").alias("size"), "top.one.*")
-        open_ = stored(best)
-        # pairs left if all were verified now: bounded by entries outside the largest component times all
-        if not open_.where((F.col("m") - F.col("size")) * F.col("m") > LONG_LIST * F.col("m")).limit(1).count():
+        best = each.groupBy("key").agg(F.max(F.struct("size", "component", "one")).alias("top"), F.sum("size").alias("m")).where(F.col("m") > F.col("top.size"))
+        best = stored(best.select("key", "m", "top.size", "top.component", "top.one.*"))
+        # where few are outside the largest component, pairing them off is in proportion
+        if not best.where(F.col("m") - F.col("size") > LONG_LIST).limit(1).count():
             break
-        centre = open_.select("key", *[F.col(c).alias(f"{c}a") for c in ("set_id", "n", "pos")])
-        star = now.join(centre, "key").join(label.select(F.col("set_id").alias("set_ida"), F.col("component").alias("componenta")), "set_ida", "left")
-        star = star.where(F.coalesce("componenta", "set_ida") != F.col("component")).select("set_ida", "na", "posa", F.col("set_id").alias("set_idb"), F.col("n").alias("nb"), F.col("pos").alias("posb"))
-        star = star.where(pair).select(F.col("set_ida").alias("src"), F.col("set_idb").alias("dst")).distinct()
-        more = stored(_verify(texts, star, ngram, num, den))
-        if not more.limit(1).count():
+        centre = best.select("key", F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in ("set_id", "n", "pos")])
+        ends = now.select("key", *[F.col(c).alias(f"{c}b") for c in ("set_id", "n", "pos", "component")])
+        star = ends.join(centre, "key").where(F.col("ca") != F.col("componentb")).where(_near("na", "nb", "posa", "posb", num, den))
+        found = stored(_verify(texts, star.select(F.col("set_ida").alias("src"), F.col("set_idb").alias("dst")), ngram, num, den))
+        if not found.limit(1).count():
             break
-        links = stored(links.union(more))
-    # the rest, exactly: in each list, members of different components
-    label = components(links).withColumnRenamed("node", "set_id")
-    now = stored(expanded.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
+        links = stored(links.union(found))
+
+    # the rest: sets of different components, in a long list or in groups that make a pair
+    label = stored(components(links).withColumnRenamed("node", "set_id"))
+    now = stored(_labelled(listed, label))
     parts = now.select("key", "component").distinct()
     two = parts.select("key", F.col("component").alias("ca")).join(parts.select("key", F.col("component").alias("cb")), "key").where("ca < cb")
-    ends = [now.select("key", F.col("component").alias(f"c{s}"), *[F.col(c).alias(f"{c}{s}") for c in ("set_id", "n", "pos")]) for s in "ab"]
-    rest = two.join(ends[0], ["key", "ca"]).join(ends[1], ["key", "cb"]).where(pair)
-    rest = rest.select(F.least("set_ida", "set_idb").alias("src"), F.greatest("set_ida", "set_idb").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti")
+    a, b = (now.select("key", F.col("component").alias(f"c{s}"), *[F.col(c).alias(f"{c}{s}") for c in ("set_id", "n", "pos")]) for s in "ab")
+    rest = two.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(_near("na", "nb", "posa", "posb", num, den)).select("set_ida", "set_idb")
+    several = pairs.join(many.select(F.col("group_id").alias("src"), F.lit(1).alias("one")), "src", "left").join(many.select(F.col("group_id").alias("dst"), F.lit(1).alias("two")), "dst", "left").where("one is not null or two is not null")
+    a, b = (_labelled(sets_of, label).select(F.col("group_id").alias(g), F.col("set_id").alias(f"set_id{s}"), F.col("component").alias(f"c{s}")) for g, s in (("src", "a"), ("dst", "b")))
+    cross = several.join(a, "src").join(b, "dst").where("ca <> cb").select("set_ida", "set_idb")
+    rest = rest.union(cross).select(F.least("set_ida", "set_idb").alias("src"), F.greatest("set_ida", "set_idb").alias("dst")).distinct()
+    rest = rest.join(tried, ["src", "dst"], "left_anti")
     return links.union(stored(_verify(texts, rest, ngram, num, den)))
 
 
-def pair_filter(num: int, den: int):
-    """Size and position: can two sets that share a token at posa and posb reach the overlap they need?"""
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    room = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) + F.least("posa", "posb")
-    return (den * least >= num * most) & ((num + den) * room >= num * (F.col("na") + F.col("nb")))
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Add the component; a set without links is its own."""
+    return rows.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+
+def _width(num: int, den: int) -> str:
+    """Tokens of a prefix, of a set of n: n - ceil(n num / den) + 1."""
+    return f"(n - (n * {num} + {den - 1}) div {den} + 1)"
+
+
+def _near(na: str, nb: str, posa: str, posb: str, num: int, den: int) -> Column:
+    """Size and position: can sets that share a token at posa and posb have the overlap they need?"""
+    least, most = F.least(na, nb), F.greatest(na, nb)
+    room = F.least(F.col(na) - F.col(posa), F.col(nb) - F.col(posb)) + F.least(posa, posb)
+    return (den * least >= num * most) & ((num + den) * room >= num * (F.col(na) + F.col(nb)))
+
+
+def _enough(num: int, den: int) -> Column:
+    """Do the prefixes share so many tokens that the rest can make up the overlap?
+
+    Common tokens up to the end of the prefix that ends first are in both
+    prefixes; beyond it that set has ceil(n num / den) - 1 tokens left.
+    """
+    left = F.ceil(F.greatest("na", "nb") * num / den) - 1
+    return (num + den) * (F.col("common") + F.col("more") + left) >= num * (F.col("na") + F.col("nb"))
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
