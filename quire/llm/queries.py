@@ -2,29 +2,59 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.jaccard import ngram_jaccard_join
 from quire.llm.license_scan import license_scan
 from quire.llm.line_dedup import line_dedup
+from quire.llm.media_columns import media_columns, media_features, text_media
+from quire.llm.quality_rules import quality_rules
 from quire.llm.secret_scan import secret_scan
+from quire.llm.sentencepiece_codec import sentencepiece_digests
+from quire.llm.source_mix import mix_sources
+
+#: The vocabulary file of the encoding query; set MODEL_FILE for another place.
+MODEL_FILE = os.environ.get("QUIRE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents, and of the texts they decode to."""
+    return sentencepiece_digests(table(spark, sf_dir, "documents"), MODEL_FILE)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingle sets of all documents, linked at 85 %."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), ngram=4, num=85, den=100)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as 8-bit audio of an undeclared type, sniffed, and read back."""
+    return media_features(media_columns(text_media(table(spark, sf_dir, "documents")), "file", "declared"))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words, no source or document more than twice."""
+    mixed = mix_sources(table(spark, sf_dir, "documents"), share=1.5, repeats=2)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in all documents."""
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-first rules over all documents."""
+    return quality_rules(table(spark, sf_dir, "documents")).drop("text", "clean_text", "lang", "source", "n_chars")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, each a version of the path source/id; the ledger is empty before."""
     found, _, _ = secret_scan(table(spark, sf_dir, "documents"), ["source", "doc_id"])
