@@ -11,6 +11,7 @@ from quire.llm.jaccard import ngram_jaccard_join
 from quire.llm.license_scan import license_scan
 from quire.llm.line_dedup import line_dedup
 from quire.llm.media_columns import media_columns, media_features, text_media
+from quire.llm.quality_classifier import quality_classifier
 from quire.llm.quality_rules import quality_rules
 from quire.llm.secret_scan import secret_scan
 from quire.llm.sentencepiece_codec import sentencepiece_digests
@@ -45,6 +46,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained quality scores of all documents."""
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in all documents."""
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
