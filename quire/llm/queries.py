@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.html_extract import html_extract
 from quire.llm.jaccard import ngram_jaccard_join
 from quire.llm.license_scan import license_scan
 from quire.llm.line_dedup import line_dedup
@@ -46,6 +47,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_slots", "n_template")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-trained quality scores of all documents."""
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
