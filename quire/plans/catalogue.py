@@ -30,3 +30,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    from quire.plans import text_plans  # noqa: F401
+
+
+_load()
