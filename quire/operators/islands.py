@@ -33,7 +33,7 @@ def dedupe_overlap_row(df: DataFrame, key: list[str], slack: float = 4) -> DataF
     """Left edges of a row's items; one that begins before what came before ends (less ``slack``) joins it."""
     w = Window.partitionBy(*key).orderBy("x1", "idx")
     reach = F.max("x2").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.where(F.coalesce(reach, F.lit(-10_000)) <= F.col("x1") + slack)
+    return df.withColumn("__reach", reach).where(F.coalesce("__reach", F.lit(-10_000)) <= F.col("x1") + slack).drop("__reach")
 
 
 def gap_runs(df: DataFrame, key: list[str], pos: str, on: str, least: int = 1) -> DataFrame:
