@@ -261,8 +261,10 @@ def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: i
     own = member.where("set_id <> group_id").select(F.col("group_id").alias("src"), F.col("set_id").alias("dst"))
     tried = stored(pairs.union(own))
     links = stored(_verify(texts, tried, ngram, num, den))
-    entries = lists.where(F.col("m") > LONG_LIST).select("key", "group_id", "n", "pos")
-    within = many.select((-F.col("group_id") - 1).alias("key"), "group_id", "n", F.lit(0).alias("pos"))
+    # a set with few listed tokens can't share many; equal prefixes share all
+    held = lists.groupBy("group_id").agg(F.count("*").alias("listed"))
+    entries = lists.where(F.col("m") > LONG_LIST).join(held, "group_id").select("key", "group_id", "n", "pos", "listed")
+    within = many.select((-F.col("group_id") - 1).alias("key"), "group_id", "n", F.lit(0).alias("pos"), F.col("n").alias("listed"))
     entries = stored(entries.unionByName(within))
     if not entries.limit(1).count():
         return links
@@ -270,19 +272,20 @@ def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: i
     # long lists and groups of several sets: one round after the other against a centre
     alone = grouped.select("group_id", F.col("group_id").alias("set_id")).join(member.select("group_id").distinct(), "group_id", "left_anti")
     sets_of = stored(alone.unionByName(member.select("group_id", "set_id")))
-    listed = stored(entries.join(sets_of, "group_id").select("key", "set_id", "group_id", "n", "pos"))
+    fields = ("set_id", "n", "pos", "listed")
+    listed = stored(entries.join(sets_of, "group_id").select("key", *fields))
     for k in range(STAR_ROUNDS):
         label = stored(components(links).withColumnRenamed("node", "set_id"))
         now = stored(_labelled(listed, label))
-        each = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "n", "pos")).alias("one"))
+        each = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("listed")).alias("few"), F.xxhash64("set_id", F.lit(k)).alias("h"), *fields)).alias("one"))
         best = each.groupBy("key").agg(F.max(F.struct("size", "component", "one")).alias("top"), F.sum("size").alias("m")).where(F.col("m") > F.col("top.size"))
         best = stored(best.select("key", "m", "top.size", "top.component", "top.one.*"))
         # where few are outside the largest component, pairing them off is in proportion
         if not best.where(F.col("m") - F.col("size") > LONG_LIST).limit(1).count():
             break
-        centre = best.select("key", F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in ("set_id", "n", "pos")])
-        ends = now.select("key", *[F.col(c).alias(f"{c}b") for c in ("set_id", "n", "pos", "component")])
-        star = ends.join(centre, "key").where(F.col("ca") != F.col("componentb")).where(_near("na", "nb", "posa", "posb", num, den))
+        centre = best.select("key", F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in fields])
+        ends = now.select("key", F.col("component").alias("cb"), *[F.col(c).alias(f"{c}b") for c in fields])
+        star = ends.join(centre, "key").where("ca <> cb").where(_near("na", "nb", "posa", "posb", num, den)).where(_can(num, den))
         found = stored(_verify(texts, star.select(F.col("set_ida").alias("src"), F.col("set_idb").alias("dst")), ngram, num, den))
         if not found.limit(1).count():
             break
@@ -291,10 +294,12 @@ def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: i
     # the rest: sets of different components, in a long list or in groups that make a pair
     label = stored(components(links).withColumnRenamed("node", "set_id"))
     now = stored(_labelled(listed, label))
-    parts = now.select("key", "component").distinct()
-    two = parts.select("key", F.col("component").alias("ca")).join(parts.select("key", F.col("component").alias("cb")), "key").where("ca < cb")
-    a, b = (now.select("key", F.col("component").alias(f"c{s}"), *[F.col(c).alias(f"{c}{s}") for c in ("set_id", "n", "pos")]) for s in "ab")
-    rest = two.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(_near("na", "nb", "posa", "posb", num, den)).select("set_ida", "set_idb")
+    # the smaller set of a pair meets the other in a still shorter prefix, as no partner is smaller
+    short = F.col("n") - F.expr(f"(2 * {num} * n + {num + den - 1}) div {num + den}") + 1
+    a = now.where(F.col("pos") < short).select("key", F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in fields])
+    b = now.select("key", F.col("component").alias("cb"), *[F.col(c).alias(f"{c}b") for c in fields])
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("set_ida") < F.col("set_idb")))
+    rest = a.join(b, "key").where("ca <> cb").where(smaller & _near("na", "nb", "posa", "posb", num, den) & _can(num, den)).select("set_ida", "set_idb")
     several = pairs.join(many.select(F.col("group_id").alias("src"), F.lit(1).alias("one")), "src", "left").join(many.select(F.col("group_id").alias("dst"), F.lit(1).alias("two")), "dst", "left").where("one is not null or two is not null")
     a, b = (_labelled(sets_of, label).select(F.col("group_id").alias(g), F.col("set_id").alias(f"set_id{s}"), F.col("component").alias(f"c{s}")) for g, s in (("src", "a"), ("dst", "b")))
     cross = several.join(a, "src").join(b, "dst").where("ca <> cb").select("set_ida", "set_idb")
@@ -320,14 +325,19 @@ def _near(na: str, nb: str, posa: str, posb: str, num: int, den: int) -> Column:
     return (den * least >= num * most) & ((num + den) * room >= num * (F.col(na) + F.col(nb)))
 
 
-def _enough(num: int, den: int) -> Column:
+def _enough(num: int, den: int, common: str = "common + more") -> Column:
     """Do the prefixes share so many tokens that the rest can make up the overlap?
 
     Common tokens up to the end of the prefix that ends first are in both
     prefixes; beyond it that set has ceil(n num / den) - 1 tokens left.
     """
     left = F.ceil(F.greatest("na", "nb") * num / den) - 1
-    return (num + den) * (F.col("common") + F.col("more") + left) >= num * (F.col("na") + F.col("nb"))
+    return (num + den) * (F.expr(common) + left) >= num * (F.col("na") + F.col("nb"))
+
+
+def _can(num: int, den: int) -> Column:
+    """Could they share enough, given how many tokens of each prefix are listed at all?"""
+    return _enough(num, den, "least(listeda, listedb)")
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
