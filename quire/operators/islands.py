@@ -62,7 +62,7 @@ def xy_cut(boxes: DataFrame, gap_x: float, gap_y: float) -> DataFrame:
 def band_filter(bands: DataFrame, key: list[str], share: float = 0.32, wide: float = 0.6) -> DataFrame:
     """Ink bands without the low but wide ones (rules and underlines): ``bands`` has height and span (0 to 1)."""
     tallest = F.max("height").over(Window.partitionBy(*key))
-    return bands.where(~((F.col("height") <= share * tallest) & (F.col("span") >= wide)))
+    return bands.withColumn("__tallest", tallest).where(~((F.col("height") <= share * F.col("__tallest")) & (F.col("span") >= wide))).drop("__tallest")
 
 
 def rle_runs(df: DataFrame, key: list[str], pos: str, same: list[str], text: str = "text") -> DataFrame:

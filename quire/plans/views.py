@@ -55,9 +55,9 @@ where length(line) between 4 and 80 and {ascii}"""
 
 _SCORES = """
 select s_suppkey as fixture, y as year,
-  least(round(avg(q) / 60, 4), 1.0) as composite, round(avg(d) * 10, 4) as blurred, round(avg(t) * 10, 4) as histogram, round(avg(f), 4) as recall, count(*) as n
+  least(round(avg(q) / 60, 4), cast(1 as double)) as composite, round(avg(d) * 10, 4) as blurred, round(avg(t) * 10, 4) as histogram, round(avg(f), 4) as recall, count(*) as n
 from (select l_suppkey as s_suppkey, year(l_shipdate) as y, cast(l_quantity as double) as q, cast(l_discount as double) as d, cast(l_tax as double) as t,
-             case when l_returnflag = 'N' then 1.0 else 0.5 end as f from lineitem) x
+             cast(case when l_returnflag = 'N' then 1.0 else 0.5 end as double) as f from lineitem) x
 group by s_suppkey, y"""
 
 _DUCK = {
