@@ -143,14 +143,13 @@ def histogram(values: Column, low: float, high: float, bins: int = 16) -> Column
 
 
 def correlation(a: Column, b: Column) -> Column:
-    """Pearson's r of two arrays; 0 if either doesn't vary."""
+    """Pearson's r of two arrays of one length; 0 if either doesn't vary."""
     n = F.size(a)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
-    mean = lambda x: total(x) / n
-    da, db = (lambda v: v - mean(a)), (lambda v: v - mean(b))
-    cov = total(F.zip_with(a, b, lambda x, y: da(x) * db(y)))
-    va, vb = total(F.transform(a, lambda x: da(x) * da(x))), total(F.transform(b, lambda y: db(y) * db(y)))
-    return F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).otherwise(F.lit(0.0))
+    times = lambda x, y: total(F.zip_with(x, y, lambda u, v: u * v))
+    sa, sb = total(a), total(b)
+    va, vb = n * times(a, a) - sa * sa, n * times(b, b) - sb * sb
+    return F.when((va > 0) & (vb > 0), (n * times(a, b) - sa * sb) / F.sqrt(va * vb)).otherwise(F.lit(0.0))
 
 
 def tile_means(points: DataFrame, key: list[str], size: int = 160, stride: int = 80, least: float = 5) -> DataFrame:

@@ -307,7 +307,8 @@ e as (select vec_id, unnest(a) as x, unnest(b) as y from h) select vec_id, round
 def hist_corr(spark, sf_dir):
     """Correlation of the 16-bin histograms of neighbouring vectors."""
     bins = lambda c: quality.histogram(F.col(c), -40, 40)
-    return _vectors(spark, sf_dir).select("vec_id", F.round(quality.correlation(bins("u"), bins("v")), 6).alias("r"))
+    counts = _vectors(spark, sf_dir).withColumns({"a": bins("u"), "b": bins("v")})
+    return counts.select("vec_id", F.round(quality.correlation(F.col("a"), F.col("b")), 6).alias("r"))
 
 
 def _slots(spark, sf_dir):
