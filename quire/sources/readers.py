@@ -38,7 +38,7 @@ def scan_items(spark: SparkSession, path: str) -> DataFrame:
     file that isn't a list of items gives no rows.
     """
     files = spark.read.text(f"{path}/page_*.ocr.json", wholetext=True).select(_name().alias("file"), "value").where("not endswith(file, '.raw.json')")
-    items = files.select(F.regexp_extract("file", r"^page_(.+?)\.ocr\.json$", 1).alias("page_id"), F.posexplode(F.from_json("value", f"array<struct<{','.join(f'{k}:{v}' for k, v in ITEM.items())}>>")).alias("idx", "i"))
+    items = files.where("startswith(ltrim(value), '[')").select(F.regexp_extract("file", r"^page_(.+?)\.ocr\.json$", 1).alias("page_id"), F.posexplode(F.from_json("value", f"array<struct<{','.join(f'{k}:{v}' for k, v in ITEM.items())}>>")).alias("idx", "i"))
     return items.select("page_id", "idx", *[F.col(f"i.{k}").alias(k.lstrip("_")) for k in ITEM])
 
 

@@ -15,6 +15,10 @@ from quire.operators.jobs import parse_log
 IDLE_MS = 7_200_000
 
 
+def _millis(ts: pd.Series) -> int:
+    return int(ts.max().timestamp() * 1000)
+
+
 def stream_progress(lines: DataFrame) -> DataFrame:
     """(job_id, percent, page, lines): the last stage and the largest page so far; for update mode."""
     rows = parse_log(lines)
@@ -22,22 +26,27 @@ def stream_progress(lines: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(F.coalesce(last, F.lit(0)).alias("percent"), F.coalesce(F.max("page"), F.lit(0)).alias("page"), F.count("*").alias("lines"))
 
 
-def stream_tail(lines: DataFrame, last: int = 200) -> DataFrame:
-    """(job_id, tail): the last lines of each job after every batch that brings new ones; update mode."""
+def stream_tail(lines: DataFrame, last: int = 200, late: str = "1 hour") -> DataFrame:
+    """(job_id, tail): the last lines of each job after every batch that brings new ones; update mode.
+
+    A job's lines are forgotten when event time is two hours past its last one.
+    """
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         kept = {(int(x[:20]), x[21:]) for x in state.get[0]} if state.exists else set()
+        newest = 0
         for pdf in batches:
+            newest = max(newest, _millis(pdf["ts"]))
             kept |= set(zip(pdf["seq"].astype(int), pdf["line"], strict=True))
         kept = sorted(kept)[-last:]
         state.update(([f"{s:020d} {x}" for s, x in kept],))
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + IDLE_MS)
         yield pd.DataFrame({"job_id": [key[0]], "tail": ["\n".join(x for _, x in kept)]})
 
-    return lines.groupBy("job_id").applyInPandasWithState(work, "job_id long, tail string", "kept array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return lines.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(work, "job_id long, tail string", "kept array<string>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_latest(messages: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame:
@@ -61,7 +70,7 @@ def stream_fanout(messages: DataFrame, jobs: DataFrame, users: DataFrame) -> Dat
     return sent.join(members, "audience").where(~twice).select(*messages.columns, "user_id")
 
 
-def stream_ratelimit(events: DataFrame, limit: int, window_s: float = 60, key: str = "user_id") -> DataFrame:
+def stream_ratelimit(events: DataFrame, limit: int, window_s: float = 60, key: str = "user_id", late: str = "1 hour") -> DataFrame:
     """(key, event_id, accepted, retry_after): a sliding limit over accepted events; append mode.
 
     The state of a key is the times of its accepted events within the window;
@@ -84,10 +93,10 @@ def stream_ratelimit(events: DataFrame, limit: int, window_s: float = 60, key: s
             if ok:
                 kept.append(t)
         state.update((kept,))
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(_millis(pdf["ts"]), state.getCurrentWatermarkMs()) + IDLE_MS)
         yield pd.DataFrame(out, columns=[key, "event_id", "accepted", "retry_after"])
 
-    return events.groupBy(key).applyInPandasWithState(work, f"{key} long, event_id long, accepted boolean, retry_after double", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(work, f"{key} long, event_id long, accepted boolean, retry_after double", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_quota(changes: DataFrame, limit: int) -> DataFrame:
