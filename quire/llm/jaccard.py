@@ -5,17 +5,19 @@ global order: hash value, with tokens that many documents hold moved behind
 all others. Two sets of Jaccard similarity t or more share a token among the
 first ``n - ceil(t n) + 1`` of each, so only these prefixes are joined:
 
-1. equal sets collapse into one; documents emit their prefix and a little more;
-2. tokens are counted, shared ones kept, and frequent ones moved back; the few
-   sets that lose too much of their prefix so are read again in full;
+1. equal sets collapse into one; documents emit their tokens of low hash, and
+   as many of the next ones as could be needed;
+2. low tokens are counted and shared ones kept; those that are frequent move
+   behind all others, which each document's own tokens then make up for;
 3. sets with the same prefix and size form one group; groups that share a
-   prefix token make pairs, filtered by size and position;
+   prefix token make pairs, filtered by size, position and common tokens;
 4. members of the pairs are verified on their full sets.
 
 Long token lists (large groups of near copies) are not paired off. Rounds
-first verify each member against one centre; what the links join is one
-component afterwards, and only members of different components are paired.
-So no link between components is lost, and the pairs stay in proportion.
+first measure each member against one centre; what the links join is one
+component afterwards, and only members of different components are paired, if
+their overlaps with the centre leave room for a link. So no link between
+components is lost, and the pairs stay in proportion.
 """
 
 from __future__ import annotations
@@ -136,18 +138,25 @@ def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def _low(num: int, den: int) -> int:
+    """Hashes below this count as low: a little more of them than a prefix takes."""
+    return -(1 << 63) + ((den - num) * 10 + den) * (1 << 64) // (den * 10)
+
+
 def _emit(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, low = [], [], []
+            n, keys, low, more = [], [], [], []
             for s in token_sets(batch.column(1), size):
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low.append(s[: _prefix(len(s), num, den) + -(-len(s) // 20)].copy() if len(s) else s)
+                at = int(np.searchsorted(s, _low(num, den)))
+                low.append(s[:at].copy())
+                more.append(s[at : at + _prefix(len(s), num, den)].copy() if len(s) else s)
             pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), _arrays(low)],
-                ["doc_id", "n", "k1", "k2", "low"],
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), _arrays(low), _arrays(more)],
+                ["doc_id", "n", "k1", "k2", "low", "more"],
             )
 
     return run
@@ -178,7 +187,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links count together. Other columns are ignored, so their names can't clash.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(texts.mapInArrow(_emit(ngram, num, den), "doc_id long, n long, k1 long, k2 long, low array<long>"))
+    sets = stored(texts.mapInArrow(_emit(ngram, num, den), "doc_id long, n long, k1 long, k2 long, low array<long>, more array<long>"))
     filled = sets.where("n > 0 and doc_id is not null")
     equal = stored(filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies")))
     links = _links(texts, filled, equal.select("set_id"), ngram, num, den)
@@ -201,48 +210,31 @@ def _read_sets(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     return rows.select("set_id", "text").mapInArrow(_full(ngram), "set_id long, tokens array<long>")
 
 
-def _prefix_rows(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """``(set_id, n, tok, pos)``: the tokens of each set's prefix that another set holds there too, perhaps.
+def _prefix_rows(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
+    """``(set_id, n, tok, pos)``: the tokens of each set's prefix that another set could hold there too.
 
-    ``pos`` is the token's place in its set by the global order.
+    ``pos`` is the token's place in its set by the global order: low tokens
+    that aren't frequent, then all others by hash, then frequent low ones.
     """
     width = F.expr(_width(num, den))
-    chosen = stored(sets.withColumnRenamed("doc_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", "low"))
+    chosen = stored(sets.withColumnRenamed("doc_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", "low", "more"))
     tokens = chosen.select("set_id", "n", F.posexplode("low").alias("idx", "tok"))
-    counts = stored(tokens.groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1"))
-    shared = tokens.join(counts, "tok").select("tok", "set_id", "n", "idx", (F.col("cnt") > LONG_LIST).alias("hot"))
-    shared = stored(shared)
-    emitted = F.expr(f"least(n, {_width(num, den)} + (n + 19) div 20)")
-
-    # sets that lose so many tokens to the end of the order that the emitted ones don't fill the prefix
-    lost = shared.where("hot").groupBy("set_id", "n").agg(F.count("*").alias("hot_n")).where((emitted < F.col("n")) & (emitted - F.col("hot_n") < width))
-    again = stored(lost.select("set_id", "n").distinct())
-    place = Window.partitionBy("set_id").orderBy("idx")
-    whole = Window.partitionBy("set_id")
-
-    def prefixes(rows: DataFrame, held) -> DataFrame:
-        hot = F.col("hot").cast("long")
-        before = F.coalesce(F.sum(hot).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        pos = F.when(F.col("hot"), held - F.col("all_hot") + F.col("before")).otherwise(F.col("idx") - F.col("before"))
-        rows = rows.withColumns({"before": before, "all_hot": F.sum(hot).over(whole)}).withColumn("pos", pos)
-        return rows.where(F.col("pos") < width).select("set_id", "n", "tok", "pos")
-
-    if not again.limit(1).count():
-        return prefixes(shared, emitted)
-    hot = counts.where(F.col("cnt") > LONG_LIST).select("tok", F.lit(True).alias("is_hot"))
-    full = _read_sets(texts, again.select("set_id"), ngram).select("set_id", F.size("tokens").cast("long").alias("n"), F.posexplode("tokens").alias("idx", "tok"))
-    late = full.join(hot, "tok", "left").select("tok", "set_id", "n", "idx", F.coalesce("is_hot", F.lit(False)).alias("hot"))
-    late = stored(prefixes(late, F.col("n")))
-    # tokens that only these sets and one other hold
-    new = stored(late.select("tok").distinct().join(counts, "tok", "left_anti"))
-    extra = tokens.join(small(new), "tok", "left_semi").select("tok", "set_id", "n", "idx", F.lit(False).alias("hot"))
-    rest = shared.unionByName(extra).join(small(again.select("set_id")), "set_id", "left_anti")
-    return prefixes(rest, emitted).unionByName(late)
+    counts = tokens.groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    shared = stored(tokens.join(counts, "tok").select("tok", "set_id", "n", "idx", (F.col("cnt") > LONG_LIST).cast("long").alias("hot")))
+    place = Window.partitionBy("set_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    before, hot = F.coalesce(F.sum("hot").over(place), F.lit(0)), F.sum("hot").over(Window.partitionBy("set_id"))
+    pos = F.when(F.col("hot") == 0, F.col("idx") - F.col("before")).otherwise(F.col("n") - F.col("all_hot") + F.col("before"))
+    first = shared.withColumns({"before": before, "all_hot": hot}).withColumn("pos", pos).where(F.col("pos") < width).select("set_id", "n", "tok", "pos")
+    lost = stored(shared.where("hot = 1").groupBy("set_id").agg(F.count("*").alias("lost")))
+    here = F.size("low") - F.coalesce("lost", F.lit(0))
+    short = chosen.join(lost, "set_id", "left").select("set_id", "n", here.cast("long").alias("here"), "more").where(F.col("here") < width)
+    rest = short.select("set_id", "n", "here", F.posexplode(F.slice("more", F.lit(1), (width - F.col("here")).cast("int"))).alias("j", "tok"))
+    return first.unionByName(rest.select("set_id", "n", "tok", (F.col("here") + F.col("j")).alias("pos")))
 
 
 def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
     """Links (src, dst) that join the same components as all links do."""
-    keyed = _prefix_rows(texts, sets, ids, ngram, num, den).groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("prefix"))
+    keyed = _prefix_rows(sets, ids, num, den).groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("prefix"))
     keyed = stored(keyed)
     grouped = keyed.groupBy("n", "prefix").agg(F.min("set_id").alias("group_id"), F.count("*").alias("members"))
     grouped = stored(grouped)
@@ -274,6 +266,15 @@ def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: i
     sets_of = stored(alone.unionByName(member.select("group_id", "set_id")))
     fields = ("set_id", "n", "pos", "listed")
     listed = stored(entries.join(sets_of, "group_id").select("key", *fields))
+    # the first centre of a list is the set with the most listed tokens; all members are measured against it
+    centre = listed.groupBy("key").agg(F.min_by("set_id", F.struct(-F.col("listed"), F.xxhash64("set_id"))).alias("src"))
+    spokes = stored(listed.join(centre, "key").select("key", "src", F.col("set_id").alias("dst")))
+    measured = stored(_overlaps(texts, spokes.where("src <> dst").select("src", "dst"), ngram))
+    links = stored(links.union(_linked(measured, num, den)))
+    overlap = F.when(F.col("src") == F.col("dst"), F.lit(None)).otherwise(F.col("both"))
+    seen = spokes.join(measured, ["src", "dst"], "left").select("key", F.col("dst").alias("set_id"), overlap.alias("overlap"))
+    listed = stored(listed.join(seen, ["key", "set_id"]).select("key", *[F.col(c) for c in fields], F.coalesce("overlap", "n").cast("long").alias("overlap")))
+    fields = (*fields, "overlap")
     for k in range(STAR_ROUNDS):
         label = stored(components(links).withColumnRenamed("node", "set_id"))
         now = stored(_labelled(listed, label))
@@ -285,7 +286,7 @@ def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: i
             break
         centre = best.select("key", F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in fields])
         ends = now.select("key", F.col("component").alias("cb"), *[F.col(c).alias(f"{c}b") for c in fields])
-        star = ends.join(centre, "key").where("ca <> cb").where(_near("na", "nb", "posa", "posb", num, den)).where(_can(num, den))
+        star = ends.join(centre, "key").where("ca <> cb").where(_near("na", "nb", "posa", "posb", num, den) & _can(num, den) & _room(num, den))
         found = stored(_verify(texts, star.select(F.col("set_ida").alias("src"), F.col("set_idb").alias("dst")), ngram, num, den))
         if not found.limit(1).count():
             break
@@ -299,7 +300,7 @@ def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: i
     a = now.where(F.col("pos") < short).select("key", F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in fields])
     b = now.select("key", F.col("component").alias("cb"), *[F.col(c).alias(f"{c}b") for c in fields])
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("set_ida") < F.col("set_idb")))
-    rest = a.join(b, "key").where("ca <> cb").where(smaller & _near("na", "nb", "posa", "posb", num, den) & _can(num, den)).select("set_ida", "set_idb")
+    rest = a.join(b, "key").where("ca <> cb").where(smaller & _near("na", "nb", "posa", "posb", num, den) & _can(num, den) & _room(num, den)).select("set_ida", "set_idb")
     several = pairs.join(many.select(F.col("group_id").alias("src"), F.lit(1).alias("one")), "src", "left").join(many.select(F.col("group_id").alias("dst"), F.lit(1).alias("two")), "dst", "left").where("one is not null or two is not null")
     a, b = (_labelled(sets_of, label).select(F.col("group_id").alias(g), F.col("set_id").alias(f"set_id{s}"), F.col("component").alias(f"c{s}")) for g, s in (("src", "a"), ("dst", "b")))
     cross = several.join(a, "src").join(b, "dst").where("ca <> cb").select("set_ida", "set_idb")
@@ -340,12 +341,31 @@ def _can(num: int, den: int) -> Column:
     return _enough(num, den, "least(listeda, listedb)")
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """The pairs (src, dst) that link, verified on whole sets."""
+def _room(num: int, den: int) -> Column:
+    """Could they overlap enough, given their overlaps with the list's centre?
+
+    What two sets share lies in the centre or outside it; each part is no larger
+    than that part of either set.
+    """
+    most = F.least("overlapa", "overlapb") + F.least(F.col("na") - F.col("overlapa"), F.col("nb") - F.col("overlapb"))
+    return (num + den) * most >= num * (F.col("na") + F.col("nb"))
+
+
+def _overlaps(texts: DataFrame, pairs: DataFrame, ngram: int) -> DataFrame:
+    """Pairs (src, dst) with the sizes of both sets, and of what they share: (src, dst, na, nb, both)."""
     pairs = stored(pairs.distinct())
     ids = stored(pairs.select(F.col("src").alias("set_id")).union(pairs.select("dst")).distinct())
     sets = stored(_read_sets(texts, ids, ngram))
     a = sets.select(F.col("set_id").alias("src"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("set_id").alias("dst"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "src").join(b, "dst").where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("src", "dst")
+    rows = pairs.join(a, "src").join(b, "dst")
+    return rows.select("src", "dst", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+
+
+def _linked(measured: DataFrame, num: int, den: int) -> DataFrame:
+    return measured.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("src", "dst")
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """The pairs (src, dst) that link, verified on whole sets."""
+    return _linked(_overlaps(texts, pairs, ngram), num, den)
