@@ -24,16 +24,19 @@ from quire.session import stored
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-_ROW = ["doc", "version"]
+#: A document: whether it has an id, the id, and a hash of the text, as ids may repeat.
+_ROW = ["known", "doc", "version"]
 
 
-def _version(text: str) -> Column:
-    return F.xxhash64(F.col(text))
+def _row(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """The key of a document, without nulls, so that joins keep it; rows without id come first in its order."""
+    instead = F.lit(0).cast(docs.schema[id_col].dataType)
+    return [F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(id_col), instead).alias("doc"), F.xxhash64(text_col).alias("version")]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     split = F.split(F.col(text_col), "\n", -1)
-    return docs.select(F.col(id_col).alias("doc"), _version(text_col).alias("version"), F.posexplode(split).alias("ln", "line")).withColumns(
+    return docs.select(*_row(docs, id_col, text_col), F.posexplode(split).alias("ln", "line")).withColumns(
         {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")}
     )
 
@@ -55,7 +58,7 @@ def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """Every later copy of a shortest run of lines with ``min_words`` words.
 
-    Returns ``(doc, version, ln, n_lines)``: the run starts at line ``ln`` (from
+    Returns ``(known, doc, version, ln, n_lines)``: the run starts at line ``ln`` (from
     0) and an equal run starts earlier, in order of document, version (a hash
     of the text, for ids that repeat) and line. Shortest from its first line or
     from its last; the union of these covers every longer repeated run.
@@ -121,13 +124,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     runs = repeated_runs(docs, id_col, text_col, min_words)
     gone = runs.select(*_ROW, F.explode(F.expr("sequence(ln, ln + cast(n_lines as int) - 1)")).alias("ln"))
-    gone = gone.groupBy(*_ROW).agg(F.collect_set("ln").alias("gone")).select(F.struct(*_ROW).alias("__row"), "gone")
+    gone = gone.groupBy(*_ROW).agg(F.collect_set("ln").alias("__gone")).select(F.struct(*_ROW).alias("__row"), "__gone")
     lines = F.split(F.col(text_col), "\n", -1)
     names = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    at = docs.select(*names).withColumns({"__doc": F.col(id_col), "__version": _version(text_col)})
-    out = at.join(gone.select(F.col("__row.doc").alias("__d"), F.col("__row.version").alias("__v"), F.col("gone").alias("__gone")), F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left")
+    known = gone.select(*[F.col(f"__row.{c}").alias(f"__{c}") for c in _ROW], "__gone")
+    keyed = docs.select(*names, F.struct(*_row(docs, id_col, text_col)).alias("__at"))
+    same = [F.col(f"__at.{c}") == F.col(f"__{c}") for c in _ROW]
+    out = keyed.join(known, same, "left")
     return out.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in names],
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).alias("lines_total"),

@@ -1,0 +1,210 @@
+"""The numbered operators against plain versions, and odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import html_extract, license_scan, line_dedup, media_columns, quality_classifier, quality_rules, secret_scan, source_mix
+from quire.llm import sentencepiece_codec as sp
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, media string, label string"
+ODD = [None, "", " ", "\n\n", "a", "Ünï çødé  x\ty\n", "▁ <s> \x00 🎼", "MIT License", "token = abcdefgh1", "word " * 3000]
+
+
+def docs(spark, texts, source="s"):
+    return spark.createDataFrame([(i, t, "en", source, len(t or ""), "x", "y", "z") for i, t in enumerate(texts)], DOCS)
+
+
+def test_sentencepiece_equals_the_library(spark, monkeypatch):
+    monkeypatch.setattr(sp, "SHORT", 8)
+    c = sp.Codec(MODEL)
+    rng = random.Random(1)
+    texts = [t or "" for t in ODD] + ["".join(rng.choices("ab cdeé.\n  1ß語", k=rng.randrange(60))) for _ in range(300)]
+    for t in texts:
+        ids = c.lib.encode(t)
+        assert c.encode(t) == ids and c.decode(ids) == c.lib.decode(ids)
+    out = sp.sentencepiece_encode(docs(spark, ODD), MODEL)
+    for r in out.collect():
+        ids = c.lib.encode(ODD[r.doc_id] or "")
+        assert r.ids == ids and r.decoded == c.lib.decode(ids) and r.label == "z"
+    assert sp.sentencepiece_digests(docs(spark, []), MODEL).count() == 0
+
+
+def test_a_wrong_merge_is_noticed():
+    c = sp.Codec(MODEL)
+    with pytest.raises(ValueError, match="the library gives"):
+        c.compare(["▁hello"], [[1, 2]])
+
+
+def test_media_round_trip_and_carving(spark):
+    png = b"\x89PNG\r\n\x1a\n"
+    for kind, body in ((b"IHDR", bytes(13)), (b"IEND", b"")):
+        png += len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    wav = media_columns.wrap_wav(b"\x80" * 64)
+    rows = [(0, wav, "image/png"), (1, b"xx" + png + b"BM" + wav, None), (2, png[:-1], "image/png"), (3, None, None), (4, b"", "a"), (5, b"RIFF" + bytes(60), None), (6, wav + b"tail", "audio/wav")]
+    df = spark.createDataFrame(rows, "doc_id long, file binary, declared string")
+    got = {r.doc_id: r.media for r in media_columns.media_columns(df, "file", "declared").collect()}
+    assert (got[0].type, got[0].length, got[0].corrected) == ("audio/wav", len(wav), True)
+    assert [(e.offset, e.length, e.type) for e in got[1].embedded] == [(2, len(png), "image/png"), (4 + len(png), len(wav), "audio/wav")]
+    assert all(got[i].type is None and not got[i].embedded for i in (2, 3, 4, 5)) and got[6].trailing == 4
+    made = media_columns.media_features(media_columns.media_columns(media_columns.text_media(docs(spark, ODD)), "file", "declared"))
+    for r in made.collect():
+        raw = (ODD[r.doc_id] or "").encode()
+        pad = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+
+
+def test_flow_routes_overlapping_sources():
+    flow = source_mix.min_cost_flow({"a": 10, "b": 10, "ab": 10}, {"a": ["A"], "b": ["B"], "ab": ["A", "B"]}, {"A": 18, "B": 12}, 2)
+    assert sum(v for (_, s), v in flow.items() if s == "A") == 18 and sum(v for (_, s), v in flow.items() if s == "B") == 12
+    assert all(sum(v for (q, _), v in flow.items() if q == p) <= 10 for p in ("a", "b", "ab"))  # no repetition is needed
+    assert source_mix.quotas({"A": 10, "B": 100}, {"A": 5, "B": 1}, 100, 2) == {"A": 20.0, "B": 80.0}
+
+
+def test_mix_comes_near_its_targets(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randrange(40), rng.choice(["a", "a", "a", "b", None]), "kept") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    got = source_mix.mix_sources(df).collect()
+    assert len(got) == 3000 and all(0 <= r.copies <= 2 for r in got)
+    for s in ("a", "b", None):
+        mine = [r for r in got if r.source == s]
+        assert mine[0].source_size == sum(r.size for r in mine)
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 40
+    assert sorted(map(str, got)) == sorted(map(str, source_mix.mix_sources(df.repartition(7)).collect()))
+    lists = spark.createDataFrame([(1, "a b c", ["x", "y"]), (2, "d e", ["x"]), (3, None, []), (4, "f", None)], "doc_id long, text string, sources array<string>")
+    assert source_mix.mix_sources(lists, sources_col="sources").count() == 4
+    assert source_mix.mix_sources(df.limit(0)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header>site</header><nav><ul><li>one<li>two</ul></nav>
+<div class="ad">buy</div><article><h1>Head {0}</h1><p>First &amp; <b>bo</b>ld<p>Second  line<br>after<script>var a="</p>";</script><form>f</form><div class="share-links">s</div>
+<aside>x</aside></article><section id="comments"><article>no</article></section><footer>&copy; host</footer></body></html>"""
+
+
+def test_html_main_text(spark):
+    rows = [(i, f"https://h.example/{i}", PAGE.replace("{0}", str(i))) for i in range(4)]
+    rows += [(10, None, None), (11, "u", ""), (12, "//h2", "plain <i>text</i> &lt;3 <b"), (13, "//h2/x", "<main>m<p>n</main>out"), (14, "//h2/y", "<!-- open")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old"))
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.html_extract(df).collect()}
+    for i in range(4):
+        assert got[i][0] == f"Head {i} First & bold Second line after"
+    assert [got[i][0] for i in (10, 11, 12, 13, 14)] == ["", "", "plain text <3", "m n", ""]
+    assert html_extract.html_extract(df.limit(0)).count() == 0
+
+
+def test_template_drops_blocks_that_repeat_outside_an_article(spark):
+    rows = [(i, "http://h/", f"<div><p>Same on all</p><p>Own text {i}</p></div>") for i in range(5)]
+    got = html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got) == [f"Own text {i}" for i in range(5)]
+
+
+def test_co_training_learns_both_views(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        text = ("LOUD!! " * 60) if bad else " ".join(word() for _ in range(80)) + "."
+        rows.append((i, text, "en", "spam" if bad and rng.random() < 0.9 else "news", len(text)))
+        if i % 3 == 0:
+            labels.append((i, 0 if bad else 1))
+    rows += [(1000, None, None, None, None), (1001, "", "en", "news", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([*labels, (5000, 1), (1, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_classifier.quality_classifier(df, lab).collect()}
+    assert len(got) == 602
+    assert sum(got[i].keep == (i % 5 != 0) for i in range(600)) >= 595
+    none = quality_classifier.quality_classifier(df, lab.limit(0)).collect()
+    assert all(abs(r.score - 0.5) < 1e-9 for r in none)
+
+
+def test_license_phrases_and_notices(spark):
+    long = "x " + "Permission is hereby granted, free of charge, to every person obtaining a copy of this software and associated documentation files"
+    texts = [*ODD, "The MIT\nLicense, mit license; CC-BY", "gnu general public", long, "K mit license İ apache LICENSE"]
+    got = {r.doc_id: r for r in license_scan.license_scan(docs(spark, texts)).collect()}
+    assert len(got) == len(texts) and got[0].n_words == 0 and got[0].labels == "" and got[0].score == 0.0
+    r = got[len(ODD)]
+    assert (r.n_base, r.first_word, r.last_word, r.base_labels) == (3, 1, 5, "cc-by,mit")
+    assert got[len(ODD) + 1].n_base == 0
+    assert got[len(ODD) + 2].labels == "mit" and got[len(ODD) + 2].n_base == 0 and 0.8 <= got[len(ODD) + 2].score < 1
+    assert got[len(ODD) + 3].base_labels == "apache,mit"
+
+
+def test_quality_rules(spark):
+    prose = "\n".join(f"This is sentence number {i} about things that differ in word {i * 7}." for i in range(8))
+    texts = [*ODD, prose, prose + "\nHome | About | Contact | Login | Help", "\n".join(["a | b | c | d"] * 3) + " " + " ".join(map(str, range(40)))]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs(spark, texts)).collect()}
+    assert [got[i].kept for i in range(len(ODD))] == [False] * len(ODD)
+    a, b, c = (got[len(ODD) + i] for i in range(3))
+    assert a.kept and a.clean_text == prose and b.kept and b.clean_text == prose and not c.kept
+    rng = random.Random(2)
+    for _ in range(200):
+        w = rng.choices("abc", k=rng.randrange(40))
+        at = {}
+        for i in range(len(w) - 7):
+            at.setdefault(tuple(w[i : i + 8]), []).append(i)
+        want = {i + j for v in at.values() if len(v) > 1 for i in v for j in range(8)}
+        assert quality_rules.repeated_words(w) == len(want)
+
+
+def brute_spans(x):
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(assign, x) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 24])
+
+
+def test_secrets_and_the_ledger(spark):
+    rng = random.Random(4)
+    bits = ["token", "Secret", "api_key", "=", ":", " ", '"', "abc", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "🎼", "\n", "x=y"]
+    texts = ODD + ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(300)] + ["secret=token: abcdefgh", "-----BEGIN RSA PRIVATE KEY-----"]
+    df = docs(spark, texts)
+    found, kept, ledger = secret_scan.secret_scan(df, ["doc_id"])
+    for r in found.collect():
+        assert [(s.start, s.rank, s.end) for s in r.spans if s.base] == brute_spans(texts[r.doc_id] or "")
+    kept, ledger = kept.cache(), ledger.cache()
+    more = docs(spark, [*texts, "password = hunter22"])
+    again, _, known = secret_scan.secret_scan(more, ["doc_id"], ledger=ledger, findings=kept)
+    assert {r.doc_id: r.spans for r in again.collect() if r.doc_id < len(texts)} == {r.doc_id: r.spans for r in found.collect()}
+    assert known.count() - ledger.count() == len(secret_scan.RULES)
+
+
+def brute_dedup(rows, least):
+    first, runs = {}, []
+    for key, text in rows:
+        lines = text.split("\n")
+        n = [len(re.findall("[^\x20\x09-\x0d]+", x)) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(n[a:b]) >= least:
+                    runs.append((key, a, b, tuple(lines[a:b])))
+    for key, a, _, run in runs:
+        first[run] = min(first.get(run, (key, a)), (key, a))
+    gone = {}
+    for key, a, b, run in runs:
+        if (key, a) > first[run]:
+            gone.setdefault(key, set()).update(range(a, b))
+    return {key: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(key, ())) for key, text in rows}
+
+
+def test_line_runs(spark):
+    rng = random.Random(6)
+    pool = ["", "a b", "c d e", "f", "g h i j k", "l m"]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 14)))) for i in range(60)] + [(100, "a b\n" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(df, min_words=6).collect()} == brute_dedup(rows, 6)
+
+
+def test_line_dedup_of_odd_rows(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, line), (None, line), (5, line), (5, line), (5, "other\n" + line), (6, None), (7, ""), (8, line + "\nend")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("doc", F.lit("d"))
+    got = [(r.doc_id, r.text, r.lines_removed) for r in line_dedup.line_dedup(df).collect()]
+    assert sorted(got, key=str) == sorted([(3, "", 1), (None, line, 0), (5, "", 1), (5, "", 1), (5, "other", 1), (6, None, 0), (7, "", 0), (8, "end", 1)], key=str)
+    assert line_dedup.line_dedup(df.limit(0)).count() == 0
