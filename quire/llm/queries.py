@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import oracles
 from quire.llm.html_extract import html_extract
 from quire.llm.jaccard import ngram_jaccard_join
 from quire.llm.license_scan import license_scan
@@ -99,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
