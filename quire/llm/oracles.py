@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm.secret_scan import RULES
+from quire.llm.secret_scan import RULES, _quick
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,7 +31,7 @@ from documents d left join (select l.doc_id, string_agg(l.line, chr(10) order by
 def _spans(rank: int) -> str:
     """A rule's spans: the gaps between the matches and the matches, in turn, add up to the offsets."""
     rule = RULES[rank]
-    pattern = rule.pattern.replace("'", "''")
+    pattern = _quick(rule).replace("'", "''")
     found = f"select doc_id, regexp_extract_all(t, '{pattern}') as m, regexp_extract_all(t, '{pattern}', {rule.group}) as p, string_split_regex(t, '{pattern}') as g from d where regexp_matches(t, '{pattern}')"
     start = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
     spans = f"select doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': {start}, 'e': {start} + length(m[i]), 'n': length(p[i])}})) as x from ({found})"

@@ -41,7 +41,7 @@ MORE_RULES = [
     Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"\bAIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url", r"\b[a-z][a-z0-9+.-]{1,30}://[^\s/:@]{1,256}:[^\s/:@]{3,256}@"),
+    Rule("url", r"\b[a-z][a-z0-9+.-]{1,30}://[^\s/:@]+:[^\s/:@]+@"),
 ]
 RULES = BASE_RULES + MORE_RULES
 LEDGER = "blob string, rule string, version int"
