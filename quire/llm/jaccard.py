@@ -155,8 +155,8 @@ def _emit(size: int, num: int, den: int):
                 more.append(s[at : at + _prefix(len(s), num, den)].copy() if len(s) else s)
             pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), _arrays(low), _arrays(more)],
-                ["doc_id", "n", "k1", "k2", "low", "more"],
+                [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), _arrays(low), _arrays(more)],
+                ["row_id", "doc_id", "n", "k1", "k2", "low", "more"],
             )
 
     return run
@@ -187,15 +187,35 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links count together. Other columns are ignored, so their names can't clash.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(texts.mapInArrow(_emit(ngram, num, den), "doc_id long, n long, k1 long, k2 long, low array<long>, more array<long>"))
+    # rows whose id has several texts go by a hash, so that each row_id has one set
+    version = F.xxhash64("text")
+    repeated = stored(texts.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), (F.min(version) != F.max(version)).alias("several")).where("times > 1").select("doc_id", "several"))
+    any_repeated = repeated.limit(1).count() > 0
+    any_several = any_repeated and repeated.where("several").limit(1).count() > 0
+    if any_several:
+        several = small(repeated.where("several"))
+        texts = texts.join(several, "doc_id", "left").select("text", "doc_id", F.when(F.col("several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("row_id"))
+    else:
+        texts = texts.withColumn("row_id", F.col("doc_id"))
+    texts = texts.select("row_id", "text", "doc_id")
+    sets = stored(texts.mapInArrow(_emit(ngram, num, den), "row_id long, doc_id long, n long, k1 long, k2 long, low array<long>, more array<long>"))
     filled = sets.where("n > 0 and doc_id is not null")
-    equal = stored(filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies")))
-    links = _links(texts, filled, equal.select("set_id"), ngram, num, den)
-    # an id with several texts is one document, which links all its sets
-    several = stored(filled.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("doc_id"))
-    own = filled.join(small(several), "doc_id", "left_semi").join(equal, ["k1", "k2", "n"]).select(F.col("doc_id").alias("src"), F.col("set_id").alias("dst"))
-    found = components(links.unionByName(own))
-    label = equal.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("k1", "k2", "n", "copies", F.coalesce("component", "set_id").alias("component"))
+    equal = stored(filled.groupBy("k1", "k2", "n").agg(F.min("row_id").alias("set_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    once, single = filled, texts
+    if any_repeated:
+        once, single = (_once(rows, repeated) for rows in (filled, texts))
+    links = _links(single.select("row_id", "text"), once, equal.select("set_id"), ngram, num, den)
+    if any_several:
+        # an id with several texts is one document, which links all its sets
+        own = filled.where("row_id <> doc_id").join(equal, ["k1", "k2", "n"]).select(F.col("doc_id").alias("src"), F.col("set_id").alias("dst"))
+        links = links.unionByName(own.distinct())
+    found = components(links)
+    label = equal.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("k1", "k2", "n", "copies", "least", F.coalesce("component", "set_id").alias("component"))
+    if any_several:
+        # a hash can stand for a component; its name is the smallest id
+        label = stored(label)
+        label = label.join(label.groupBy("component").agg(F.min("least").alias("lowest")), "component").withColumn("component", F.col("lowest"))
+    label = label.select("k1", "k2", "n", "copies", "component")
     return sets.select("doc_id", "n", "k1", "k2").join(label, ["k1", "k2", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -204,9 +224,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row of each ``row_id``; only the rows of repeated ids are shuffled."""
+    ids = small(repeated.select("doc_id"))
+    odd = stored(rows.join(ids, "doc_id", "left_semi").select(*rows.columns).dropDuplicates(["row_id"]))
+    return rows.join(ids, "doc_id", "left_anti").select(*rows.columns).unionByName(odd)
+
+
 def _read_sets(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     """The full sets of the documents in ``ids``."""
-    rows = texts.withColumnRenamed("doc_id", "set_id").join(small(ids), "set_id", "left_semi")
+    rows = texts.withColumnRenamed("row_id", "set_id").join(small(ids), "set_id", "left_semi")
     return rows.select("set_id", "text").mapInArrow(_full(ngram), "set_id long, tokens array<long>")
 
 
@@ -217,7 +244,7 @@ def _prefix_rows(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFra
     that aren't frequent, then all others by hash, then frequent low ones.
     """
     width = F.expr(_width(num, den))
-    chosen = stored(sets.withColumnRenamed("doc_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", "low", "more"))
+    chosen = stored(sets.withColumnRenamed("row_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", "low", "more"))
     tokens = chosen.select("set_id", "n", F.posexplode("low").alias("idx", "tok"))
     counts = tokens.groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1")
     shared = stored(tokens.join(counts, "tok").select("tok", "set_id", "n", "idx", (F.col("cnt") > LONG_LIST).cast("long").alias("hot")))

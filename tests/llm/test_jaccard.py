@@ -82,3 +82,40 @@ def test_hashes_do_not_depend_on_blocks(monkeypatch):
     whole = list(jaccard.token_sets(pa.array(texts), 3))
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     assert all(np.array_equal(a, b) for a, b in zip(whole, jaccard.token_sets(pa.array(texts), 3), strict=True))
+
+
+def test_repeated_rows_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG_LIST", 2)
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(2000)]
+    rows = []
+    for i in range(12):  # pairs just above the threshold, one of each repeated many times
+        text = rng.choices(vocab, k=100)
+        near = list(text)
+        for at in rng.sample(range(2, 97), 2):
+            near[at] = "x"
+        rows += [(10 * i, " ".join(text))] * rng.choice([3, 5]) + [(10 * i + 1, " ".join(near))]
+    for i in range(6):  # one id, several texts, each with a near copy elsewhere
+        for j in range(2):
+            text = rng.choices(vocab, k=100)
+            rows += [(500 + i, " ".join(text)), (500 + i, " ".join(text)), (600 + 10 * i + j, " ".join([*text[:-1], "y"]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], SCHEMA)
+    got = jaccard.ngram_jaccard_join(df, ngram=4, num=85, den=100).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85, 100)
+
+
+def test_repeated_rows_keep_their_positions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG_LIST", 2)
+    rng, seen = random.Random(9), []
+    common = rng.choices([f"w{i}" for i in range(400)], k=60)
+    rows = [(i, " ".join([*common, *rng.choices("abcdefgh", k=20)])) for i in range(6)]
+
+    def links(texts, sets, ids, ngram, num, den):
+        seen.append(sorted(map(tuple, jaccard._prefix_rows(sets, ids, num, den).collect())))
+        return spark.createDataFrame([], "src long, dst long")
+
+    monkeypatch.setattr(jaccard, "_links", links)
+    for given in (rows, rows + rows[:2] * 3):
+        jaccard.ngram_jaccard_join(spark.createDataFrame(given, "doc_id long, text string"), ngram=4, num=85, den=100)
+    assert seen[0] and seen[0] == seen[1]
