@@ -7,8 +7,9 @@ rereads the rows between stages; ``run`` does the same in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.jaccard import ngram_jaccard_join
 from quire.llm.line_dedup import line_dedup
@@ -16,13 +17,20 @@ from quire.llm.quality_classifier import quality_classifier
 from quire.llm.queries import MODEL_FILE, table
 from quire.llm.sentencepiece_codec import sentencepiece_encode
 from quire.llm.source_mix import mix_sources
-from quire.session import stored
+from quire.session import small, stored
+
+
+def _hash(*columns: str) -> Column:
+    """A hash of the columns in which a null differs from every value."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps, unchanged. Ids that are null go, as no verdict reaches them."""
-    verdict = quality_classifier(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.max("keep").alias("__keep"))
-    return docs.join(verdict.where("__keep").drop("__keep"), "doc_id", "left_semi").select(*docs.columns)
+    """Documents that the co-trained classifier keeps, unchanged. Each row has its own verdict, with or without an id of its own."""
+    keyed = docs.withColumn("__row", _hash(*docs.columns))
+    verdict = quality_classifier(keyed, table(spark, sf_dir, "labels"), row_col="__row").where("keep").select(F.col("doc_id").alias("__id"), "__row").distinct()
+    same = keyed["doc_id"].eqNullSafe(verdict["__id"]) & (keyed["__row"] == verdict["__row"])
+    return keyed.join(verdict, same, "left_semi").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +41,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 80 % of five-word shingles: that of the smallest id. Documents without words all stay."""
-    found = ngram_jaccard_join(docs, ngram=5, num=80, den=100)
-    first = found.where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group linked at 80 % of five-word shingles: that of the smallest id, rows without id last.
+
+    Rows are told apart by their id where no other row has it, and by a hash of
+    id and text otherwise, so rows that share an id are linked by their texts
+    only. Rows without words all stay, but for repeats of the same id and text.
+    """
+    shared = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id", F.lit(True).alias("__shared")))
+    alone = F.col("doc_id").isNotNull() & F.col("__shared").isNull()
+    keyed = docs.join(small(shared), "doc_id", "left").withColumn("__alone", alone)
+    keyed = keyed.withColumn("__row", F.when(alone, F.col("doc_id").cast("long")).otherwise(_hash("doc_id", "text"))).drop("__shared")
+    found = ngram_jaccard_join(keyed.select("__row", "text"), id_col="__row", ngram=5, num=80, den=100)
+    found = stored(found.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id").distinct())
+    ids = keyed.select("doc_id", "__row").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row")
+    first = found.where("n_shingles > 0").join(ids, "__row").groupBy("component_id").agg(F.min(place).alias("first")).select(F.col("first.__row").alias("__row"))
+    kept = keyed.join(first.unionByName(found.where("n_shingles = 0").select("__row")), "__row", "left_semi")
+    # only rows that aren't alone can repeat; the hash of all columns settles which stays
+    again = Window.partitionBy("__row").orderBy(_hash(*docs.columns))
+    odd = kept.where(~F.col("__alone")).withColumn("__rn", F.row_number().over(again)).where("__rn = 1")
+    return kept.where("__alone").select(*docs.columns).unionByName(odd.select(*docs.columns))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

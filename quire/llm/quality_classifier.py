@@ -92,24 +92,25 @@ def _offsets(names: list[str]) -> list[int]:
     return at.tolist()
 
 
-def view_bins(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
-    """``(doc_id, text_view, meta_view)``: the places of a document's bins in each view's table."""
+def view_bins(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", length_col: str = "n_chars", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, text_view, meta_view)``: the places of a document's bins in each view's table; ``row_col`` is kept after the id."""
     text_at, meta_at = _offsets(TEXT), _offsets(META)
+    first = ["doc_id", *([row_col] if row_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, sources, lengths = (batch.column(i) for i in range(1, 5))
+            texts, langs, sources, lengths = (batch.column(i) for i in range(len(first), len(first) + 4))
             a, b = [], []
             for t, lang, source, n in zip(texts, langs.to_pylist(), sources.to_pylist(), lengths.to_pylist(), strict=True):
                 t = t.as_py() or ""
                 a.append([x + y for x, y in zip(text_bins(t), text_at, strict=False)])
                 b.append([x + y for x, y in zip(meta_bins(n, t.count("\n") + 1 if t else 0, lang, source), meta_at, strict=False)])
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, kind), pa.array(b, kind)], ["doc_id", "text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(first)], pa.array(a, kind), pa.array(b, kind)], [*first, "text_view", "meta_view"])
 
     text = lambda c: F.col(c).cast("string").alias(f"__{c}")
-    source = docs.select(F.col(id_col).alias("doc_id"), text(text_col), text(lang_col), text(source_col), F.col(length_col).cast("long").alias("__n"))
-    return source.mapInArrow(run, extended(source.select("doc_id"), "text_view array<int>, meta_view array<int>"))
+    source = docs.select(F.col(id_col).alias("doc_id"), *first[1:], text(text_col), text(lang_col), text(source_col), F.col(length_col).cast("long").alias("__n"))
+    return source.mapInArrow(run, extended(source.select(*first), "text_view array<int>, meta_view array<int>"))
 
 
 def _score(view: str, weights: list[float]) -> Column:
@@ -152,7 +153,7 @@ def _step(score: Column) -> Column:
     return F.round(score / STEP).cast("int")
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, rounds: int = 3, sure: float = 0.98, threshold: float = 0.5, id_col: str = "doc_id", label_col: str = "quality", **columns) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, rounds: int = 3, sure: float = 0.98, threshold: float = 0.5, id_col: str = "doc_id", label_col: str = "quality", row_col: str | None = None, **columns) -> DataFrame:
     """``(doc_id, text_score, meta_score, score, keep)`` of every document.
 
     ``labels`` holds ``id_col`` and ``label_col`` (1 good, 0 bad). The scores are
@@ -165,8 +166,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, rounds: int = 3, sure
     nothing, several of one document by majority (ties: good). Without any label
     the scores are 0.5. Null texts, names and lengths have bins of their own or
     count as empty; rows that repeat an id are all returned.
+    ``row_col`` names a column that comes back with each row's verdict.
     """
-    bins = view_bins(docs, id_col=id_col, **columns)
+    bins = view_bins(docs, id_col=id_col, row_col=row_col, **columns)
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("good"))
     rows = stored(stored(bins).join(given, "doc_id", "left"))
     held = (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0) & F.col("good").isNotNull()
@@ -201,7 +203,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, rounds: int = 3, sure
     p = {v: _lookup(_step(_score(v, fitted[v])), chance[v]) for v in views}
     logit = lambda x: F.log(x / (1 - x))
     both = logit(p["text_view"]) + logit(p["meta_view"]) - prior
-    return rows.select("doc_id", p["text_view"].alias("text_score"), p["meta_view"].alias("meta_score"), (1 / (1 + F.exp(-both))).alias("score")).withColumn("keep", F.col("score") >= threshold)
+    return rows.select("doc_id", *([row_col] if row_col else []), p["text_view"].alias("text_score"), p["meta_view"].alias("meta_score"), (1 / (1 + F.exp(-both))).alias("score")).withColumn("keep", F.col("score") >= threshold)
 
 
 def _lookup(step: Column, chance: dict[int, float]) -> Column:
