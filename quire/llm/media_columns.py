@@ -4,7 +4,7 @@ One Aho-Corasick automaton finds the magic bytes of all known formats in a
 value. A validator for each format then reads the structure that follows and
 gives the length of the object, or refuses it. What starts at byte 0 is the
 value's type, whatever type was declared; what starts later is embedded, and
-can be carved out. Hits that no validator confirms are ordinary bytes.
+``carve_media`` cuts it out. Hits that no validator confirms are ordinary bytes.
 """
 
 from __future__ import annotations
@@ -115,24 +115,159 @@ def _bmp(b: memoryview, at: int) -> int | None:
     return size if fits and depth in (1, 4, 8, 16, 24, 32) else None
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> bits - 1 else 0)) & (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def crc8(data: bytes) -> int:
+    crc = 0
+    for x in data:
+        crc = _CRC8[crc ^ x]
+    return crc
+
+
+def crc16(data: bytes) -> int:
+    crc = 0
+    for x in data:
+        crc = (crc << 8 & 0xFF00) ^ _CRC16[crc >> 8 ^ x]
+    return crc
+
+
+class _Bits:
+    """Reads bits of ``b`` from byte ``at``; past the end it raises EOFError."""
+
+    def __init__(self, b: memoryview, at: int):
+        self.b, self.p, self.end = b, 8 * at, 8 * len(b)
+
+    def take(self, n: int) -> int:
+        if self.p + n > self.end:
+            raise EOFError
+        first, last = self.p >> 3, (self.p + n + 7) >> 3
+        self.p += n
+        return (int.from_bytes(self.b[first:last]) >> 8 * last - self.p) & (1 << n) - 1
+
+    def skip(self, n: int) -> None:
+        self.p += n
+        if self.p > self.end:
+            raise EOFError
+
+    def unary(self) -> int:
+        """The zero bits up to the next one bit, which is read too."""
+        n = 0
+        while True:
+            rest = 8 - (self.p & 7)
+            x = self.take(rest)
+            if x:
+                self.p -= x.bit_length() - 1
+                return n + rest - x.bit_length()
+            n += rest
+
+
+def _flac_subframe(r: _Bits, size: int, depth: int) -> None:
+    """Read past one channel of ``size`` samples; ValueError if it is none."""
+    head = r.take(8)
+    kind = head >> 1
+    if head & 0x80:
+        raise ValueError("no subframe")
+    if head & 1:
+        depth -= r.unary() + 1
+    if depth < 1:
+        raise ValueError("more wasted bits than bits")
+    if kind == 0:
+        return r.skip(depth)
+    if kind == 1:
+        return r.skip(depth * size)
+    order = kind - 8 if 8 <= kind <= 12 else kind - 31 if kind >= 32 else -1
+    if order < 0 or order > size:
+        raise ValueError("reserved subframe")
+    r.skip(order * depth)
+    if kind >= 32:
+        precision = r.take(4) + 1
+        if precision == 16:
+            raise ValueError("reserved precision")
+        r.skip(5 + order * precision)
+    method, parts = r.take(2), r.take(4)
+    if method > 1 or size % (1 << parts) or size >> parts < order:
+        raise ValueError("reserved residual")
+    width = 4 + method
+    for i in range(1 << parts):
+        n, k = (size >> parts) - (0 if i else order), r.take(width)
+        if k == (1 << width) - 1:
+            r.skip(n * r.take(5))
+            continue
+        for _ in range(n):
+            r.unary()
+            r.skip(k)
+    return None
+
+
+def _flac_frame(b: memoryview, at: int, depth: int) -> tuple[int, int] | None:
+    """(end, samples) of the FLAC frame at ``at`` with both check sums right, else None."""
+    r = _Bits(b, at)
+    try:
+        if r.take(15) != 0x7FFC:
+            return None
+        r.skip(1)
+        block, rate, channels, bits, reserved = r.take(4), r.take(4), r.take(4), r.take(3), r.take(1)
+        if not block or rate == 15 or channels > 10 or bits == 3 or reserved:
+            return None
+        number = r.take(8)
+        more = 0 if number < 0x80 else 7 - (number ^ 0xFF).bit_length()
+        if number >= 0x80 and not 1 <= more <= 6:
+            return None
+        r.skip(8 * more)
+        size = 192 if block == 1 else 576 << block - 2 if block < 6 else r.take(8 * (block - 5)) + 1 if block < 8 else 256 << block - 8
+        r.skip({12: 8, 13: 16, 14: 16}.get(rate, 0))
+        if crc8(b[at : r.p >> 3]) != r.take(8):
+            return None
+        depth = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}.get(bits, depth)
+        side = {8: 1, 9: 0, 10: 1}.get(channels)
+        for c in range(channels + 1 if channels < 8 else 2):
+            _flac_subframe(r, size, depth + (c == side))
+        r.skip(-r.p % 8)
+        end = r.p >> 3
+        return (end + 2, size) if crc16(b[at:end]) == r.take(16) else None
+    except (EOFError, ValueError):
+        return None
+
+
 def _flac(b: memoryview, at: int) -> int | None:
-    """FLAC: STREAMINFO first, metadata blocks in length, then a frame's sync code; runs to the end."""
-    p, first = at + 4, True
+    """FLAC: STREAMINFO first, metadata blocks in length, then frames, as many as hold the stated samples; 0 samples: all that follow."""
+    p, first, depth, total = at + 4, True, 0, 0
     while p + 4 <= len(b):
         head, size = b[p], int.from_bytes(b[p + 1 : p + 4])
-        if first and (head & 0x7F or size != 34):
-            return None
+        if first:
+            if head & 0x7F or size != 34 or p + 38 > len(b):
+                return None
+            info = int.from_bytes(b[p + 14 : p + 22])
+            depth, total = (info >> 36 & 31) + 1, info & (1 << 36) - 1
         p, first = p + 4 + size, False
         if head & 0x80:
-            return len(b) - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFC == 0xF8 else None
-    return None
+            break
+    else:
+        return None
+    done = 0
+    while (not total or done < total) and (frame := _flac_frame(b, p, depth)):
+        p, done = frame[0], done + frame[1]
+    return p - at if done and done >= total else None
 
 
 def _pdf(b: memoryview, at: int) -> int | None:
-    """PDF: a version number and an end mark."""
+    """PDF: a version number, up to the last end mark before another header, as each saved change adds one."""
     if not bytes(b[at + 5 : at + 8]).replace(b".", b"").isdigit():
         return None
-    end = bytes(b[at:]).find(b"%%EOF")
+    rest = bytes(b[at:])
+    following = rest.find(b"%PDF-", 5)
+    end = rest.rfind(b"%%EOF", 0, following if following >= 0 else len(rest))
     return end + 5 if end >= 0 else None
 
 
@@ -170,6 +305,17 @@ def sniff(value: bytes) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], -x[1], x[2]))
 
 
+def objects_of(value: bytes) -> tuple[tuple[int, int, str] | None, list[tuple[int, int, str]]]:
+    """The object at byte 0, if any, and the outermost ones that start later."""
+    objects = sniff(value)
+    inside, upto = [], 0
+    for o in objects:
+        if o[0] and o[0] >= upto:
+            inside.append(o)
+            upto = o[0] + o[1]
+    return next((o for o in objects if o[0] == 0), None), inside
+
+
 def media_columns(df: DataFrame, value_col: str, declared_col: str | None = None) -> DataFrame:
     """``df`` with ``media``: struct<type, length, corrected, trailing, embedded>.
 
@@ -191,15 +337,9 @@ def media_columns(df: DataFrame, value_col: str, declared_col: str | None = None
             media = []
             for value, said in zip(batch.column(batch.schema.get_field_index("__value")), declared, strict=True):
                 value = value.as_py() or b""
-                objects = sniff(value)
-                head = next((o for o in objects if o[0] == 0), None)
-                inside, upto = [], 0
-                for o in objects:
-                    if o[0] and o[0] >= upto:
-                        inside.append({"offset": o[0], "length": o[1], "type": o[2]})
-                        upto = o[0] + o[1]
+                head, inside = objects_of(value)
                 type_, length = (head[2], head[1]) if head else (None, None)
-                media.append({"type": type_, "length": length, "corrected": bool(head and said is not None and said != type_), "trailing": len(value) - (length or 0), "embedded": inside})
+                media.append({"type": type_, "length": length, "corrected": bool(head and said is not None and said != type_), "trailing": len(value) - (length or 0), "embedded": [dict(zip(("offset", "length", "type"), o, strict=True)) for o in inside]})
             columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(media, kind)], [*keep, "media"])
 
@@ -207,6 +347,42 @@ def media_columns(df: DataFrame, value_col: str, declared_col: str | None = None
     return df.select(*keep, F.col(value_col).cast("binary").alias("__value"), declared.alias("__declared")).mapInArrow(run, schema)
 
 
+def carve_media(df: DataFrame, value_col: str, declared_col: str | None = None) -> DataFrame:
+    """One row per object in a value: the columns of ``df`` but the value, with ``offset, length, type, corrected, object``.
+
+    ``object`` holds the bytes of the object. The one at byte 0 is ``corrected``
+    if its type is not the declared one; embedded ones have no declared type.
+    Values without objects give no row; columns of the five names are replaced.
+    """
+    names = ("offset", "length", "type", "corrected", "object")
+    keep = [c for c in df.columns if c not in (*names, value_col)]
+    schema = extended(df.select(*keep), "offset long, length long, type string, corrected boolean, object binary")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary())
+
+    def made(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+        kept = [batch.column(batch.schema.get_field_index(k)).take(pa.array(rows, pa.int64())) for k in keep]
+        return pa.RecordBatch.from_arrays([*kept, *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], [*keep, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, declared = (batch.column(batch.schema.get_field_index(k)) for k in ("__value", "__declared"))
+            rows, found, held = [], [], 0
+            for i in range(len(batch)):
+                value, said = values[i].as_py() or b"", declared[i].as_py()
+                head, inside = objects_of(value)
+                for o in [head, *inside] if head else inside:
+                    rows.append(i)
+                    found.append((*o, o is head and said is not None and said != o[2], value[o[0] : o[0] + o[1]]))
+                    held += o[1]
+                    if held > BLOCK:
+                        yield made(batch, rows, found)
+                        rows, found, held = [], [], 0
+            yield made(batch, rows, found)
+
+    declared = F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")
+    return df.select(*keep, F.col(value_col).cast("binary").alias("__value"), declared.alias("__declared")).mapInArrow(run, schema)
+
+
 def wrap_wav(payload: bytes) -> bytes:
     """The bytes as 8-bit mono samples of a WAV file; the length must be even."""
     if len(payload) % 2:

@@ -59,6 +59,33 @@ def test_media_round_trip_and_carving(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
 
 
+def flac(total, frames):
+    """A mono 16-bit stream of frames of 192 samples: constant, verbatim, and Rice-coded with a parameter of 0."""
+    out = b"fLaC\x80\x00\x00\x22" + bytes(10) + (44100 << 44 | 15 << 36 | total).to_bytes(8, "big") + bytes(16)
+    for i, kind in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x10, 0x08, i])
+        head += bytes([media_columns.crc8(head)])
+        body = {"constant": b"\x00\x12\x34", "verbatim": b"\x02" + b"BM\xff\xf8" * 96, "rice": b"\x10" + (((1 << 192) - 1) << 6).to_bytes(26, "big")}[kind]  # method, partitions and parameter are 10 zero bits
+        out += head + body + media_columns.crc16(head + body).to_bytes(2, "big")
+    return out
+
+
+def test_carved_bytes_and_ends_of_objects(spark):
+    assert (media_columns.crc8(b"123456789"), media_columns.crc16(b"123456789")) == (0xF4, 0xFEE8)
+    wav = media_columns.wrap_wav(b"\x80" * 64)
+    sound, open_ended = flac(576, ["constant", "verbatim", "rice"]), flac(0, ["rice", "constant"])
+    pdf = b"%PDF-1.7\nfirst\n%%EOF\nchange\n%%EOF"
+    rows = [(0, sound + b"tail", "audio/wav"), (1, b"x" + open_ended + b"yy" + wav, "audio/wav"), (2, b"x" + pdf + b"\n" + wav + pdf, None), (3, sound[:-1], None), (4, None, None), (5, wav, "audio/wav")]
+    df = spark.createDataFrame(rows, "doc_id long, file binary, declared string")
+    got = sorted((r.doc_id, r.offset, r.type, r.corrected, bytes(r.object)) for r in media_columns.carve_media(df, "file", "declared").collect())
+    at = 1 + len(open_ended) + 2
+    assert [r for r in got if r[0] in (0, 1, 5)] == [(0, 0, "audio/flac", True, sound), (1, 1, "audio/flac", False, open_ended), (1, at, "audio/wav", False, wav), (5, 0, "audio/wav", False, wav)]
+    assert [r[1:] for r in got if r[0] == 2] == [(1, "application/pdf", False, pdf), (len(pdf) + 2, "audio/wav", False, wav), (len(pdf) + 2 + len(wav), "application/pdf", False, pdf)]
+    assert not [r for r in got if r[0] in (3, 4)]
+    media = {r.doc_id: r.media for r in media_columns.media_columns(df, "file", "declared").collect()}
+    assert media[0].trailing == 4 and [e.type for e in media[1].embedded] == ["audio/flac", "audio/wav"]
+
+
 def test_flow_routes_overlapping_sources():
     flow = source_mix.min_cost_flow({"a": 10, "b": 10, "ab": 10}, {"a": ["A"], "b": ["B"], "ab": ["A", "B"]}, {"A": 18, "B": 12}, 2)
     assert sum(v for (_, s), v in flow.items() if s == "A") == 18 and sum(v for (_, s), v in flow.items() if s == "B") == 12
