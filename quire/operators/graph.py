@@ -5,32 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import stored
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """Nodes of ``edges`` with the smallest node that links lead to.
 
-    Returns ``(node, component)`` for every node on an edge. Each round takes
-    the smallest label among neighbours, then follows the label's own label,
-    so a chain of n links takes about log n rounds. Loops (src = dst), edges
-    met twice and edges with a null end change nothing; no edges give no rows.
+    Returns ``(node, component)`` for every node on an edge. In each round every
+    node hooks onto its smallest neighbour, if that is smaller, the hooks are
+    followed to their ends, each time twice as far, and the links between the
+    ends go to the next round. A chain of n links takes about log n steps in
+    whatever order its nodes stand. Loops (src = dst), edges met twice and edges
+    with a null end change nothing; no edges give no rows.
     """
-    one = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = cut(one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    one = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"), (F.col(src) != F.col(dst)).alias("differ"))
+    left = stored(one.where("differ").select("a", "b").distinct())
+    labels = None
     for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("up"))
-        jump = labels.select(F.col("node").alias("up"), F.col("component").alias("next"))
-        # the label of a label was that of the round before, so it can lag but never overshoot
-        step = cut(step.join(jump, "up").select("node", "was", F.least("up", "next").alias("component")))
-        moved = step.where("was <> component").limit(1).count()
-        labels = step.select("node", "component")
-        if not moved:
-            return labels
+        ends = _ends(stored(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))), max_rounds)
+        labels = ends if labels is None else stored(_moved(labels, ends, "component").unionByName(ends))
+        left = _moved(_moved(left, ends, "a"), ends, "b").where("a <> b")
+        left = stored(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        if not left.limit(1).count():
+            return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _ends(hooks: DataFrame, max_rounds: int) -> DataFrame:
+    """Hooks (node, component) followed until no component is itself a node."""
+    for _ in range(max_rounds):
+        nodes = hooks.select(F.col("node").alias("component"))
+        if not hooks.select("component").distinct().join(nodes, "component", "left_semi").limit(1).count():
+            return hooks
+        hooks = stored(_moved(hooks, hooks, "component"))
+    raise RuntimeError(f"hooks did not settle in {max_rounds} rounds")
+
+
+def _moved(rows: DataFrame, ends: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the values of ``column`` that are nodes of ``ends`` replaced by their components."""
+    other = ends.select(F.col("node").alias("__node"), F.col("component").alias("__end"))
+    return rows.join(other, rows[column] == other["__node"], "left").withColumn(column, F.coalesce("__end", column)).select(*rows.columns)
