@@ -56,9 +56,8 @@ def cross_verify(votes: DataFrame, high: float = 0.95, moderate: float = 0.85, c
     same = lambda i, j: (n[i] != "") & (n[i] == n[j])
     agreed = F.when(same(0, 1) | same(0, 2), n[0]).when(same(1, 2), n[1])
     winner = _best(list(zip(t, [F.round(x, 4) for x in c], strict=True)), [x == agreed for x in n])
-    far = F.greatest(F.levenshtein(n[0], n[1]), F.levenshtein(n[0], n[2]), F.levenshtein(n[1], n[2]))
-    short = F.least(*[F.length(x) for x in n])
-    close = (short > 0) & (far <= 1) & (short >= 3)
+    within = lambda a, b: F.levenshtein(a, b, 1) >= 0  # noqa: E731  the bounded form takes time in proportion to the length
+    close = (F.least(*[F.length(x) for x in n]) >= 3) & within(n[0], n[1]) & within(n[0], n[2]) & within(n[1], n[2])
     ok = [(x >= high) & (y != "") for x, y in zip(c, t, strict=True)]
     longest = F.array_max(F.array_compact(F.array(*[F.when(o, F.struct(F.length(y).alias("l"), F.lit(-i).alias("i"), y.alias("text"))) for i, (o, y) in enumerate(zip(ok, t, strict=True))])))["text"]
     from_high = F.when(script_dominant(longest) & ok[0], t[0]).when(is_ascii(longest) & ok[2], t[2]).otherwise(_best(list(zip(t, c, strict=True)), ok)["text"])

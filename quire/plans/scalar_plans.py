@@ -62,13 +62,18 @@ def argmin_grid(spark, sf_dir):
     return fitting.argmin_grid(view(spark, sf_dir, "li_boxes"), ["page_id", "idx"], 6, 30, F.abs(F.col("size") * 6.0 - (F.col("x2") - F.col("x1"))))
 
 
+_UNIT = "case when regexp_matches(ch, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7A3}\\x{FF00}-\\x{FFEF}]') then 2.0 when regexp_matches(ch, '[\\x09-\\x0D ]') then 0.5 else 1.0 end"
+
+
 @register(
     "char_boxes",
-    with_views("lines", select="""select doc_id as page_id, ln as idx, cast(i - 1 as int) as i, t[i] as ch, w * coalesce(list_sum(list_transform(string_split(t[1:i - 1], ''), lambda c: case when c = ' ' then 0.5 when c = '' then 0.0 else 1.0 end)), 0) / tot as x1,
-w * list_sum(list_transform(string_split(t[1:i], ''), lambda c: case when c = ' ' then 0.5 else 1.0 end)) / tot as x2 from (select *, unnest(range(1, length(t) + 1)) as i from
-(select doc_id, ln, substring(line, 1, 12) as t, 600.0 as w, list_sum(list_transform(string_split(substring(line, 1, 12), ''), lambda c: case when c = ' ' then 0.5 else 1.0 end)) as tot from lines where length(line) > 0 and not regexp_matches(line, '[^ -~]')) p) q"""),
+    with_views("lines", select=f""", c as (select doc_id as page_id, ln as idx, unnest(range(length(line))) as i, unnest(list_transform(range(1, length(line) + 1), lambda j: line[j])) as ch from lines),
+u as (select *, sum(u) over (partition by page_id, idx order by i) as upto, sum(u) over (partition by page_id, idx) as total from (select *, {_UNIT} as u from c) x)
+select page_id, idx, count(*) as n, round(avg(600 * (upto - u) / total), 3) as x1, round(avg(600 * upto / total), 3) as x2, round(max(600 * upto / total), 3) as last, round(min(600 * u / total), 3) as least from u group by page_id, idx""").replace(") , c", "), c"),
 )
 def char_boxes(spark, sf_dir):
-    """Starts of ASCII lines split over 600 pixels."""
-    rows = view(spark, sf_dir, "lines").where("length(line) > 0").where(~F.col("line").rlike("[^ -~]"))
-    return fitting.char_boxes(rows.select(F.col("doc_id").alias("page_id"), F.col("ln").alias("idx"), F.substring("line", 1, 12).alias("text"), F.lit(0).alias("x1"), F.lit(600).alias("x2")))
+    """Whole lines split over 600 pixels by character; the means of each line's boxes, its last edge and narrowest box."""
+    rows = view(spark, sf_dir, "lines")
+    boxes = fitting.char_boxes(rows.select(F.col("doc_id").alias("page_id"), F.col("ln").alias("idx"), F.col("line").alias("text"), F.lit(0).alias("x1"), F.lit(600).alias("x2")))
+    means = [F.round(F.avg("x1"), 3).alias("x1"), F.round(F.avg("x2"), 3).alias("x2"), F.round(F.max("x2"), 3).alias("last"), F.round(F.min(F.col("x2") - F.col("x1")), 3).alias("least")]
+    return boxes.groupBy("page_id", "idx").agg(F.count("*").alias("n"), *means)

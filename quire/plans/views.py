@@ -46,12 +46,10 @@ from words where w <> ''"""
 
 _VOTES = """
 select doc_id, ln, k,
-  case when k = 1 then line when (doc_id + ln) % 3 = 0 then line when (doc_id + ln) % 3 = 1 and k = 2 then upper(line)
-       when (doc_id + ln) % 3 = 1 then substring(line, 1, length(line) - 1) when k = 2 then substring(line, 1, length(line) - 1)
-       else upper(line) end as txt,
+  case when k = 1 then line when (doc_id + ln) % 3 = 0 then line when (doc_id + ln) % 3 = 1 and k = 2 then translate(line, 'aeiou', 'AEIOU')
+       when (doc_id + ln) % 3 = 1 or k = 2 then substring(line, 1, greatest(length(line) - 1, 0)) else translate(line, 'aeiou', 'AEIOU') end as txt,
   ((doc_id * 31 + ln * 17 + k * 53) % 100) / 100.0 as conf
-from lines cross join (select 1 as k union all select 2 union all select 3) z
-where length(line) between 4 and 80 and {ascii}"""
+from lines cross join (select 1 as k union all select 2 union all select 3) z"""
 
 _SCORES = """
 select s_suppkey as fixture, y as year,
@@ -67,7 +65,7 @@ _DUCK = {
     "lines": "select doc_id, unnest(range(len(string_split(text, chr(10))))) as ln, unnest(string_split(text, chr(10))) as line from documents",
     "words": "select doc_id, ln, unnest(range(len(string_split(line, ' ')))) as wn, unnest(string_split(line, ' ')) as w from lines",
     "word_boxes": _WORD_BOXES,
-    "votes": _VOTES.format(ascii="not regexp_matches(line, '[^ -~]')"),
+    "votes": _VOTES,
     "scores": _SCORES,
 }
 _SPARK = {
@@ -77,7 +75,7 @@ _SPARK = {
     "lines": "select doc_id, posexplode(split(text, '\\n')) as (ln, line) from documents",
     "words": "select doc_id, ln, posexplode(split(line, ' ')) as (wn, w) from lines",
     "word_boxes": _WORD_BOXES,
-    "votes": _VOTES.format(ascii="not regexp_like(line, '[^ -~]')"),
+    "votes": _VOTES,
     "scores": _SCORES,
 }
 _NEEDS = {"words": ["lines"], "word_boxes": ["lines", "words"], "votes": ["lines"]}
