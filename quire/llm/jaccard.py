@@ -1,52 +1,63 @@
 """Similarity join of documents on word n-gram sets, by grouped prefix filtering.
 
 A document's set holds the distinct n-grams of its words. Tokens have one
-global order: hash value, with tokens that many documents hold moved behind
-all others. Two sets of Jaccard similarity t or more share a token among the
-first ``n - ceil(t n) + 1`` of each, so only these prefixes are joined:
-
-1. equal sets collapse into one; documents emit their tokens of low hash, and
-   as many of the next ones as could be needed;
-2. low tokens are counted and shared ones kept; those that are frequent move
-   behind all others, which each document's own tokens then make up for;
-3. sets with the same prefix and size form one group; groups that share a
-   prefix token make pairs, filtered by size, position and common tokens;
-4. members of the pairs are verified on their full sets.
-
-Long token lists (large groups of near copies) are not paired off. Rounds
-first measure each member against one centre; what the links join is one
-component afterwards, and only members of different components are paired, if
-their overlaps with the centre leave room for a link. So no link between
-components is lost, and the pairs stay in proportion.
+global order: first those that few documents hold, by hash value, then the
+frequent ones, rarest first. Two sets of Jaccard similarity t or more share a
+token among the first ``n - ceil(t n) + 1`` of each, so only these prefixes
+are joined:
+
+1. equal sets collapse into one; each set gives its first tokens by hash;
+2. these are counted, and frequent ones move behind all others. Sets that lose
+   tokens of their prefix that way give more, which are counted too, until
+   every set has a whole prefix of infrequent tokens or has given all;
+3. sets with the same prefix and size form one group; groups that share an
+   infrequent token make pairs, filtered by size, position and common tokens;
+   their members are verified on their full sets;
+4. what else can link are sets with too few infrequent tokens to fill a prefix
+   ("common" ones), by their frequent tokens alone, as those that share an
+   infrequent one have met in 3. Of these, sets alike in frequent tokens and
+   size form one unit.
+
+Lists of frequent tokens may be long, so they are not paired off. A star first
+measures each unit against one centre, and what it joins is one component.
+Outside the list's largest component, groups of units with the same size and
+number of frequent tokens are compared first, and only groups that could hold a
+link between components are expanded to units. Both counts bound what two units
+may share, so this loses no link between components.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.operators.graph import components
 from quire.session import small, stored
 
-#: Lists of more members than this go through the rounds with centres.
+#: A token that more sets than this hold, as far as they gave it, is frequent.
 LONG_LIST = 64
-#: Rounds with centres before all pairs left are verified.
+#: Tokens that a set gives beyond its prefix, as some of them may be frequent.
+SPARE = 8
+#: Stars before all pairs that could link are verified.
 STAR_ROUNDS = 6
 #: Bytes of text hashed at once, which bounds the memory of a task.
 BLOCK = 2 << 20
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 512
 
-_STEP = 0x9E3779B97F4A7C17
-_BYTES = np.random.default_rng(20).integers(0, 2**62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[int, np.ndarray] = {}
+#: The bytes of a block that belong to the word, by how many these are.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,13 +66,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(base: int, size: int) -> np.ndarray:
-    """Powers of ``base`` modulo 2**64, from 0 to at least ``size``."""
-    if base not in _powers or len(_powers[base]) <= size:
-        p = np.full(max(size, BLOCK) + 1, base, np.uint64)
-        p[0] = 1
-        _powers[base] = np.cumprod(p, dtype=np.uint64)
-    return _powers[base]
+def _hash_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[begin:end]: blocks of 8 bytes, each mixed in before the next."""
+    size = end - begin
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    block = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    h = _mix(size.astype(np.uint64) * _STEP)
+    live, at = np.arange(len(size)), 0
+    while len(live):
+        if at >= LONG_WORD:
+            for i in live:
+                h[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+            break
+        left = size[live] - at
+        h[live] = _mix(h[live] * _STEP ^ (block[begin[live] + at] & _MASK[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    return h
 
 
 def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +97,7 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _power(_STEP, len(data))[: len(data)], out=total[1:])
-    back = _power(pow(_STEP, -1, 2**64), len(data))
-    return _mix((total[end] - total[begin]) * back[begin]), begin
+    return _hash_words(_LOWER[data], begin, end), begin
 
 
 def _long_text(data: np.ndarray) -> np.ndarray:
@@ -102,7 +119,7 @@ def _ngrams(words: np.ndarray, size: int) -> np.ndarray:
         return np.empty(0, np.int64)
     h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        h = _mix(h * np.uint64(_STEP) + words[i : len(words) - k + 1 + i])
+        h = _mix(h * _STEP + words[i : len(words) - k + 1 + i])
     h = np.sort(h.view(np.int64))
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
@@ -138,25 +155,18 @@ def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def _low(num: int, den: int) -> int:
-    """Hashes below this count as low: a little more of them than a prefix takes."""
-    return -(1 << 63) + ((den - num) * 10 + den) * (1 << 64) // (den * 10)
-
-
 def _emit(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, low, more = [], [], [], []
+            n, keys, first = [], [], []
             for s in token_sets(batch.column(1), size):
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                at = int(np.searchsorted(s, _low(num, den)))
-                low.append(s[:at].copy())
-                more.append(s[at : at + _prefix(len(s), num, den)].copy() if len(s) else s)
+                first.append(s[: _prefix(len(s), num, den) + SPARE].copy() if len(s) else s)
             pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), _arrays(low), _arrays(more)],
-                ["row_id", "doc_id", "n", "k1", "k2", "low", "more"],
+                [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), _arrays(first)],
+                ["row_id", "doc_id", "n", "k1", "k2", "toks"],
             )
 
     return run
@@ -172,6 +182,20 @@ def _full(size: int):
     return run
 
 
+def _stretch(size: int):
+    """Tokens of each set from place ``at`` to place ``upto``, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, len(batch), 1000):
+                part = batch.slice(begin, 1000)
+                bounds = zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
+                toks = [s[a:b].copy() for s, (a, b) in zip(token_sets(part.column(1), size), bounds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2).cast(pa.int64()), part.column(3).cast(pa.int64()), _arrays(toks)], ["set_id", "n", "at", "toks"])
+
+    return run
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document with its set size, links and connected component.
 
@@ -198,7 +222,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         texts = texts.withColumn("row_id", F.col("doc_id"))
     texts = texts.select("row_id", "text", "doc_id")
-    sets = stored(texts.mapInArrow(_emit(ngram, num, den), "row_id long, doc_id long, n long, k1 long, k2 long, low array<long>, more array<long>"))
+    sets = stored(texts.mapInArrow(_emit(ngram, num, den), "row_id long, doc_id long, n long, k1 long, k2 long, toks array<long>"))
     filled = sets.where("n > 0 and doc_id is not null")
     equal = stored(filled.groupBy("k1", "k2", "n").agg(F.min("row_id").alias("set_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     once, single = filled, texts
@@ -237,103 +261,174 @@ def _read_sets(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     return rows.select("set_id", "text").mapInArrow(_full(ngram), "set_id long, tokens array<long>")
 
 
-def _prefix_rows(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
-    """``(set_id, n, tok, pos)``: the tokens of each set's prefix that another set could hold there too.
+def _listed(parts: list[DataFrame]) -> DataFrame:
+    """``(set_id, n, idx, tok)``: the tokens given so far, and their places in their set by hash."""
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select("set_id", "n", "at", F.posexplode("toks").alias("i", "tok")).select("set_id", "n", (F.col("at") + F.col("i")).alias("idx"), "tok")
+
+
+def _counted(texts: DataFrame, chosen: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """``(set_id, n, idx, tok, cnt)``: the given tokens that several sets gave.
 
-    ``pos`` is the token's place in its set by the global order: low tokens
-    that aren't frequent, then all others by hash, then frequent low ones.
+    Goes on until each set has given a prefix of infrequent tokens, or all.
     """
+    parts = [chosen]
     width = F.expr(_width(num, den))
-    chosen = stored(sets.withColumnRenamed("row_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", "low", "more"))
-    tokens = chosen.select("set_id", "n", F.posexplode("low").alias("idx", "tok"))
-    counts = tokens.groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    shared = stored(tokens.join(counts, "tok").select("tok", "set_id", "n", "idx", (F.col("cnt") > LONG_LIST).cast("long").alias("hot")))
-    place = Window.partitionBy("set_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    before, hot = F.coalesce(F.sum("hot").over(place), F.lit(0)), F.sum("hot").over(Window.partitionBy("set_id"))
-    pos = F.when(F.col("hot") == 0, F.col("idx") - F.col("before")).otherwise(F.col("n") - F.col("all_hot") + F.col("before"))
-    first = shared.withColumns({"before": before, "all_hot": hot}).withColumn("pos", pos).where(F.col("pos") < width).select("set_id", "n", "tok", "pos")
-    lost = stored(shared.where("hot = 1").groupBy("set_id").agg(F.count("*").alias("lost")))
-    here = F.size("low") - F.coalesce("lost", F.lit(0))
-    short = chosen.join(lost, "set_id", "left").select("set_id", "n", here.cast("long").alias("here"), "more").where(F.col("here") < width)
-    rest = short.select("set_id", "n", "here", F.posexplode(F.slice("more", F.lit(1), (width - F.col("here")).cast("int"))).alias("j", "tok"))
-    return first.unionByName(rest.select("set_id", "n", "tok", (F.col("here") + F.col("j")).alias("pos")))
+    counts = stored(_listed(parts).groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1"))
+    while True:
+        hot = stored(counts.where(F.col("cnt") > LONG_LIST).select("tok"))
+        # what frequent tokens take from each set's tokens so far
+        lost = stored(_listed(parts).join(small(hot), "tok").groupBy("set_id").agg(F.count("*").alias("hot")))
+        given = reduce(DataFrame.unionByName, parts).join(small(lost), "set_id").groupBy("set_id", "n", "hot").agg(F.sum(F.size("toks")).alias("at"))
+        missing = width - (F.col("at") - F.col("hot"))
+        short = given.where((F.col("at") < F.col("n")) & (missing > 0))
+        short = stored(short.select("set_id", F.col("n").alias("n"), "at", F.least("n", F.col("at") + 2 * missing + SPARE).alias("upto")))
+        if not short.limit(1).count():
+            # the counts grow with the corpus, so both sides are dealt by token at every size
+            return stored(_listed(parts).join(counts.hint("merge"), "tok").select("set_id", "n", "idx", "tok", "cnt"))
+        rows = texts.withColumnRenamed("row_id", "set_id").join(small(short), "set_id").select("set_id", "text", "n", "at", "upto")
+        more = stored(rows.mapInArrow(_stretch(ngram), "set_id long, n long, at long, toks array<long>"))
+        fresh = stored(_listed([more]).groupBy("tok").agg(F.count("*").alias("cnt")))
+        before = _listed(parts).join(small(fresh.select("tok")), "tok").groupBy("tok").agg(F.count("*").alias("cnt"))
+        both = before.unionByName(fresh).groupBy("tok").agg(F.sum("cnt").alias("cnt")).where("cnt > 1")
+        counts = stored(counts.unionByName(both).groupBy("tok").agg(F.max("cnt").alias("cnt")))
+        parts.append(more)
+
+
+def _prefixes(counted: DataFrame, num: int, den: int) -> DataFrame:
+    """``(set_id, n, cold, hot)``: infrequent prefix tokens with their places, and a common set's frequent tokens.
+
+    Frequent tokens lie behind all others, rarest first; only a set with too few
+    others, which has then given all of its tokens, has them in its prefix.
+    Of the infrequent ones, those that no other set gave are left out.
+    """
+    width = F.expr(_width(num, den)).cast("int")
+    rows = counted.groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("idx", "tok", "cnt"))).alias("x"))
+    # a token's place moves up by the frequent ones before it: its place here less that among the infrequent
+    at = F.transform("x", lambda y, i: F.struct(y["idx"].alias("idx"), y["tok"].alias("tok"), (y["cnt"] > LONG_LIST).alias("hot"), y["cnt"].alias("cnt"), i.alias("i")))
+    rows = rows.select("set_id", "n", at.alias("x"), F.filter(at, lambda y: ~y["hot"]).alias("cold"), F.filter(at, lambda y: y["hot"]).alias("hot"))
+    cold = F.transform("cold", lambda y, j: F.struct((y["idx"] - y["i"] + j).cast("int").alias("pos"), y["tok"].alias("tok")))
+    hot = F.transform(F.array_sort(F.transform("hot", lambda y: F.struct(y["cnt"].alias("cnt"), y["tok"].alias("tok")))), lambda y: y["tok"])
+    rows = rows.select("set_id", "n", F.filter(cold, lambda y: y["pos"] < width).alias("cold"), F.when(F.col("n") - F.size("hot") < width, hot).alias("hot"))
+    return rows.where("size(cold) > 0 or hot is not null")
 
 
 def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
     """Links (src, dst) that join the same components as all links do."""
-    keyed = _prefix_rows(sets, ids, num, den).groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("prefix"))
-    keyed = stored(keyed)
-    grouped = keyed.groupBy("n", "prefix").agg(F.min("set_id").alias("group_id"), F.count("*").alias("members"))
-    grouped = stored(grouped)
-    lists = grouped.select("group_id", "n", F.explode("prefix").alias("p")).select("group_id", "n", F.col("p.tok").alias("key"), F.col("p.pos").alias("pos"))
-    lists = stored(lists.join(lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"))
+    chosen = sets.withColumnRenamed("row_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", F.lit(0).cast("long").alias("at"), "toks")
+    keyed = stored(_prefixes(_counted(texts, stored(chosen), ngram, num, den), num, den))
+    links = _cold_links(texts, keyed, ngram, num, den)
+    return _common_links(keyed.where("hot is not null").select("set_id", "n", "hot"), links, num, den)
+
+
+def _cold_links(texts: DataFrame, keyed: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """Links between sets that share an infrequent token of their prefixes; at most ``LONG_LIST`` sets hold one."""
+    width = F.expr(_width(num, den)).cast("int")
+    none = F.array().cast("array<long>")
+    frequent = F.when(F.col("hot").isNull(), none).otherwise(F.slice("hot", F.lit(1), width - F.col("n").cast("int") + F.size("hot")))
+    prefixed = stored(keyed.where("size(cold) > 0").select("set_id", "n", F.struct("cold", frequent.alias("hot")).alias("prefix")))
+    grouped = stored(prefixed.groupBy("n", "prefix").agg(F.min("set_id").alias("group_id"), F.count("*").alias("members")))
+    lists = grouped.select("group_id", "n", F.size("prefix.hot").alias("more"), F.explode("prefix.cold").alias("p")).select(F.col("p.tok").alias("key"), "group_id", "n", F.col("p.pos").alias("pos"), "more")
     many = grouped.where("members > 1")
-    member = stored(keyed.join(many, ["n", "prefix"]).select("group_id", "set_id", "n"))
+    member = stored(prefixed.join(many, ["n", "prefix"]).select("group_id", "set_id"))
 
-    # short lists: groups in pairs, kept if they share enough of their prefixes
-    long_ = lists.where(F.col("m") > LONG_LIST).groupBy("group_id").agg(F.count("*").alias("long"))
-    short = lists.where(F.col("m") <= LONG_LIST).join(long_, "group_id", "left").select("key", "group_id", "n", "pos", F.coalesce("long", F.lit(0)).alias("long"))
-    a, b = (short.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("group_id", "n", "pos", "long")]) for s in "ab")
+    a, b = (lists.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("group_id", "n", "pos", "more")]) for s in "ab")
     pairs = a.join(b, "key").where("group_ida < group_idb").where(_near("na", "nb", "posa", "posb", num, den))
-    pairs = pairs.groupBy("group_ida", "group_idb", "na", "nb").agg(F.count("*").alias("common"), F.first(F.least("longa", "longb")).alias("more"))
-    pairs = stored(pairs.where(_enough(num, den)).select(F.col("group_ida").alias("src"), F.col("group_idb").alias("dst")))
+    pairs = pairs.groupBy("group_ida", "group_idb", "na", "nb").agg(F.count("*").alias("common"), F.first(F.least("morea", "moreb")).alias("more"))
+    pairs = stored(pairs.where(_enough(num, den)).select(F.col("group_ida").alias("src"), F.col("group_idb").alias("dst"), "common"))
+    # each group's best partner first, then the pairs that aren't of one component yet
+    ends = F.explode(F.array(F.struct("src", F.col("dst").alias("other")), F.struct(F.col("dst").alias("src"), F.col("src").alias("other")))).alias("e")
+    best = pairs.select("common", ends).groupBy("e.src").agg(F.max_by("e.other", F.struct("common", -F.col("e.other"))).alias("dst"))
+    best = best.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     own = member.where("set_id <> group_id").select(F.col("group_id").alias("src"), F.col("set_id").alias("dst"))
-    tried = stored(pairs.union(own))
+    tried = stored(best.union(own).distinct())
     links = stored(_verify(texts, tried, ngram, num, den))
-    # a set with few listed tokens can't share many; equal prefixes share all
-    held = lists.groupBy("group_id").agg(F.count("*").alias("listed"))
-    entries = lists.where(F.col("m") > LONG_LIST).join(held, "group_id").select("key", "group_id", "n", "pos", "listed")
-    within = many.select((-F.col("group_id") - 1).alias("key"), "group_id", "n", F.lit(0).alias("pos"), F.col("n").alias("listed"))
-    entries = stored(entries.unionByName(within))
-    if not entries.limit(1).count():
+    label = stored(components(links))
+    a, b = (label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")) for end in ("src", "dst"))
+    open_ = pairs.join(a, "src", "left").join(b, "dst", "left").where(F.coalesce("csrc", "src") != F.coalesce("cdst", "dst")).select("src", "dst")
+    open_ = stored(open_.join(tried, ["src", "dst"], "left_anti"))
+    if open_.limit(1).count():
+        links = stored(links.union(_verify(texts, open_, ngram, num, den)))
+        tried = tried.union(open_)
+
+    # members of groups that make a pair, and of one group, if they aren't of one component yet
+    label = stored(components(links).withColumnRenamed("node", "set_id"))
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("group_id")).union(member.select("group_id")).distinct()
+    of = ends.select("group_id", F.col("group_id").alias("set_id")).union(member).distinct()
+    of = stored(_labelled(of, label))
+    several = pairs.join(small(many.select(F.col("group_id").alias("src"), F.lit(1).alias("one"))), "src", "left").join(small(many.select(F.col("group_id").alias("dst"), F.lit(1).alias("two"))), "dst", "left").where("one is not null or two is not null").select("src", "dst")
+    several = several.union(many.select("group_id", F.col("group_id")))
+    a, b = (of.select(F.col("group_id").alias(g), F.col("set_id").alias(f"set_id{s}"), F.col("component").alias(f"c{s}")) for g, s in (("src", "a"), ("dst", "b")))
+    rest = several.join(a, "src").join(b, "dst").where("ca <> cb")
+    rest = rest.select(F.least("set_ida", "set_idb").alias("src"), F.greatest("set_ida", "set_idb").alias("dst")).distinct()
+    rest = stored(rest.join(tried, ["src", "dst"], "left_anti"))
+    if not rest.limit(1).count():
         return links
+    return stored(links.union(_verify(texts, rest, ngram, num, den)))
 
-    # long lists and groups of several sets: one round after the other against a centre
-    alone = grouped.select("group_id", F.col("group_id").alias("set_id")).join(member.select("group_id").distinct(), "group_id", "left_anti")
-    sets_of = stored(alone.unionByName(member.select("group_id", "set_id")))
-    fields = ("set_id", "n", "pos", "listed")
-    listed = stored(entries.join(sets_of, "group_id").select("key", *fields))
-    # the first centre of a list is the set with the most listed tokens; all members are measured against it
-    centre = listed.groupBy("key").agg(F.min_by("set_id", F.struct(-F.col("listed"), F.xxhash64("set_id"))).alias("src"))
-    spokes = stored(listed.join(centre, "key").select("key", "src", F.col("set_id").alias("dst")))
-    measured = stored(_overlaps(texts, spokes.where("src <> dst").select("src", "dst"), ngram))
-    links = stored(links.union(_linked(measured, num, den)))
-    overlap = F.when(F.col("src") == F.col("dst"), F.lit(None)).otherwise(F.col("both"))
-    seen = spokes.join(measured, ["src", "dst"], "left").select("key", F.col("dst").alias("set_id"), overlap.alias("overlap"))
-    listed = stored(listed.join(seen, ["key", "set_id"]).select("key", *[F.col(c) for c in fields], F.coalesce("overlap", "n").cast("long").alias("overlap")))
-    fields = (*fields, "overlap")
-    for k in range(STAR_ROUNDS):
-        label = stored(components(links).withColumnRenamed("node", "set_id"))
-        now = stored(_labelled(listed, label))
-        each = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("listed")).alias("few"), F.xxhash64("set_id", F.lit(k)).alias("h"), *fields)).alias("one"))
-        best = each.groupBy("key").agg(F.max(F.struct("size", "component", "one")).alias("top"), F.sum("size").alias("m")).where(F.col("m") > F.col("top.size"))
-        best = stored(best.select("key", "m", "top.size", "top.component", "top.one.*"))
-        # where few are outside the largest component, pairing them off is in proportion
-        if not best.where(F.col("m") - F.col("size") > LONG_LIST).limit(1).count():
-            break
-        centre = best.select("key", F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in fields])
-        ends = now.select("key", F.col("component").alias("cb"), *[F.col(c).alias(f"{c}b") for c in fields])
-        star = ends.join(centre, "key").where("ca <> cb").where(_near("na", "nb", "posa", "posb", num, den) & _can(num, den) & _room(num, den))
-        found = stored(_verify(texts, star.select(F.col("set_ida").alias("src"), F.col("set_idb").alias("dst")), ngram, num, den))
-        if not found.limit(1).count():
+
+def _common_links(common: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """``links``, and those between common sets that share only frequent tokens.
+
+    Without a shared infrequent token two sets share at most the frequent ones
+    of either, so a unit (sets of one size with the same frequent tokens that
+    link with each other) links with another unit as one set or not at all.
+    """
+    width = F.expr(_width(num, den)).cast("int")
+    held = F.size("hot").cast("long")
+    alike = (num + den) * held >= 2 * num * F.col("n")
+    keyed = stored(common.withColumn("alone", F.when(~alike, F.col("set_id"))))
+    if not keyed.limit(1).count():
+        return links
+    units = stored(keyed.groupBy("n", "hot", "alone").agg(F.min("set_id").alias("unit"), F.count("*").alias("members")))
+    several = units.where("members > 1").select("n", "hot", "unit")
+    links = stored(links.union(keyed.where("alone is null").join(several, ["n", "hot"]).where("set_id <> unit").select(F.col("unit").alias("src"), F.col("set_id").alias("dst"))))
+    listed = units.select("unit", "n", held.alias("h"), F.explode(F.slice("hot", F.lit(1), width - F.col("n").cast("int") + F.size("hot"))).alias("key"))
+    listed = stored(listed.join(listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key").select("key", "unit", "n", "h"))
+    rows = listed.count()
+    sets = units.select("unit", "n", "hot")
+    centre = listed.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("h"), F.xxhash64("unit"), "unit", "n", "h")).alias("top")).select("key", *_as("top.", "a"))
+    for k in range(STAR_ROUNDS + 1):
+        star = listed.select("key", *_as("", "b")).join(small(centre), "key").where(_could(num, den)).where("unita <> unitb")
+        links = stored(links.union(_alike(sets, star, num, den)))
+        label = stored(components(links).withColumnRenamed("node", "unit"))
+        now = stored(listed.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit")))
+        main = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+        now = stored(now.join(small(stored(main)), "key").withColumn("inside", F.col("component") == F.col("main")).drop("main"))
+        # groups of equal counts first: could they hold a link between components?
+        groups = stored(now.groupBy("key", "n", "h", "inside").agg(F.count("*").alias("c")))
+        a = groups.where("not inside").select("key", F.col("n").alias("na"), F.col("h").alias("ha"), F.col("c").alias("ca"))
+        b = groups.select("key", F.col("n").alias("nb"), F.col("h").alias("hb"), F.col("c").alias("cb"), F.col("inside").alias("insideb"))
+        itself = (F.col("na") == F.col("nb")) & (F.col("ha") == F.col("hb")) & ~F.col("insideb") & (F.col("cb") == 1)
+        open_ = stored(a.join(b, "key").where(_could(num, den)).where(~itself))
+        # where few are open, expanding them is in proportion
+        if k == STAR_ROUNDS or (open_.agg(F.sum(F.col("ca") * F.col("cb"))).first()[0] or 0) <= 2 * rows:
             break
-        links = stored(links.union(found))
+        outside = now.where("not inside").join(open_.select("key", F.col("na").alias("n"), F.col("ha").alias("h")).distinct(), ["key", "n", "h"])
+        centre = stored(outside.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("h"), F.xxhash64("unit", F.lit(k)), "unit", "n", "h")).alias("top")).select("key", *_as("top.", "a")))
 
-    # the rest: sets of different components, in a long list or in groups that make a pair
-    label = stored(components(links).withColumnRenamed("node", "set_id"))
-    now = stored(_labelled(listed, label))
-    # the smaller set of a pair meets the other in a still shorter prefix, as no partner is smaller
-    short = F.col("n") - F.expr(f"(2 * {num} * n + {num + den - 1}) div {num + den}") + 1
-    a = now.where(F.col("pos") < short).select("key", F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in fields])
-    b = now.select("key", F.col("component").alias("cb"), *[F.col(c).alias(f"{c}b") for c in fields])
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("set_ida") < F.col("set_idb")))
-    rest = a.join(b, "key").where("ca <> cb").where(smaller & _near("na", "nb", "posa", "posb", num, den) & _can(num, den) & _room(num, den)).select("set_ida", "set_idb")
-    several = pairs.join(many.select(F.col("group_id").alias("src"), F.lit(1).alias("one")), "src", "left").join(many.select(F.col("group_id").alias("dst"), F.lit(1).alias("two")), "dst", "left").where("one is not null or two is not null")
-    a, b = (_labelled(sets_of, label).select(F.col("group_id").alias(g), F.col("set_id").alias(f"set_id{s}"), F.col("component").alias(f"c{s}")) for g, s in (("src", "a"), ("dst", "b")))
-    cross = several.join(a, "src").join(b, "dst").where("ca <> cb").select("set_ida", "set_idb")
-    rest = rest.union(cross).select(F.least("set_ida", "set_idb").alias("src"), F.greatest("set_ida", "set_idb").alias("dst")).distinct()
-    rest = rest.join(tried, ["src", "dst"], "left_anti")
-    return links.union(stored(_verify(texts, rest, ngram, num, den)))
+    outside = now.where("not inside").select("key", *_as("", "a"), F.col("component").alias("ka"))
+    partner = open_.select("key", "na", "ha", "nb", "hb", "insideb")
+    ends = now.select("key", *_as("", "b"), F.col("component").alias("kb"), F.col("inside").alias("insideb"))
+    rest = outside.join(partner, ["key", "na", "ha"]).join(ends, ["key", "nb", "hb", "insideb"]).where("ka <> kb")
+    return stored(links.union(_alike(sets, rest, num, den)))
+
+
+def _as(prefix: str, suffix: str) -> list[Column]:
+    return [F.col(f"{prefix}{c}").alias(f"{c}{suffix}") for c in ("unit", "n", "h")]
+
+
+def _could(num: int, den: int) -> Column:
+    """Could units overlap enough by their frequent tokens alone?"""
+    return (num + den) * F.least("ha", "hb") >= num * (F.col("na") + F.col("nb"))
+
+
+def _alike(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of units that link by their frequent tokens, as (src, dst)."""
+    pairs = stored(pairs.select(F.least("unita", "unitb").alias("src"), F.greatest("unita", "unitb").alias("dst")).distinct())
+    a, b = (sets.select(F.col("unit").alias(end), F.col("n").alias(f"n{s}"), F.col("hot").alias(f"hot{s}")) for end, s in (("src", "a"), ("dst", "b")))
+    both = pairs.join(a, "src").join(b, "dst").withColumn("both", F.size(F.array_intersect("hota", "hotb")))
+    return both.where((num + den) * F.col("both") >= num * (F.col("na") + F.col("nb"))).select("src", "dst")
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -353,29 +448,14 @@ def _near(na: str, nb: str, posa: str, posb: str, num: int, den: int) -> Column:
     return (den * least >= num * most) & ((num + den) * room >= num * (F.col(na) + F.col(nb)))
 
 
-def _enough(num: int, den: int, common: str = "common + more") -> Column:
+def _enough(num: int, den: int) -> Column:
     """Do the prefixes share so many tokens that the rest can make up the overlap?
 
     Common tokens up to the end of the prefix that ends first are in both
     prefixes; beyond it that set has ceil(n num / den) - 1 tokens left.
     """
     left = F.ceil(F.greatest("na", "nb") * num / den) - 1
-    return (num + den) * (F.expr(common) + left) >= num * (F.col("na") + F.col("nb"))
-
-
-def _can(num: int, den: int) -> Column:
-    """Could they share enough, given how many tokens of each prefix are listed at all?"""
-    return _enough(num, den, "least(listeda, listedb)")
-
-
-def _room(num: int, den: int) -> Column:
-    """Could they overlap enough, given their overlaps with the list's centre?
-
-    What two sets share lies in the centre or outside it; each part is no larger
-    than that part of either set.
-    """
-    most = F.least("overlapa", "overlapb") + F.least(F.col("na") - F.col("overlapa"), F.col("nb") - F.col("overlapb"))
-    return (num + den) * most >= num * (F.col("na") + F.col("nb"))
+    return (num + den) * (F.col("common") + F.col("more") + left) >= num * (F.col("na") + F.col("nb"))
 
 
 def _overlaps(texts: DataFrame, pairs: DataFrame, ngram: int) -> DataFrame:

@@ -107,15 +107,53 @@ def test_repeated_rows_match_brute_force(spark, monkeypatch):
 
 def test_repeated_rows_keep_their_positions(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LONG_LIST", 2)
-    rng, seen = random.Random(9), []
+    rng, seen, plain = random.Random(9), [], jaccard._prefixes
     common = rng.choices([f"w{i}" for i in range(400)], k=60)
     rows = [(i, " ".join([*common, *rng.choices("abcdefgh", k=20)])) for i in range(6)]
 
-    def links(texts, sets, ids, ngram, num, den):
-        seen.append(sorted(map(tuple, jaccard._prefix_rows(sets, ids, num, den).collect())))
-        return spark.createDataFrame([], "src long, dst long")
+    def prefixes(*args):
+        out = plain(*args)
+        seen.append(sorted(map(str, out.collect())))
+        return out
 
-    monkeypatch.setattr(jaccard, "_links", links)
+    monkeypatch.setattr(jaccard, "_prefixes", prefixes)
     for given in (rows, rows + rows[:2] * 3):
         jaccard.ngram_jaccard_join(spark.createDataFrame(given, "doc_id long, text string"), ngram=4, num=85, den=100)
     assert seen[0] and seen[0] == seen[1]
+
+
+def near_copies(seed, size):
+    """Large groups: copies with words put in, changed and left out, chains of copies, and short texts around a shared passage."""
+    rng, rows = random.Random(seed), []
+    word = lambda: f"x{rng.randrange(10**6)}"
+    first, passage, chain = ([f"w{rng.randrange(300)}" for _ in range(k)] for k in (120, 90, 80))
+    for i in range(size):
+        text = list(first)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            at = rng.randrange(len(text))
+            text[at : at + rng.choice([0, 1, 1])] = rng.choice([[], [word()], [word(), word()], first[:3]])
+        rows.append(text)
+        rows.append([*[word() for _ in range(rng.randrange(14))], *passage, *(first[: rng.choice([0, 0, 4, 9])])])
+        if i % 2:
+            chain = list(chain)
+            chain[rng.randrange(len(chain))] = rng.choice(first)
+            rows.append(chain)
+    return [(i * 37 % 10007, " ".join(t)) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("seed", "long_list", "rounds", "num"), [(11, 16, 6, 85), (12, 4, 0, 85), (13, 32, 1, 80)])
+def test_large_groups_match_brute_force(spark, monkeypatch, seed, long_list, rounds, num):
+    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
+    rows = near_copies(seed, 250)
+    got = jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), ngram=4, num=num, den=100).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, num, 100)
+
+
+def test_words_of_any_length_have_hashes_of_their_own(spark):
+    """The two words of a Thue-Morse sequence have equal polynomial hashes for every odd base modulo 2**64."""
+    morse = [bin(i).count("1") % 2 for i in range(4096)]
+    words = [["".join(two[m] for m in morse[:k]) for two in ("ab", "ba")] for k in (512, 4096)]
+    rows = [(10 * i + j, w) for i, pair in enumerate(words) for j, w in enumerate(pair)] + [(30 + k, "a" * k) for k in range(7, 18)]
+    got = jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), ngram=4, num=85, den=100).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 1 for r in got)
