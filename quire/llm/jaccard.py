@@ -228,12 +228,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     once, single = filled, texts
     if any_repeated:
         once, single = (_once(rows, repeated) for rows in (filled, texts))
-    links = _links(single.select("row_id", "text"), once, equal.select("set_id"), ngram, num, den)
+    links, found = _links(single.select("row_id", "text"), once, equal.select("set_id"), ngram, num, den)
     if any_several:
         # an id with several texts is one document, which links all its sets
         own = filled.where("row_id <> doc_id").join(equal, ["k1", "k2", "n"]).select(F.col("doc_id").alias("src"), F.col("set_id").alias("dst"))
-        links = links.unionByName(own.distinct())
-    found = components(links)
+        found = components(links.unionByName(own.distinct()))
     label = equal.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("k1", "k2", "n", "copies", "least", F.coalesce("component", "set_id").alias("component"))
     if any_several:
         # a hash can stand for a component; its name is the smallest id
@@ -313,16 +312,16 @@ def _prefixes(counted: DataFrame, num: int, den: int) -> DataFrame:
     return rows.where("size(cold) > 0 or hot is not null")
 
 
-def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """Links (src, dst) that join the same components as all links do."""
+def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links (src, dst) that join the same components as all links do, and these components (node, component)."""
     chosen = sets.withColumnRenamed("row_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", F.lit(0).cast("long").alias("at"), "toks")
     keyed = stored(_prefixes(_counted(texts, stored(chosen), ngram, num, den), num, den))
-    links = _cold_links(texts, keyed, ngram, num, den)
-    return _common_links(keyed.where("hot is not null").select("set_id", "n", "hot"), links, num, den)
+    links, label = _cold_links(texts, keyed, ngram, num, den)
+    return _common_links(keyed.where("hot is not null").select("set_id", "n", "hot"), links, label, num, den)
 
 
-def _cold_links(texts: DataFrame, keyed: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """Links between sets that share an infrequent token of their prefixes; at most ``LONG_LIST`` sets hold one."""
+def _cold_links(texts: DataFrame, keyed: DataFrame, ngram: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links between sets that share an infrequent token of their prefixes, and their components; at most ``LONG_LIST`` sets hold one."""
     width = F.expr(_width(num, den)).cast("int")
     none = F.array().cast("array<long>")
     frequent = F.when(F.col("hot").isNull(), none).otherwise(F.slice("hot", F.lit(1), width - F.col("n").cast("int") + F.size("hot")))
@@ -349,13 +348,12 @@ def _cold_links(texts: DataFrame, keyed: DataFrame, ngram: int, num: int, den: i
     open_ = stored(open_.join(tried, ["src", "dst"], "left_anti"))
     if open_.limit(1).count():
         links = stored(links.union(_verify(texts, open_, ngram, num, den)))
-        tried = tried.union(open_)
+        tried, label = tried.union(open_), stored(components(links))
 
     # members of groups that make a pair, and of one group, if they aren't of one component yet
-    label = stored(components(links).withColumnRenamed("node", "set_id"))
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("group_id")).union(member.select("group_id")).distinct()
     of = ends.select("group_id", F.col("group_id").alias("set_id")).union(member).distinct()
-    of = stored(_labelled(of, label))
+    of = stored(_labelled(of, label.withColumnRenamed("node", "set_id")))
     several = pairs.join(small(many.select(F.col("group_id").alias("src"), F.lit(1).alias("one"))), "src", "left").join(small(many.select(F.col("group_id").alias("dst"), F.lit(1).alias("two"))), "dst", "left").where("one is not null or two is not null").select("src", "dst")
     several = several.union(many.select("group_id", F.col("group_id")))
     a, b = (of.select(F.col("group_id").alias(g), F.col("set_id").alias(f"set_id{s}"), F.col("component").alias(f"c{s}")) for g, s in (("src", "a"), ("dst", "b")))
@@ -363,12 +361,13 @@ def _cold_links(texts: DataFrame, keyed: DataFrame, ngram: int, num: int, den: i
     rest = rest.select(F.least("set_ida", "set_idb").alias("src"), F.greatest("set_ida", "set_idb").alias("dst")).distinct()
     rest = stored(rest.join(tried, ["src", "dst"], "left_anti"))
     if not rest.limit(1).count():
-        return links
-    return stored(links.union(_verify(texts, rest, ngram, num, den)))
+        return links, label
+    links = stored(links.union(_verify(texts, rest, ngram, num, den)))
+    return links, stored(components(links))
 
 
-def _common_links(common: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """``links``, and those between common sets that share only frequent tokens.
+def _common_links(common: DataFrame, links: DataFrame, label: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``links``, and those between common sets that share only frequent tokens; ``label``: the components.
 
     Without a shared infrequent token two sets share at most the frequent ones
     of either, so a unit (sets of one size with the same frequent tokens that
@@ -379,7 +378,7 @@ def _common_links(common: DataFrame, links: DataFrame, num: int, den: int) -> Da
     alike = (num + den) * held >= 2 * num * F.col("n")
     keyed = stored(common.withColumn("alone", F.when(~alike, F.col("set_id"))))
     if not keyed.limit(1).count():
-        return links
+        return links, label
     units = stored(keyed.groupBy("n", "hot", "alone").agg(F.min("set_id").alias("unit"), F.count("*").alias("members")))
     several = units.where("members > 1").select("n", "hot", "unit")
     links = stored(links.union(keyed.where("alone is null").join(several, ["n", "hot"]).where("set_id <> unit").select(F.col("unit").alias("src"), F.col("set_id").alias("dst"))))
@@ -391,8 +390,8 @@ def _common_links(common: DataFrame, links: DataFrame, num: int, den: int) -> Da
     for k in range(STAR_ROUNDS + 1):
         star = listed.select("key", *_as("", "b")).join(small(centre), "key").where(_could(num, den)).where("unita <> unitb")
         links = stored(links.union(_alike(sets, star, num, den)))
-        label = stored(components(links).withColumnRenamed("node", "unit"))
-        now = stored(listed.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit")))
+        label = stored(components(links))
+        now = stored(listed.join(label.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
         main = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
         now = stored(now.join(small(stored(main)), "key").withColumn("inside", F.col("component") == F.col("main")).drop("main"))
         # groups of equal counts first: could they hold a link between components?
@@ -411,7 +410,11 @@ def _common_links(common: DataFrame, links: DataFrame, num: int, den: int) -> Da
     partner = open_.select("key", "na", "ha", "nb", "hb", "insideb")
     ends = now.select("key", *_as("", "b"), F.col("component").alias("kb"), F.col("inside").alias("insideb"))
     rest = outside.join(partner, ["key", "na", "ha"]).join(ends, ["key", "nb", "hb", "insideb"]).where("ka <> kb")
-    return stored(links.union(_alike(sets, rest, num, den)))
+    more = stored(_alike(sets, rest, num, den))
+    if not more.limit(1).count():
+        return links, label
+    links = stored(links.union(more))
+    return links, stored(components(links))
 
 
 def _as(prefix: str, suffix: str) -> list[Column]:
