@@ -1,20 +1,22 @@
 """Quality classifier by co-training of two views of a document.
 
-One view reads the text (letters, marks, words said again), the other the
-page's metadata (source, language, length, layout). Each is a naive Bayes model
-over binned features, so a fit is one sum of counts over all documents. In each
-round a view labels the unlabelled documents that it is sure of, and the other
-view learns from them. Labelled documents kept out of the fit calibrate both
-views; the calibrated views are added up to one score for every document.
-
-Counts, pseudo-labels and calibration cover all documents; only tables of a few
-hundred sums come to the driver.
+One view reads the text (its words, letters, marks, words said again), the
+other the page's metadata (source, language, length, layout). Each is a naive
+Bayes model over bins: surface features and hashed words for the text, binned
+numbers and names for the metadata. In each round a view labels the unlabelled
+documents that it is most confident of, a growing share of them, and the other
+view learns from these as from given labels. Labelled documents kept out of the
+fit calibrate both views; the calibrated views are added up to one score for
+every document.
+
+Counts, pseudo-labels and calibration cover all documents. Partitions sum their
+counts before the shuffle; tables of a bounded number of bins (words, steps of
+scores, names of a share of the labels) come to the driver.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -23,21 +25,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.jaccard import token_sets
 from quire.llm.schemas import extended
-from quire.session import stored
+from quire.session import small, stored
 
 #: Bins of a feature.
 BINS = 16
-#: Buckets of a name (a source, a language), by its check sum.
-NAMES = 64
+#: Bins of words, by their hash.
+WORDS = 1 << 18
+#: A name (a source, a language) has a weight of its own if it is on one in so many labelled documents; so there are at most as many.
+NAME_SHARE = 10_000
 #: Every so many-th labelled document, by hash, calibrates instead of fitting.
 HELD_OUT = 4
-#: Scores in the calibration table: -LIMIT to LIMIT in steps of STEP.
-LIMIT, STEP = 40, 0.5
-
-TEXT = ["upper", "exclaim", "symbols", "digits", "marks", "stops", "distinct", "twice", "same_lines", "word_length", "other"]
-META = ["length", "lines", "line_length", "lang", "source"]
-_WIDTH = {"lang": NAMES, "source": NAMES}
+#: So many pseudo-labels count as much as one given label.
+TRUST = 4
+#: Steps a unit of log odds, in the tables of calibration and of confidence.
+STEPS = 2
+
+SURFACE = ["upper", "exclaim", "symbols", "digits", "marks", "stops", "distinct", "twice", "same_lines", "word_length", "other"]
+LAYOUT = ["length", "lines", "line_length"]
+NAMES = ["lang", "source"]
 _MARKS = np.zeros(256, bool)
 _MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
@@ -53,12 +60,8 @@ def _log(x: float) -> int:
     return min(BINS - 1, int(math.log2(x + 1)))
 
 
-def _name(x: str | None) -> int:
-    return 0 if x is None else 1 + zlib.crc32(x.encode()) % (NAMES - 1)
-
-
 def text_bins(text: str) -> list[int]:
-    """The text view of one text; an empty one is 0 throughout."""
+    """The surface features of one text; an empty one is 0 throughout."""
     words, lines, low = text.split(), text.split("\n"), text.lower()
     code = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256) if text else np.zeros(256, int)
     if len(low) == len(text):
@@ -82,130 +85,248 @@ def text_bins(text: str) -> list[int]:
     ]
 
 
-def meta_bins(n_chars: int | None, lines: int, lang: str | None, source: str | None) -> list[int]:
-    n = n_chars or 0
-    return [_log(n), _log(lines), _log(n / lines if lines else 0), _name(lang), _name(source)]
+def _names(docs: DataFrame, given: DataFrame, column: str) -> dict:
+    """{name: its bin}, of the names on a share of the labelled documents; all others are bin 0."""
+    counts = docs.select("doc_id", F.col(column).alias("name")).join(small(given), "doc_id").groupBy("name").agg(F.count("*").alias("n"))
+    counts = stored(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    held = sorted((r["name"] for r in counts.where(F.col("n") * NAME_SHARE >= total).collect()), key=lambda x: (x is None, x or ""))
+    return {name: i + 1 for i, name in enumerate(held)}
+
+
+class Views:
+    """The places of bins in each view's table of weights."""
 
+    def __init__(self, names: dict[str, dict]):
+        self.names = names
+        self.text_at = [i * BINS for i in range(len(SURFACE) + 1)]
+        widths = [BINS] * len(LAYOUT) + [len(names[n]) + 1 for n in NAMES]
+        self.meta_at = np.cumsum([0, *widths]).tolist()
+        self.width = {"text_view": self.text_at[-1] + WORDS, "meta_view": self.meta_at[-1]}
+        #: bins that exclude each other, as (first, number of bins); words are single
+        self.features = {"text_view": [(at, BINS) for at in self.text_at[:-1]], "meta_view": list(zip(self.meta_at, widths, strict=False))}
 
-def _offsets(names: list[str]) -> list[int]:
-    at = np.cumsum([0, *(_WIDTH.get(n, BINS) for n in names)])
-    return at.tolist()
+    def text(self, text: str, words: np.ndarray) -> np.ndarray:
+        surface = np.array(text_bins(text), np.int32) + np.array(self.text_at[:-1], np.int32)
+        return np.concatenate([surface, (np.unique(words & (WORDS - 1)) + self.text_at[-1]).astype(np.int32)])
 
+    def meta(self, n: int | None, lines: int, names: list) -> list[int]:
+        n = max(n or 0, 0)
+        bins = [_log(n), _log(lines), _log(n / lines if lines else 0), *(self.names[k].get(x, 0) for k, x in zip(NAMES, names, strict=True))]
+        return [x + y for x, y in zip(bins, self.meta_at, strict=False)]
 
-def view_bins(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", length_col: str = "n_chars", row_col: str | None = None) -> DataFrame:
-    """``(doc_id, text_view, meta_view)``: the places of a document's bins in each view's table; ``row_col`` is kept after the id."""
-    text_at, meta_at = _offsets(TEXT), _offsets(META)
-    first = ["doc_id", *([row_col] if row_col else [])]
+
+def _binned(rows: DataFrame, views: Views, first: list[str]) -> DataFrame:
+    """``first`` and ``(text_view, meta_view)``: the places of a document's bins; the surface comes before the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, sources, lengths = (batch.column(i) for i in range(len(first), len(first) + 4))
-            a, b = [], []
-            for t, lang, source, n in zip(texts, langs.to_pylist(), sources.to_pylist(), lengths.to_pylist(), strict=True):
-                t = t.as_py() or ""
-                a.append([x + y for x, y in zip(text_bins(t), text_at, strict=False)])
-                b.append([x + y for x, y in zip(meta_bins(n, t.count("\n") + 1 if t else 0, lang, source), meta_at, strict=False)])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(first)], pa.array(a, kind), pa.array(b, kind)], [*first, "text_view", "meta_view"])
-
-    text = lambda c: F.col(c).cast("string").alias(f"__{c}")
-    source = docs.select(F.col(id_col).alias("doc_id"), *first[1:], text(text_col), text(lang_col), text(source_col), F.col(length_col).cast("long").alias("__n"))
-    return source.mapInArrow(run, extended(source.select(*first), "text_view array<int>, meta_view array<int>"))
-
-
-def _score(view: str, weights: list[float]) -> Column:
-    """Bias and the weights of a document's bins; capped to the calibration table."""
-    table = F.array(*[F.lit(float(w)) for w in weights[1:]])
-    total = F.aggregate(F.col(view), F.lit(float(weights[0])), lambda acc, i: acc + F.get(table, i))
-    return F.greatest(F.least(total, F.lit(float(LIMIT))), F.lit(float(-LIMIT)))
-
-
-def _fit(counts: dict[int, tuple[float, float]], good: float, bad: float, names: list[str]) -> list[float]:
-    """Log odds: [bias, one weight a bin], smoothed by one document a bin."""
-    weights = [math.log((good + 1) / (bad + 1))]
-    for name, at in zip(names, _offsets(names), strict=False):
-        width = _WIDTH.get(name, BINS)
-        for i in range(at, at + width):
-            g, b = counts.get(i, (0.0, 0.0))
-            weights.append(math.log((g + 1) / (good + width)) - math.log((b + 1) / (bad + width)))
-    return weights
-
-
-def _isotonic(table: dict[int, tuple[float, float]]) -> dict[int, float]:
-    """{step of the score: chance to be good}, non-decreasing (pool adjacent violators), for all steps."""
-    blocks: list[list] = []
-    for step in sorted(table):
-        g, n = table[step]
-        blocks.append([g, n, [step]])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            g, n, steps = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + g, blocks[-1][1] + n, blocks[-1][2] + steps]
-    known = {s: (g + 0.5) / (n + 1) for g, n, steps in blocks for s in steps}
-    out, last = {}, None
-    for s in range(round(-LIMIT / STEP), round(LIMIT / STEP) + 1):
-        last = known.get(s, last)
-        out[s] = last
-    first = next((v for v in out.values() if v is not None), 0.5)
-    return {s: first if v is None else v for s, v in out.items()}
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                texts, n, *names = (part.column(i) for i in range(len(first), len(first) + 2 + len(NAMES)))
+                a, b = [], []
+                for t, words, size, *own in zip(texts, token_sets(texts, 1), n.to_pylist(), *(x.to_pylist() for x in names), strict=True):
+                    t = t.as_py() or ""
+                    a.append(views.text(t, words))
+                    b.append(views.meta(size, t.count("\n") + 1 if t else 0, own))
+                ends = np.cumsum([0, *map(len, a)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(first)], pa.ListArray.from_arrays(ends, np.concatenate(a)), pa.array(b, pa.list_(pa.int32()))], [*first, "text_view", "meta_view"])
+
+    return rows.mapInArrow(run, extended(rows.select(*first), "text_view array<int>, meta_view array<int>"))
+
+
+def _scores(column: pa.ListArray, weights: np.ndarray, surface: int) -> np.ndarray:
+    """Bias, the sum of the first ``surface`` bins' weights, and the mean of the others', in steps."""
+    ends = np.asarray(column.offsets)
+    total = np.concatenate(([0.0], np.cumsum(weights[1:][np.asarray(column.values)[ends[0] : ends[-1]]])))
+    ends = ends - ends[0]
+    split = np.minimum(ends[:-1] + surface, ends[1:])
+    rest = (total[ends[1:]] - total[split]) / np.maximum(ends[1:] - split, 1)
+    return np.rint(STEPS * (weights[0] + total[split] - total[ends[:-1]] + rest)).astype(np.int64)
+
+
+_PARTS = {"text_view": len(SURFACE), "meta_view": len(LAYOUT) + len(NAMES)}
+
+
+def _steps(batch: pa.RecordBatch, weights: dict) -> dict[str, np.ndarray]:
+    return {v: _scores(batch.column(batch.schema.get_field_index(v)), weights[v], _PARTS[v]) for v in _PARTS}
+
+
+def _count(weights: dict | None, taught: dict, width: dict):
+    """Counts (view, bin, good, n) of a partition, bin -1 for the documents; unlabelled ones as the other view labels them.
 
+    A given label counts ``TRUST``, one of the other view 1.
+    """
+
+    def labels(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        state, h = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("state", "h"))
+        steps = _steps(batch, weights) if weights else None
+        out = {}
+        for view, other in zip(_PARTS, reversed(_PARTS)):  # noqa: B905
+            label = np.where(state <= 1, state, -1)
+            if steps:
+                for good, (cut, part) in taught[other].items():
+                    ahead = (steps[other] - cut) * (1 if good else -1)
+                    label[(state == 3) & ((ahead > 0) | (ahead == 0) & (h < part))] = 2 + good
+            out[view] = label
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {v: np.zeros((2, width[v] + 1), np.int64) for v in _PARTS}
+        for batch in batches:
+            for view, label in labels(batch).items():
+                column = batch.column(batch.schema.get_field_index(view))
+                ends = np.asarray(column.offsets)
+                each = np.repeat(label, np.diff(ends))
+                bins = np.asarray(column.values)[ends[0] : ends[-1]]
+                for kind in (0, 1, 2, 3):  # bad and good, given ones first
+                    times = TRUST if kind < 2 else 1
+                    sums[view][kind % 2, 1:] += times * np.bincount(bins[each == kind], minlength=width[view])
+                    sums[view][kind % 2, 0] += times * (label == kind).sum()
+        for i, view in enumerate(_PARTS):
+            bad, good = sums[view]
+            at = np.flatnonzero(bad + good)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array((at - 1).astype(np.int32)), pa.array(good[at]), pa.array((bad + good)[at])], ["view", "bin", "good", "n"])
+
+    return run
+
+
+def _tally(weights: dict):
+    """Steps of each document in both views: (state, text, meta)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = _steps(batch, weights)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("state")), *(pa.array(steps[v]) for v in _PARTS)], ["state", *_PARTS])
+
+    return run
 
-def _step(score: Column) -> Column:
-    return F.round(score / STEP).cast("int")
 
+def _fit(good: np.ndarray, n: np.ndarray, features: list[tuple[int, int]]) -> np.ndarray:
+    """Log odds: [bias, one weight a bin], smoothed by one document a bin; place 0 of the counts holds the documents."""
+    g, b = good[0], n[0] - good[0]
+    width = np.full(len(n) - 1, 2.0)  # a word is there or not
+    for at, size in features:
+        width[at : at + size] = size
+    weights = np.log((good[1:] + 1) / (g + width)) - np.log((n[1:] - good[1:] + 1) / (b + width))
+    return np.concatenate(([math.log((g + 1) / (b + 1))], weights))
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, rounds: int = 3, sure: float = 0.98, threshold: float = 0.5, id_col: str = "doc_id", label_col: str = "quality", row_col: str | None = None, **columns) -> DataFrame:
+
+def _isotonic(table: dict[int, tuple[float, float]]) -> tuple[list[int], list[float]]:
+    """Steps and chances to be good, non-decreasing (pool adjacent violators); between the pools they rise in a line."""
+    pools: list[list] = []
+    for step in sorted(table):
+        g, n = table[step]
+        pools.append([g, n, step, step])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            g, n, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + g, pools[-1][1] + n, pools[-1][2], last]
+    ends = [(step, (g + 0.5) / (n + 1)) for g, n, first, last in pools for step in (first, last)] or [(0, 0.5)]
+    return [x for x, _ in ends], np.maximum.accumulate([y for _, y in ends]).tolist()
+
+
+def _chance(steps: np.ndarray, table: tuple[list[int], list[float]]) -> np.ndarray:
+    return np.interp(steps, table[0], table[1])
+
+
+def _confident(counts: dict[int, int], chance: tuple, good: int, quota: float, sure: float) -> tuple[int, float, float]:
+    """The ``quota`` most confident unlabelled documents of a class: (the last step, its share, how many)."""
+    taken, cut, part = 0.0, (1 << 40) * (1 if good else -1), 0.0
+    for step in sorted(counts, reverse=bool(good)):
+        p = float(_chance(np.array([step]), chance)[0])
+        if taken >= quota or (p if good else 1 - p) < sure:
+            break
+        part = min(1.0, (quota - taken) / counts[step])
+        taken, cut = taken + part * counts[step], step
+    return cut, part, taken
+
+
+def quality_classifier(
+    docs: DataFrame,
+    labels: DataFrame,
+    rounds: int = 3,
+    grow: float = 0.02,
+    sure: float = 0.8,
+    threshold: float = 0.5,
+    id_col: str = "doc_id",
+    label_col: str = "quality",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    length_col: str = "n_chars",
+    row_col: str | None = None,
+    report: list | None = None,
+) -> DataFrame:
     """``(doc_id, text_score, meta_score, score, keep)`` of every document.
 
     ``labels`` holds ``id_col`` and ``label_col`` (1 good, 0 bad). The scores are
     chances to be good: of each calibrated view, and of both together, with the
     views taken as independent given the label. ``keep`` is score >= threshold.
 
-    A view labels an unlabelled document for the other when its calibrated
-    chance is ``sure`` or more, or 1 - ``sure`` or less; such a label counts like
-    a given one. Labels that are null or whose document is missing count for
-    nothing, several of one document by majority (ties: good). Without any label
-    the scores are 0.5. Null texts, names and lengths have bins of their own or
-    count as empty; rows that repeat an id are all returned.
-    ``row_col`` names a column that comes back with each row's verdict.
+    In round k each view labels ``k * grow`` of the unlabelled documents for the
+    other view, shared out to the classes as the labels are: those it is most
+    confident of, and only where its calibrated chance of the class is ``sure``
+    or more. ``TRUST`` such labels count like a given one. ``report`` takes a row
+    (round, teaching view, class, documents) for each.
+
+    Labels that are null or whose document is missing count for nothing, several
+    of one document by majority (ties: good). Without any label the scores are
+    0.5. Null texts, names and lengths have bins of their own or count as empty;
+    rows that repeat an id are all returned. ``row_col`` names a column that
+    comes back with each row's verdict.
     """
-    bins = view_bins(docs, id_col=id_col, row_col=row_col, **columns)
-    given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("good"))
-    rows = stored(stored(bins).join(given, "doc_id", "left"))
-    held = (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0) & F.col("good").isNotNull()
-    views = {"text_view": TEXT, "meta_view": META}
-    fitted: dict[str, list[float]] = {}
-    chance: dict[str, dict[int, float]] = {}
-    prior = 0.0
-
+    given = stored(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("good")))
+    source = docs.select(F.col(id_col).alias("doc_id"), *([F.col(row_col)] if row_col else []), F.col(text_col).cast("string").alias("__text"), F.col(length_col).cast("long").alias("__n"), F.col(lang_col).cast("string").alias("__lang"), F.col(source_col).cast("string").alias("__source"))
+    views = Views({n: _names(source, given, f"__{n}") for n in NAMES})
+    # state: 0 bad, 1 good, 2 held out (with its label in ``good``), 3 unlabelled
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    state = F.when(F.col("good").isNull(), 3).when(held, 2).otherwise(F.col("good"))
+    h = F.pmod(F.xxhash64("doc_id", "__text"), F.lit(1 << 20)) / float(1 << 20)
+    first = ["doc_id", *([row_col] if row_col else []), "state", "good", "h"]
+    rows = source.join(small(given), "doc_id", "left").withColumns({"state": state.cast("long"), "good": F.coalesce("good", F.lit(-1)).cast("long"), "h": h})
+    rows = stored(_binned(rows.select(*first, "__text", "__n", *[f"__{n}" for n in NAMES]), views, first))
+
+    weights, taught, chance, prior = None, {}, {}, 0.0
     for k in range(rounds + 1):
-        taught = {}
-        for view in views:
-            other = next(v for v in views if v != view)
-            label = F.when(held, None).otherwise(F.col("good"))
-            if k:
-                p = _lookup(_step(_score(other, fitted[other])), chance[other])
-                label = F.when(F.col("good").isNotNull(), label).when(p >= sure, 1).when(p <= 1 - sure, 0)
-            taught[view] = label
-        counted = rows.select(*[F.struct(F.col(v).alias("bins"), label.alias("label"), F.lit(v).alias("view")).alias(v) for v, label in taught.items()])
-        counted = counted.select(F.explode(F.array(*views)).alias("x")).select("x.*").where("label is not null")
-        sums = counted.select("view", "label", F.explode(F.concat(F.array(F.lit(-1)), "bins")).alias("bin")).groupBy("view", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
-        for view, names in views.items():
-            mine = {r["bin"]: (r["good"], r["n"] - r["good"]) for r in sums if r["view"] == view}
-            good, bad = mine.pop(-1, (0, 0))
-            fitted[view] = _fit(mine, good, bad, names)
-        steps = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), _step(_score(v, fitted[v])).alias("step")) for v in views])).alias("x")
-        table = rows.where(held).select("good", steps).groupBy("x.view", "x.step").agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()
-        for view in views:
-            chance[view] = _isotonic({r["step"]: (r["good"], r["n"]) for r in table if r["view"] == view})
-        good, n = (sum(r[c] for r in table if r["view"] == "text_view") for c in ("good", "n"))
+        counted = rows.select("state", "h", *_PARTS).mapInArrow(_count(weights, taught, views.width), "view int, bin int, good long, n long")
+        sums = counted.groupBy("view", "bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).toPandas()
+        weights = {}
+        for i, view in enumerate(_PARTS):
+            mine = sums[sums["view"] == i]
+            good, n = (np.zeros(views.width[view] + 1) for _ in range(2))
+            good[mine["bin"] + 1], n[mine["bin"] + 1] = mine["good"] / TRUST, mine["n"] / TRUST
+            weights[view] = _fit(good, n, views.features[view])
+        scored = rows.where("state >= 2").select(F.when(F.col("state") == 2, F.col("good")).otherwise(-1).alias("state"), *_PARTS).mapInArrow(_tally(weights), "state long, text_view long, meta_view long")
+        pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("step")) for v in _PARTS])).alias("x")
+        table = scored.select("state", pairs).groupBy("x.view", "x.step", "state").agg(F.count("*").alias("n")).collect()
+        held_out = [r for r in table if r["state"] >= 0]
+        for view in _PARTS:
+            steps: dict[int, tuple] = {}
+            for r in held_out:
+                if r["view"] == view:
+                    g, n = steps.get(r["step"], (0, 0))
+                    steps[r["step"]] = (g + r["n"] * r["state"], n + r["n"])
+            chance[view] = _isotonic(steps)
+        n = sum(r["n"] for r in held_out if r["view"] == "text_view")
+        good = sum(r["n"] for r in held_out if r["view"] == "text_view" and r["state"])
         prior = math.log((good + 0.5) / (n - good + 0.5))
-
-    p = {v: _lookup(_step(_score(v, fitted[v])), chance[v]) for v in views}
-    logit = lambda x: F.log(x / (1 - x))
-    both = logit(p["text_view"]) + logit(p["meta_view"]) - prior
-    return rows.select("doc_id", *([row_col] if row_col else []), p["text_view"].alias("text_score"), p["meta_view"].alias("meta_score"), (1 / (1 + F.exp(-both))).alias("score")).withColumn("keep", F.col("score") >= threshold)
-
-
-def _lookup(step: Column, chance: dict[int, float]) -> Column:
-    low = min(chance)
-    return F.get(F.array(*[F.lit(chance[s]) for s in sorted(chance)]), step - low)
+        for view in _PARTS:
+            open_ = {r["step"]: r["n"] for r in table if r["view"] == view and r["state"] < 0}
+            share = {1: (good + 0.5) / (n + 1), 0: (n - good + 0.5) / (n + 1)}
+            taught[view] = {}
+            for label in (0, 1):
+                cut, part, many = _confident(open_, chance[view], label, (k + 1) * grow * share[label] * sum(open_.values()), sure)
+                taught[view][label] = (cut, part)
+                if report is not None and k < rounds:
+                    report.append((k + 1, view, label, round(many)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = _steps(batch, weights)
+            p = {v: _chance(steps[v], chance[v]) for v in _PARTS}
+            both = sum(np.log(x / (1 - x)) for x in p.values()) - prior
+            score = 1 / (1 + np.exp(-both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(p[v]) for v in _PARTS), pa.array(score), pa.array(score >= threshold)], [*kept, "text_score", "meta_score", "score", "keep"])
+
+    kept = [c for c in first if c not in ("state", "good", "h")]
+    return rows.select(*kept, *_PARTS).mapInArrow(judge, extended(rows.select(*kept), "text_score double, meta_score double, score double, keep boolean"))
