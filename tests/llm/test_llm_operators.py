@@ -131,6 +131,74 @@ def test_template_drops_blocks_that_repeat_outside_an_article(spark):
     assert sorted(r.text for r in got) == [f"Own text {i}" for i in range(5)]
 
 
+def extracted(spark, pages, host="h"):
+    rows = [(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_article_text_stays_and_teasers_go(spark):
+    body = "".join(f"<p>Paragraph {k} of {{0}} with some words of its own.</p>" for k in range(4))
+    page = """<article><p>Teaser {0}</p></article><article><div class="entry-header"><h1 id="social-impact">Head {0}</h1></div><p class="notice-period">Notice period</p>
+<p>Common passage on all pages</p>""" + body + """<div class="share-buttons">share {0}</div><div id="author">About the site</div></article><section id="comments"><p>reader {0}</p></section>"""
+    got = extracted(spark, [page.replace("{0}", f"n{i}") for i in range(4)])
+    for i in range(4):
+        assert got[i] == f"Head n{i} Notice period Common passage on all pages " + " ".join(f"Paragraph {k} of n{i} with some words of its own." for k in range(4))
+    # alone on its host a page has no template: the box of template text stays
+    assert extracted(spark, [page.replace("{0}", "n0")])[0].endswith("own. About the site")
+    # copies of one page are no template
+    assert "About the site" in extracted(spark, [page.replace("{0}", "n0")] * 4)[2]
+
+
+def test_the_template_picks_the_text_of_pages_without_containers(spark):
+    pages = [f"<div><p>Same line</p></div><div><p>Own text {i}</p></div>" for i in range(5)]
+    assert extracted(spark, pages) == {i: f"Own text {i}" for i in range(5)}
+    assert extracted(spark, pages[:2]) == {i: f"Same line Own text {i}" for i in range(2)}
+
+
+def test_long_and_deep_pages(spark):
+    deep = "<div>" * 8000 + "deep" + "</div>" * 8000
+    long = "<article>" + "<p>word</p>" * 50_000 + "</article>"
+    got = extracted(spark, [deep, deep, long, long])
+    assert got[0] == got[1] == "deep" and got[2] == got[3] == " ".join(["word"] * 50_000)
+
+
+def brute_nested(found, places):
+    """Pairs by definition: all tokens of one class between two neighbouring tokens of the other."""
+    gap = lambda x, other: {sum(o < i for o in other) for i in x}
+    order = sorted(places, key=lambda c: (len(places[c]) // len({found[i] for i in places[c]}), -len(places[c]), c))
+    kept = []
+    for c in order:
+        if all(len(gap(places[c], places[k])) == 1 or len(gap(places[k], places[c])) == 1 for k in kept):
+            kept.append(c)
+    return set(kept)
+
+
+def test_classes_and_nesting_against_brute_force(spark):
+    rng = random.Random(5)
+    for _ in range(300):
+        found = [rng.randrange(8) for _ in range(rng.randrange(1, 20))]
+        places = html_extract.class_places(found, {t: t % 3 for t in range(6)})
+        assert html_extract.nested(found, places) == brute_nested(found, places)
+    tags = ["<p>a</p>", "<ul><li>b</li></ul>", "<h2>c</h2>", "<div><p>d</p></div>"]
+    pages = ["<body>" + "".join(rng.choices(tags, k=rng.randrange(1, 5))) + "</body>" for _ in range(12)]
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    tokens = [html_extract.Page(p).tokens for p in pages]
+    counts = {t: tuple(f.count(t) for f in tokens) for f in tokens for t in f}
+    frequent = {t: v for t, v in counts.items() if sum(map(bool, v)) >= 6}
+    ordered = {}
+    for t, v in frequent.items():
+        ordered.setdefault(v, set()).add(t)
+    ordered = {v: ts for v, ts in ordered.items() if len({tuple(t for t in f if t in ts) for f in tokens if set(f) & ts}) == 1}
+    of = {t: v for v, ts in ordered.items() for t in ts}
+    got = html_extract.host_templates(html_extract._parsed(df, "page_id", "url", "html")).collect()
+    template = dict(zip(got[0].known, got[0].classes)) if got else {}  # noqa: B905
+    assert set(template) <= set(of) and len(set(template.values())) == len({of[t] for t in template})
+    assert all({u for u in template if template[u] == c} == ordered[of[t]] for t, c in template.items())
+    for f in tokens:
+        places = html_extract.class_places(f, template)
+        assert brute_nested(f, places) == set(places)
+
+
 def test_co_training_learns_both_views(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
@@ -151,6 +219,37 @@ def test_co_training_learns_both_views(spark):
     assert all(abs(r.score - 0.5) < 1e-9 for r in none)
 
 
+def test_each_view_teaches_the_other(spark):
+    """Text tells even documents apart, the source odd ones; labels are few, and no view alone can learn both."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i // 2 % 3 == 0
+        text = " ".join(["LOUD!!"] * 40 if bad and i % 2 == 0 else [word() for _ in range(60)])
+        source = ("spam" if bad else "news") if i % 2 else "misc"
+        rows.append((i, text, "en", source, len(text)))
+        if rng.random() < 0.3:
+            labels.append((i, int(not bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("good", F.lit("clash")).withColumn("state", F.lit(9))
+    report = []
+    out = quality_classifier.quality_classifier(df, spark.createDataFrame(labels, "doc_id long, quality int"), report=report).collect()
+    for view in ("text_view", "meta_view"):
+        assert all(n > 0 for _, v, _, n in report if v == view) and len([1 for _, v, _, _ in report if v == view]) == 6
+    right = lambda f: sum((f(r) >= 0.5) == (r.doc_id // 2 % 3 != 0) for r in out) / len(out)
+    assert right(lambda r: r.score) > 0.97 > max(right(lambda r: r.text_score), right(lambda r: r.meta_score))
+
+
+def test_quality_of_odd_rows(spark):
+    long = "word " * 300_000
+    rows = [(1, long, "en", "a", len(long)), (1, long, "en", "a", len(long)), (2, None, None, None, None), (None, "x", "en", "a", 1), (3, "", "", "", -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("s"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, quality int")
+    got = quality_classifier.quality_classifier(df, labels).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "None"] and all(0 < r.score < 1 for r in got)
+    assert quality_classifier.quality_classifier(df.limit(0), labels).count() == 0
+
+
 def test_license_phrases_and_notices(spark):
     long = "x " + "Permission is hereby granted, free of charge, to every person obtaining a copy of this software and associated documentation files"
     texts = [*ODD, "The MIT\nLicense, mit license; CC-BY", "gnu general public", long, "K mit license İ apache LICENSE"]
