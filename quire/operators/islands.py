@@ -94,39 +94,74 @@ def nearest_fill(df: DataFrame, key: list[str], pos: str, value: str, missing: C
     return rows.withColumn("filled", F.when(missing, F.coalesce(near, F.col(value))).otherwise(F.col(value))).drop("__b", "__a")
 
 
-def _fold(df: DataFrame, key: list[str], value: str, start: Column, step) -> DataFrame:
-    """Sorted values of a key folded to clusters in one expression: (key, clusters array<struct<...>>)."""
-    values = F.array_sort(F.collect_list(F.col(value).cast("double")))
-    return df.groupBy(*key).agg(values.alias("__values")).select(*key, F.aggregate("__values", start, step).alias("clusters"))
+def _fold(df: DataFrame, key: list[str], value: str, tolerance: float, start: Column, step) -> DataFrame:
+    """Sorted values folded to clusters: (key, cluster, c).
 
+    A step of more than ``tolerance`` ends a cluster in any case, as the centre
+    of sorted values is no further on than the last. So a key is cut there
+    first, and one fold holds such a stretch only, never the whole key.
+    """
+    parts = gap_cluster(df.select(*key, F.col(value).cast("double").alias("__v")), key, "__v", tolerance, name="__part")
+    values = F.array_sort(F.collect_list("__v"))
+    folded = parts.groupBy(*key, "__part").agg(F.aggregate(values, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"]))).alias("__c"))
+    rows = folded.select(*key, "__part", F.posexplode("__c").alias("__i", "c"))
+    return rows.withColumn("cluster", F.row_number().over(Window.partitionBy(*key).orderBy("__part", "__i")) - 1).drop("__part", "__i")
 
-def row_cluster(df: DataFrame, key: list[str], value: str, tolerance: float) -> DataFrame:
-    """Values within ``tolerance`` of the running mean of the current row: (key, cluster, centre, n)."""
-    empty = F.array().cast("array<struct<sum:double,n:int>>")
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.abs(x - F.try_divide(last["sum"], last["n"])) <= tolerance)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct((last["sum"] + x).alias("sum"), (last["n"] + 1).alias("n"))))
-        return F.when(F.coalesce(fits, F.lit(False)), grown).otherwise(F.concat(acc, F.array(F.struct(x.alias("sum"), F.lit(1).alias("n")))))
+def _folded(df: DataFrame, key: list[str], value: str, tolerance: float, centre, grown) -> DataFrame:
+    """Values within ``tolerance`` of ``centre(cluster)`` make it ``grown(cluster, x)``; (key, cluster, centre, n)."""
+    one = "struct<c:double,n:int>"
+    state = f"struct<done:array<{one}>,now:{one}>"
+    empty = F.struct(F.array().cast(f"array<{one}>").alias("done"), F.lit(None).cast(one).alias("now")).cast(state)
+    new = lambda x: F.struct(x.alias("c"), F.lit(1).alias("n")).cast(one)
+
+    def step(acc: Column, x: Column) -> Column:
+        now = acc["now"]
+        joins = F.coalesce(F.abs(x - centre(now)) <= tolerance, F.lit(False))
+        done = F.when(now.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(now)))
+        more = F.struct(acc["done"].alias("done"), grown(now, x).cast(one).alias("now"))
+        return F.when(joins, more).otherwise(F.struct(done.alias("done"), new(x).alias("now"))).cast(state)
+
+    rows = _fold(df, key, value, tolerance, empty, step)
+    return rows.select(*key, "cluster", centre(F.col("c")).alias("centre"), F.col("c.n").alias("n"))
 
-    folded = _fold(df, key, value, empty, lambda acc, x: step(acc, x).cast("array<struct<sum:double,n:int>>"))
-    rows = folded.select(*key, F.posexplode("clusters").alias("cluster", "c"))
-    return rows.select(*key, "cluster", (F.col("c.sum") / F.col("c.n")).alias("centre"), F.col("c.n").alias("n"))
+
+def row_cluster(df: DataFrame, key: list[str], value: str, tolerance: float) -> DataFrame:
+    """Values within ``tolerance`` of the running mean of the current row: (key, cluster, centre, n)."""
+    return _folded(df, key, value, tolerance, lambda c: F.try_divide(c["c"], c["n"]), lambda c, x: F.struct((c["c"] + x).alias("c"), (c["n"] + 1).alias("n")))
 
 
 def avg2_cluster(df: DataFrame, key: list[str], value: str, tolerance: float = 10) -> DataFrame:
     """Values within ``tolerance`` of the last centre, which then moves half way: (key, cluster, centre, n)."""
-    empty = F.array().cast("array<struct<c:double,n:int>>")
+    return _folded(df, key, value, tolerance, lambda c: c["c"], lambda c, x: F.struct(((c["c"] + x) / 2).alias("c"), (c["n"] + 1).alias("n")))
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        fits = F.coalesce((F.size(acc) > 0) & (F.abs(x - last["c"]) <= tolerance), F.lit(False))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(((last["c"] + x) / 2).alias("c"), (last["n"] + 1).alias("n"))))
-        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(x.alias("c"), F.lit(1).alias("n"))))).cast("array<struct<c:double,n:int>>")
 
-    rows = _fold(df, key, value, empty, step).select(*key, F.posexplode("clusters").alias("cluster", "c"))
-    return rows.select(*key, "cluster", F.col("c.c").alias("centre"), F.col("c.n").alias("n"))
+def median_cluster(df: DataFrame, key: list[str], value: str, tolerance: float) -> DataFrame:
+    """``df`` with ``cluster``: a value joins while within ``tolerance`` of the median of the cluster so far.
+
+    The cluster's values are a stretch of the sorted ones, so its median is
+    looked up, not kept. Nulls are in no cluster and go.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    parts = gap_cluster(rows, key, value, tolerance, name="__part")
+    values = F.array_sort(F.collect_list(F.col(value).cast("double")))
+    state = "struct<start:int,starts:array<int>>"
+
+    def step(acc: Column, i: Column) -> Column:
+        s, x = acc["start"], lambda at: F.element_at("__values", at.cast("int"))
+        # members are the places s .. i - 1, from 1
+        median = (x(F.floor((s + i - 1) / 2)) + x(F.ceil((s + i - 1) / 2))) / 2
+        far = F.coalesce((i > s) & (F.abs(x(i) - median) > tolerance), F.lit(False))
+        return F.when(far, F.struct(i.alias("start"), F.concat(acc["starts"], F.array(i)).alias("starts"))).otherwise(acc).cast(state)
+
+    first = F.struct(F.lit(1).alias("start"), F.array(F.lit(1)).alias("starts")).cast(state)
+    starts = parts.groupBy(*key, "__part").agg(values.alias("__values")).withColumn("__starts", F.aggregate(F.sequence(F.lit(1), F.size("__values")), first, step)["starts"])
+    low = starts.select(*key, "__part", F.transform("__starts", lambda i: F.element_at("__values", i)).alias("__low"), "__starts")
+    order = Window.partitionBy(*key, "__part").orderBy(value)
+    placed = parts.withColumn("__at", F.row_number().over(order)).join(low, [*key, "__part"])
+    inner = placed.withColumn("__in", F.size(F.filter("__starts", lambda i: i <= F.col("__at"))))
+    name = F.dense_rank().over(Window.partitionBy(*key).orderBy("__part", "__in")) - 1
+    return inner.withColumn("cluster", name).select(*df.columns, "cluster")
 
 
 def axis_vote(df: DataFrame, key: list[str], limit: float) -> DataFrame:

@@ -177,13 +177,19 @@ def worst_regions(points: DataFrame, key: list[str], top: int = 3, size: int = 1
     return kept.withColumn("rank", rank).where(F.col("rank") <= top).select(*key, "rank", "tx", "ty", "mean")
 
 
-def cause_guess(recall: Column, blurred: Column, histogram: Column) -> Column:
-    """Likely causes by which metric moved: an ordered list of reasons."""
-    return F.array_compact(
+def cause_guess(edges: Column, edges_now: Column, colour_delta: Column, spread: Column, spread_now: Column) -> Column:
+    """Ordered reasons for a difference, from edge density, mean colour and the deviation of brightness before and now.
+
+    lost or flattened: fewer edges; added or larger: more; colour: the mean
+    colour moved by more than 25 (with the amount); filled: nearly one colour now.
+    Without any: shifted from an edge delta of 1.5 on, else rendering.
+    """
+    delta, flat = F.abs(edges - edges_now), F.abs(spread - spread_now)
+    reasons = F.array_compact(
         F.array(
-            F.when(recall < -0.01, "text lost"),
-            F.when(blurred < -0.05, "layout moved"),
-            F.when((blurred < -0.02) & (blurred >= -0.05), "small shifts"),
-            F.when(histogram < -0.03, "colours changed"),
+            F.when((delta > 4) & (edges_now < edges), "lost").when((delta > 4) & (edges_now > edges), "added"),
+            F.when(colour_delta > 25, F.concat(F.lit("colour "), F.bround(colour_delta, 0).cast("int"))),
+            F.when((flat > 25) & (spread_now < spread), "filled"),
         )
     )
+    return F.when(F.size(reasons) > 0, reasons).when(delta > 1.5, F.array(F.lit("shifted"))).otherwise(F.array(F.lit("rendering")))
