@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect
 from collections.abc import Callable, Iterator
+from itertools import product
 from statistics import median
 
 import pandas as pd
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 from quire.session import cut
 
 
-def greedy_suppress(rows: DataFrame, conflicts: DataFrame, key: list[str], priority: list[str], max_rounds: int = 50) -> DataFrame:
+def greedy_suppress(rows: DataFrame, conflicts: DataFrame, key: list[str], priority: list[str]) -> DataFrame:
     """Rows that a greedy pass by priority keeps: a row stays unless it conflicts with one kept before.
 
     ``conflicts``: pairs (key_a, key_b) of ``rows``, in any direction;
     ``priority`` orders ascending and must be unique with the key. Rounds of
     local winners: a row without an undecided conflict of higher priority stays,
-    and its neighbours go. The same set as the sequential pass.
+    and its neighbours go. The same set as the sequential pass. The rounds go on
+    until all is decided; each decides one row at least, most decide nearly all.
     """
     rank = F.struct(*priority, *key)
     nodes = rows.select(*key, rank.alias("rank")).distinct()
@@ -29,7 +31,7 @@ def greedy_suppress(rows: DataFrame, conflicts: DataFrame, key: list[str], prior
     edges = cut(both.join(named("_a"), ka).join(named("_b"), kb).where("rank_a < rank_b").select(*ka, *kb))  # a goes before b
     open_ = cut(edges.select(*[F.col(f"{k}_a").alias(k) for k in key]).union(edges.select(*[F.col(f"{k}_b").alias(k) for k in key])).distinct())
     gone = None
-    for _ in range(max_rounds):
+    while True:
         beaten = edges.select(*[F.col(f"{k}_b").alias(k) for k in key]).distinct()
         won = cut(open_.join(beaten, key, "left_anti"))
         lost = cut(edges.join(won.select(*[F.col(k).alias(f"{k}_a") for k in key]), ka, "left_semi").select(*[F.col(f"{k}_b").alias(k) for k in key]).distinct())
@@ -40,7 +42,6 @@ def greedy_suppress(rows: DataFrame, conflicts: DataFrame, key: list[str], prior
         edges = cut(drop(drop(edges, ka), kb))
         if not open_.limit(1).count():
             return rows.join(gone, key, "left_anti")
-    raise RuntimeError(f"not decided in {max_rounds} rounds")
 
 
 def per_page(df: DataFrame, work: Callable[[list], Iterator[tuple]], schema: str, key: str = "page_id") -> DataFrame:
@@ -133,17 +134,22 @@ def fuzzy_group(pages: DataFrame, colour_tolerance: int = 25, height_ratio: floa
     ``pages``: page_id, idx, bucket, cjk, r, g, b, height.
     """
 
+    step = colour_tolerance + 1
+    near = list(product((-1, 0, 1), repeat=3))
+
     def work(page: list) -> Iterator[tuple]:
-        seeds: list = []
-        for r in page:
-            for s in seeds:
-                same = s.bucket == r.bucket and s.cjk == r.cjk and max(abs(s.r - r.r), abs(s.g - r.g), abs(s.b - r.b)) <= colour_tolerance
-                if same and max(s.height, r.height) <= height_ratio * min(s.height, r.height):
-                    yield r.page_id, r.idx, s.idx
-                    break
-            else:
-                seeds.append(r)
-                yield r.page_id, r.idx, r.idx
+        seeds: dict[tuple, list] = {}  # by class, script and cell of colour: (place, row)
+        for place, r in enumerate(page):
+            cell = (r.r // step, r.g // step, r.b // step)
+            like = [
+                (at, s)
+                for d in near
+                for at, s in seeds.get((r.bucket, r.cjk, cell[0] + d[0], cell[1] + d[1], cell[2] + d[2]), ())
+                if max(abs(s.r - r.r), abs(s.g - r.g), abs(s.b - r.b)) <= colour_tolerance and max(s.height, r.height) <= height_ratio * min(s.height, r.height)
+            ]
+            if not like:
+                seeds.setdefault((r.bucket, r.cjk, *cell), []).append((place, r))
+            yield r.page_id, r.idx, min(like, key=lambda x: x[0])[1].idx if like else r.idx
 
     return per_page(pages.select("page_id", "idx", "bucket", "cjk", "r", "g", "b", "height"), work, "page_id long, idx long, seed long")
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.session import small
+
 #: Seconds a page before there is any history, and how many of the last jobs count.
 DEFAULT_SECONDS = {"full": 60.0, "text-only": 25.0}
 OTHER_SECONDS = 60.0
 HISTORY = 20
 FINAL = ("done", "failed", "canceled")
+#: Fixed value: the reason of jobs that a restart ended.
+INTERRUPTED = "interrupted by restart"
 
 
 def sec_per_page(jobs: DataFrame, history: int = HISTORY) -> DataFrame:
@@ -27,24 +34,29 @@ def _rated(jobs: DataFrame) -> DataFrame:
     default = F.create_map(*[F.lit(x) for kv in DEFAULT_SECONDS.items() for x in kv])
     rate = F.coalesce(F.nullif("seconds", F.lit(0.0)), default[F.col("mode")], F.lit(OTHER_SECONDS))
     rates = sec_per_page(jobs).select("mode", "seconds")  # a row a mode
-    return jobs.join(F.broadcast(rates), "mode", "left").withColumn("own", F.greatest(F.col("page_count") - F.col("current_page"), F.lit(1)) * rate)
+    return jobs.join(small(rates), "mode", "left").withColumn("own", F.greatest(F.col("page_count") - F.col("current_page"), F.lit(1)) * rate)
 
 
 def eta(jobs: DataFrame) -> DataFrame:
     """(id, queue_position, eta_seconds) of all jobs; finished ones have 0 and 0.
 
     Ahead of a job are the running ones and the queued ones created strictly
-    earlier. Sums of the queued are taken by creation time first, so the running
-    total is over distinct times, not jobs.
+    earlier. Sums of the queued are taken by creation time first, then running
+    totals within each day, and one over the sums of the days.
     """
     rated = _rated(jobs)
     queued = rated.where("status = 'queued'").groupBy("created_at").agg(F.count("*").alias("n"), F.sum("own").alias("s"))
-    before = Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, -1)
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = past(Window.partitionBy("day").orderBy("created_at"))
     running = rated.where("status = 'running'").agg(F.count("*").alias("n_run"), F.coalesce(F.sum("own"), F.lit(0.0)).alias("s_run"))
     open_ = rated.where("status in ('queued', 'running')")
     # a running job waits for the queued ones created before it too
     times = open_.select("created_at").distinct().join(queued, "created_at", "left").select("created_at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0.0)).alias("s"))
-    upto = times.select("created_at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s_before"))
+    times = times.withColumn("day", F.to_date("created_at"))
+    days = times.groupBy("day").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    all_days = past(Window.orderBy("day"))  # a row a day
+    days = days.select("day", F.coalesce(F.sum("n").over(all_days), F.lit(0)).alias("n_days"), F.coalesce(F.sum("s").over(all_days), F.lit(0.0)).alias("s_days"))
+    upto = times.join(days, "day").select("created_at", (F.col("n_days") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("n_before"), (F.col("s_days") + F.coalesce(F.sum("s").over(before), F.lit(0.0))).alias("s_before"))
     both = open_.join(upto, "created_at").crossJoin(F.broadcast(running))
     me = F.col("status") == "running"
     place = F.col("n_before") + F.col("n_run") - me.cast("long")
@@ -69,7 +81,7 @@ def retention_filter(jobs: DataFrame, now: Column, days: int) -> DataFrame:
 def boot_recover(jobs: DataFrame) -> DataFrame:
     """After a restart: running jobs have failed, with a reason; queued ones are numbered by creation."""
     number = F.row_number().over(Window.partitionBy("owner_id").orderBy("created_at", "id"))
-    out = jobs.withColumn("error_msg", F.when(F.col("status") == "running", "interrupted by a restart"))
+    out = jobs.withColumn("error_msg", F.when(F.col("status") == "running", INTERRUPTED))
     out = out.withColumn("status", F.when(F.col("status") == "running", "failed").otherwise(F.col("status")))
     queued = out.where("status = 'queued'").withColumn("owner_turn", number)
     return queued.unionByName(out.where("status <> 'queued'"), allowMissingColumns=True)
@@ -122,21 +134,32 @@ def sliding_limit(events: DataFrame, limit: int, window_s: float = 60, key: str
     """(key, event_id, ts, accepted, retry_after): an event is accepted if fewer than ``limit`` accepted ones lie in the window before it.
 
     Rejected events don't count, so the verdict depends on all verdicts before;
-    a key's events are taken in order of (ts, event_id).
+    a key's events are taken in order of (ts, event_id). A pause of a window's
+    length forgets all, so a key's events are cut there into parts of their own;
+    sorted parts are streamed, and a part holds ``limit`` times at most.
     """
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        kept: list[float] = []
-        accepted, wait = [], []
-        for t in pdf["ts"].map(lambda x: x.timestamp()):
-            while kept and kept[0] <= t - window_s:
-                kept.pop(0)
-            ok = len(kept) < limit
-            accepted.append(ok)
-            wait.append(0.0 if ok else kept[0] + window_s - t)
-            if ok:
-                kept.append(t)
-        return pd.DataFrame({key: pdf[key], "event_id": pdf["event_id"], "ts": pdf["ts"], "accepted": accepted, "retry_after": wait})
-
-    return events.select(key, "event_id", "ts").groupBy(key).applyInPandas(work, f"{key} long, event_id long, ts timestamp, accepted boolean, retry_after double")
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    at = F.col("ts").cast("double")
+    new = F.coalesce((at - F.lag(at).over(order) >= window_s).cast("int"), F.lit(0))
+    rows = events.select(key, "event_id", "ts").withColumn("__new", new).withColumn("__part", F.sum("__new").over(order)).withColumn("__at", at)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept = None, deque()
+        for pdf in batches:
+            accepted, wait = [], []
+            for k, part, t in zip(pdf[key], pdf["__part"], pdf["__at"], strict=True):
+                k = None if pd.isna(k) else k
+                if (k, part) != current:
+                    current = k, part
+                    kept.clear()
+                while kept and kept[0] <= t - window_s:
+                    kept.popleft()
+                ok = len(kept) < limit
+                accepted.append(ok)
+                wait.append(0.0 if ok else kept[0] + window_s - t)
+                if ok:
+                    kept.append(t)
+            yield pdf[[key, "event_id", "ts"]].assign(accepted=accepted, retry_after=wait)
+
+    sorted_ = rows.repartition(key, "__part").sortWithinPartitions(key, "__part", "ts", "event_id")
+    return sorted_.select(key, "event_id", "ts", "__part", "__at").mapInPandas(work, f"{key} long, event_id long, ts timestamp, accepted boolean, retry_after double")

@@ -29,9 +29,11 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is named."""
+    """The shared folder of the cluster; one of our own only in local mode, where none is named."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if where is None and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if where is None:
         where = "file://" + tempfile.mkdtemp(prefix="spark-quire-")
     if sc.getCheckpointDir() is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,18 +144,19 @@ def scan_layouts(spark: SparkSession, path: str) -> DataFrame:
     return pages if pages.limit(1).count() else rows
 
 
-def walk_text(docs: DataFrame, key: list[str], value: str = "value", depth: int = 12) -> DataFrame:
-    """(key, path, text): every string under a key ``text``, at any level up to ``depth``, of JSON texts."""
+def walk_text(docs: DataFrame, key: list[str], value: str = "value") -> DataFrame:
+    """(key, path, text): every string under a key ``text``, at any level of JSON texts; goes on until a level is empty."""
     level = docs.select(*key, F.lit("").alias("path"), F.try_parse_json(F.col(value)).alias("v"), F.lit(None).cast("string").alias("name"))
     found = None
-    for i in range(depth):
+    for i in count():
         level.createOrReplaceTempView(f"__walk_{i}")
         names = ", ".join(f"t.{k}" for k in key)
         level = docs.sparkSession.sql(f"select {names}, concat(t.path, '/', coalesce(e.key, cast(e.pos as string))) as path, e.value as v, e.key as name from __walk_{i} t, lateral variant_explode(t.v) e")
         hit = level.where("name = 'text' and schema_of_variant(v) = 'STRING'").select(*key, "path", F.expr("try_variant_get(v, '$', 'string')").alias("text"))
         found = hit if found is None else found.union(hit)
         level = level.where("not (coalesce(name, '') = 'text' and schema_of_variant(v) = 'STRING')")
-    return found
+        if not level.limit(1).count():
+            return found
 
 
 def source_ref_text(items: DataFrame, key: str = "job") -> DataFrame:

@@ -120,6 +120,51 @@ def test_sliding_limit_counts_only_accepted(spark):
     assert got == {0: (True, 0.0), 1: (True, 0.0), 2: (False, 40.0), 3: (False, 30.0), 4: (False, 1.0), 9: (True, 0.0)}
 
 
+def test_sliding_limit_equals_the_loop(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, 1_700_000_000 + rng.randrange(0, 900) + rng.choice([0.0, 0.5])) for i in range(500)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, t double").select("user_id", "event_id", F.timestamp_seconds("t").alias("ts"))
+    want = {}
+    for user in (1, 2, None):
+        kept = []
+        for _, i, t in sorted((r for r in rows if r[0] == user), key=lambda r: (r[2], r[1])):
+            recent = [x for x in kept if x > t - 60]
+            want[i] = (len(recent) < 3, 0.0 if len(recent) < 3 else recent[0] + 60 - t)
+            if want[i][0]:
+                kept.append(t)
+    assert {r.event_id: (r.accepted, r.retry_after) for r in jobs.sliding_limit(df, 3).collect()} == want
+
+
+def test_fuzzy_group_takes_the_first_like_seed(spark):
+    rng = random.Random(12)
+    rows = [(p, i, i % 2, False, rng.randrange(0, 120), rng.randrange(0, 60), 0, rng.randrange(8, 20)) for p in range(6) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, idx long, bucket int, cjk boolean, r int, g int, b int, height int")
+    want = {}
+    for p in range(6):
+        seeds = []
+        for r in (r for r in rows if r[0] == p):
+            like = [s for s in seeds if s[2] == r[2] and max(abs(s[4] - r[4]), abs(s[5] - r[5])) <= 25 and max(s[7], r[7]) <= 1.25 * min(s[7], r[7])]
+            want[p, r[1]] = like[0][1] if like else r[1]
+            if not like:
+                seeds.append(r)
+    assert {(r.page_id, r.idx): r.seed for r in greedy.fuzzy_group(df).collect()} == want
+
+
+def test_long_chains(spark):
+    rng = random.Random(13)
+    order = rng.sample(range(400), 400)
+    links = spark.createDataFrame(list(zip(order, order[1:])) + [(1000, 1001), (1001, 1001), (None, 5)], "src long, dst long")  # noqa: B905
+    got = {r.node: r.component for r in graph.components(links).collect()}
+    assert got == {**{n: 0 for n in range(400)}, 1000: 1000, 1001: 1000}
+    assert graph.components(links.limit(0)).count() == 0
+
+
+def test_slides_of_several_decks(spark):
+    deck = lambda name, n, width: spark.createDataFrame([(name, i, None, None, None, width, 9, "w") for i in range(n)], "file string, slide int, width int, height int, background string, deck_width int, deck_height int, deck_background string")
+    got = slots.combine_layouts(deck("b", 3, 20), deck("a", 2, 10)).orderBy("position").collect()
+    assert [(r.position, r.file, r.slide, r.width) for r in got] == [(1, "a", 0, 10), (2, "a", 1, 10), (3, "b", 0, 10), (4, "b", 1, 10), (5, "b", 2, 10)]
+
+
 def test_worst_regions_do_not_overlap(spark):
     pts = [(1, x, y, v) for x, y, v in [(10, 10, 50), (90, 90, 40), (400, 400, 30), (410, 420, 20), (900, 10, 1)]]
     got = quality.worst_regions(spark.createDataFrame(pts, "k long, x int, y int, v int"), ["k"]).collect()
