@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from quire.llm.jaccard import ngram_jaccard_join
 from quire.llm.line_dedup import line_dedup
 from quire.llm.quality_classifier import quality_classifier
-from quire.llm.queries import MODEL_FILE, table
+from quire.llm.queries import model_file, table
 from quire.llm.sentencepiece_codec import sentencepiece_encode
 from quire.llm.source_mix import mix_sources
 from quire.session import small, stored
@@ -71,7 +71,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, their number and the text they decode to."""
-    out = sentencepiece_encode(docs, MODEL_FILE)
+    out = sentencepiece_encode(docs, model_file())
     return out.withColumn("n_tokens", F.size("ids").cast("long")).select(*docs.columns, "n_tokens", "ids")
 
 

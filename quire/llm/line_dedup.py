@@ -5,9 +5,10 @@ suffixes by their first 1, 2, 4, ... lines: the rank of a block of 2k lines is
 the place of its pair (rank of the first k, rank of the next k) among all
 pairs, which a range sort gives without a global window. Suffixes that agree
 on a stretch of lines are an interval of the suffix array; it is named by its
-length and the ranks of the two overlapping power-of-two blocks that cover it.
-Each interval of runs with enough words keeps its first occurrence; the later
-ones are deleted, and where they overlap they merge into maximal runs.
+length and the ranks of the two overlapping power-of-two blocks that cover it,
+so no neighbours are looked up. Each interval of runs with enough words keeps its
+first occurrence; later ones that go along with it merge into maximal runs, the
+longest common stretches of both, and these are deleted.
 
 Only lines that occur twice can lie in a repeated run, so documents are first
 cut at lines that occur once, and stretches with too few words are left out.
@@ -58,9 +59,9 @@ def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """Every later copy of a shortest run of lines with ``min_words`` words.
 
-    Returns ``(known, doc, version, ln, n_lines)``: the run starts at line ``ln`` (from
-    0) and an equal run starts earlier, in order of document, version (a hash
-    of the text, for ids that repeat) and line. Shortest from its first line or
+    Returns ``(known, doc, version, ln, n_lines, first)``: the run starts at line
+    ``ln`` (from 0) and an equal run starts at ``first`` before, in order of
+    document, version (a hash of the text, for ids that repeat) and line. Shortest from its first line or
     from its last; the union of these covers every longer repeated run.
     """
     lines = _lines(docs, id_col, text_col)
@@ -105,7 +106,25 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stored(second)
     place = F.struct(*_ROW, "ln")
     intervals = found.groupBy("n_lines", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    return found.join(intervals, ["n_lines", "head", "tail"]).where(place > F.col("first")).select(*_ROW, "ln", "n_lines")
+    return found.join(intervals, ["n_lines", "head", "tail"]).where(place > F.col("first")).select(*_ROW, "ln", "n_lines", "first")
+
+
+def maximal_runs(runs: DataFrame) -> DataFrame:
+    """``(known, doc, version, ln, n_lines, first)``: the later copies of ``repeated_runs`` merged to maximal runs.
+
+    Copies of one document that overlap or touch and have the same first
+    occurrence, as far on as they are themselves, are one stretch on which the
+    two agree: their longest common run there. ``first`` is its start in the
+    first occurrence.
+    """
+    of = [*_ROW, "first.known", "first.doc", "first.version"]
+    rows = runs.select(*_ROW, "ln", "n_lines", "first", (F.col("ln") - F.col("first.ln")).alias("__shift"))
+    w = Window.partitionBy(*of, "__shift").orderBy("ln", "n_lines")
+    end = F.max(F.col("ln") + F.col("n_lines")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__new", F.coalesce((F.col("ln") > end).cast("int"), F.lit(0))).withColumn("__run", F.sum("__new").over(w))
+    merged = rows.groupBy(*_ROW, *[F.col(c).alias(f"__{c.replace('.', '_')}") for c in of[3:]], "__shift", "__run")
+    out = merged.agg(F.min("ln").alias("ln"), (F.max(F.col("ln") + F.col("n_lines")) - F.min("ln")).alias("n_lines"), F.min("first").alias("first"))
+    return out.select(*_ROW, "ln", "n_lines", "first")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -122,7 +141,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the order. Rows that repeat id and text are one document and are all
     returned alike; rows that repeat an id with other texts are separate.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words)
+    runs = maximal_runs(repeated_runs(docs, id_col, text_col, min_words))
     gone = runs.select(*_ROW, F.explode(F.expr("sequence(ln, ln + cast(n_lines as int) - 1)")).alias("ln"))
     gone = gone.groupBy(*_ROW).agg(F.collect_set("ln").alias("__gone")).select(F.struct(*_ROW).alias("__row"), "__gone")
     lines = F.split(F.col(text_col), "\n", -1)

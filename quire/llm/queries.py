@@ -19,8 +19,12 @@ from quire.llm.secret_scan import secret_scan
 from quire.llm.sentencepiece_codec import sentencepiece_digests
 from quire.llm.source_mix import mix_sources
 
-#: The vocabulary file of the encoding query; set MODEL_FILE for another place.
-MODEL_FILE = os.environ.get("QUIRE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+def model_file() -> str:
+    """The vocabulary file of the encoding queries; the variable QUIRE_PIECE_MODEL names another one."""
+    import public_tokenizers
+
+    return os.environ.get("QUIRE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents, and of the texts they decode to."""
-    return sentencepiece_digests(table(spark, sf_dir, "documents"), MODEL_FILE)
+    return sentencepiece_digests(table(spark, sf_dir, "documents"), model_file())
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

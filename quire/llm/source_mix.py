@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from quire.session import stored
 
 #: Membership patterns in all, at most: only their sums are brought to the driver.
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 100_000
 #: Hash buckets of the cut, a level, and levels: 2**36 buckets in the end.
 BUCKETS, LEVELS = 4096, 3
 
@@ -48,7 +48,6 @@ def min_cost_flow(offers: dict, members: dict, wanted: dict, repeats: int) -> di
     of each source. The k-th repetition of a word costs k - 1. As much as possible
     is routed, and the cheapest way is taken; ties go to the first in order.
     """
-    room = {(p, k): n for p, n in offers.items() for k in range(repeats)}
     need = dict(wanted)
     flow: dict = {}
     holders: dict = {}
@@ -56,47 +55,61 @@ def min_cost_flow(offers: dict, members: dict, wanted: dict, repeats: int) -> di
         for s in ss:
             holders.setdefault(s, []).append(p)
     # Costs lie on the repetitions of patterns alone: so for each k in turn, route what
-    # repetition k can give, by augmenting paths that may move earlier flow between sources.
-    for k in range(repeats):
-        while True:
-            back: dict = {}
-            queue = deque()
-            for p in offers:
-                if room[p, k] > 0:
-                    back["p", p] = None
-                    queue.append(("p", p))
-            end = None
-            while queue and end is None:
-                kind, x = queue.popleft()
-                if kind == "p":
-                    for s in members[x]:
-                        if ("s", s) not in back:
-                            back["s", s] = ("p", x)
-                            if need[s] > 0:
-                                end = ("s", s)
-                                break
-                            queue.append(("s", s))
-                else:
-                    for p in holders[x]:
-                        if ("p", p) not in back and flow.get((p, x), 0) > 0:
-                            back["p", p] = ("s", x)
-                            queue.append(("p", p))
-            if end is None:
+    # repetition k can give. Each phase levels the nodes once, and then blocks all shortest
+    # ways, which may move earlier flow between sources; phases are few.
+    for _ in range(repeats):
+        room = dict(offers)
+        while _levelled_flow(room, need, members, holders, flow):
+            pass
+    return {k: v for k, v in flow.items() if v > 0}
+
+
+def _levelled_flow(room: dict, need: dict, members: dict, holders: dict, flow: dict) -> int:
+    """One phase: words routed along all shortest ways from patterns with room to sources in need."""
+    level = {("p", p): 0 for p, n in room.items() if n > 0}
+    queue, deepest = deque(level), None
+    while queue:
+        kind, x = node = queue.popleft()
+        if deepest is not None and level[node] >= deepest:
+            break
+        for y in members[x] if kind == "p" else holders[x]:
+            other = ("s" if kind == "p" else "p", y)
+            if other not in level and (kind == "p" or flow.get((y, x), 0) > 0):
+                level[other] = level[node] + 1
+                queue.append(other)
+                if kind == "p" and need[y] > 0 and deepest is None:
+                    deepest = level[other]
+    if deepest is None:
+        return 0
+    routed, onward = 0, {}
+    for start in [p for p, n in room.items() if n > 0]:
+        while room[start] > 0:
+            path = [("p", start)]
+            while path and not (path[-1][0] == "s" and need[path[-1][1]] > 0):
+                kind, x = node = path[-1]
+                ways, i = members[x] if kind == "p" else holders[x], onward.get(node, 0)
+                while i < len(ways):
+                    other = ("s" if kind == "p" else "p", ways[i])
+                    if level.get(other) == level[node] + 1 <= deepest and (kind == "p" or flow.get((ways[i], x), 0) > 0):
+                        break
+                    i += 1
+                onward[node] = i
+                if i < len(ways):
+                    path.append(other)
+                    continue
+                path.pop()
+                if path:  # a dead end: its neighbour needn't look there again
+                    onward[path[-1]] += 1
+            if not path:
                 break
-            path = [end]
-            while back[path[-1]] is not None:
-                path.append(back[path[-1]])
-            path.reverse()  # p, s, p, s, ..., s
-            amount = min(room[path[0][1], k], need[end[1]])
-            for (kind, a), (_, b) in zip(path, path[1:]):  # noqa: B905
-                if kind == "s":
-                    amount = min(amount, flow[b, a])
+            amount = min(room[start], need[path[-1][1]], *[flow[b, a] for (kind, a), (_, b) in zip(path, path[1:]) if kind == "s"])  # noqa: B905
             for (kind, a), (_, b) in zip(path, path[1:]):  # noqa: B905
                 key = (a, b) if kind == "p" else (b, a)
                 flow[key] = flow.get(key, 0) + (amount if kind == "p" else -amount)
-            room[path[0][1], k] -= amount
-            need[end[1]] -= amount
-    return {k: v for k, v in flow.items() if v > 0}
+            room[start] -= amount
+            need[path[-1][1]] -= amount
+            routed += amount
+    return routed
 
 
 def word_count(text: Column) -> Column:

@@ -93,6 +93,75 @@ def test_flow_routes_overlapping_sources():
     assert source_mix.quotas({"A": 10, "B": 100}, {"A": 5, "B": 1}, 100, 2) == {"A": 20.0, "B": 80.0}
 
 
+def least_cost(offers, members, wanted, repeats):
+    """Most words and their least cost, by shortest ways one after the other over the whole network."""
+    arcs = []
+
+    def add(u, v, room, cost):
+        arcs.extend(([u, v, room, cost], [v, u, 0, -cost]))
+
+    for p, n in offers.items():
+        for k in range(repeats):
+            add("start", p, n, k)
+        for s in members[p]:
+            add(p, s, 10**9, 0)
+    for s, n in wanted.items():
+        add(s, "end", n, 0)
+    words = cost = 0
+    while True:
+        far, by = {"start": 0}, {}
+        for _ in range(len(offers) + len(wanted) + 2):
+            for i, (u, v, room, c) in enumerate(arcs):
+                if room > 0 and u in far and far[u] + c < far.get(v, 10**9):
+                    far[v], by[v] = far[u] + c, i
+        if "end" not in far:
+            return words, cost
+        way, v = [], "end"
+        while v != "start":
+            way.append(by[v])
+            v = arcs[by[v]][0]
+        amount = min(arcs[i][2] for i in way)
+        for i in way:
+            arcs[i][2] -= amount
+            arcs[i ^ 1][2] += amount
+        words, cost = words + amount, cost + amount * far["end"]
+
+
+def test_flow_is_of_least_cost():
+    rng = random.Random(1)
+    for _ in range(200):
+        sources = [f"s{i}" for i in range(rng.randint(1, 4))]
+        offers = {f"p{i}": rng.randint(0, 9) for i in range(rng.randint(1, 7))}
+        members = {p: rng.sample(sources, rng.randint(1, len(sources))) for p in offers}
+        wanted, repeats = {s: rng.randint(0, 25) for s in sources}, rng.randint(1, 3)
+        flow = source_mix.min_cost_flow(offers, members, wanted, repeats)
+        given = {p: sum(v for (q, _), v in flow.items() if q == p) for p in offers}
+        assert all(given[p] <= repeats * offers[p] for p in offers) and all(s in members[p] for p, s in flow)
+        assert all(sum(v for (_, q), v in flow.items() if q == s) <= wanted[s] for s in sources)
+        cost = sum(k * max(0, min(offers[p], given[p] - k * offers[p])) for p in offers for k in range(repeats))
+        assert (sum(given.values()), cost) == least_cost(offers, members, wanted, repeats)
+
+
+def test_targets_against_a_plain_loop(spark):
+    rng = random.Random(2)
+    for _ in range(100):
+        sizes = {f"s{i}": rng.randint(0, 60) for i in range(rng.randint(1, 6))}
+        weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sizes)}
+        total, fixed = 1.5 * sum(sizes.values()), {}
+        while True:
+            rest = {s: (total - sum(fixed.values())) * weights[s] / sum(weights[q] for q in sizes if q not in fixed) for s in sizes if s not in fixed}
+            over = [s for s in rest if rest[s] > 2 * sizes[s]]
+            if not over:
+                break
+            fixed |= {s: 2.0 * sizes[s] for s in over}
+        got = source_mix.quotas(sizes, weights, total, 2)
+        assert all(abs(got[s] - (fixed | rest)[s]) < 1e-6 for s in sizes)
+    long = "w " * 400_000
+    rows = [(1, long, "a"), (1, long, "a"), (1, "x y", "b"), (None, "z", "b"), (2, "", None)]
+    mixed = source_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(mixed) == 5 and len({r.copies for r in mixed if r.size == 400_000}) == 1
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randrange(40), rng.choice(["a", "a", "a", "b", None]), "kept") for i in range(3000)]
@@ -262,6 +331,88 @@ def test_license_phrases_and_notices(spark):
     assert got[len(ODD) + 3].base_labels == "apache,mit"
 
 
+def plain_licenses(text, least=0.8, slack=2):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    ws = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+    base, found, shares = [], set(), [0.0]
+    for phrase, label in license_scan.PHRASES.items():
+        body = phrase.split()
+        base += [(i, label) for i in range(len(ws)) if ws[i : i + len(body)] == body]
+    for notice, label in license_scan.NOTICES.items():
+        body = notice.split()
+        grams = list(zip(body, body[1:]))  # noqa: B905
+        votes = {}
+        for p, g in enumerate(zip(ws, ws[1:])):  # noqa: B905
+            for q, h in enumerate(grams):
+                if g == h:
+                    votes.setdefault(p - q, []).append(p)
+        bands, last, first = [], None, None
+        for d in sorted(votes):
+            if last is None or d - last > slack:
+                first = d
+            key = (first, (d - first) // (slack + 1))
+            if not bands or bands[-1][0] != key:
+                bands.append((key, []))
+            bands[-1][1].extend(votes[d])
+            last = d
+        for _, places in bands:
+            share = min(len(places) / len(grams), 1.0)
+            if share < least:
+                continue
+            span, at, n = ws[min(places) : max(places) + 2], 0, 0
+            for w in body:
+                near = span[at : at + slack + 2]
+                if w in near:
+                    at, n = at + near.index(w) + 1, n + 1
+            if n >= least * len(body):
+                found.add(label)
+                shares.append(share)
+    starts = [i for i, _ in base]
+    labels = sorted({b for _, b in base})
+    return len(ws), len(base), min(starts, default=None), max(starts, default=None), ",".join(labels), ",".join(sorted({*labels, *found})), max([*shares, *[1.0 for _ in base]])
+
+
+def test_licenses_against_a_plain_loop(spark):
+    rng = random.Random(9)
+    phrases = [*license_scan.PHRASES, *license_scan.NOTICES]
+    texts = list(ODD)
+    for _ in range(250):
+        ws = []
+        for _ in range(rng.randrange(6)):
+            body = rng.choice(phrases).split()
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                at = rng.randrange(len(body) + 1)
+                body[at : at + rng.choice([0, 1])] = rng.choice([[], ["x"], ["The"], ["by"]])
+            if rng.random() < 0.15:
+                rng.shuffle(body)
+            ws += body + rng.choices(["a", "License", "cc", "by", "K", "é"], k=rng.randrange(5))
+        texts.append(rng.choice([" ", ", ", "\n"]).join(ws))
+    texts += ["cc by " * 60 + "nc", "word " * 200_000]
+    got = {r.doc_id: tuple(r)[1:8] for r in license_scan.license_scan(docs(spark, texts)).collect()}
+    assert {i: plain_licenses(t) for i, t in enumerate(texts)} == {i: (*r[:6], r[6]) for i, r in got.items()}
+    assert license_scan.license_scan(docs(spark, [])).count() == 0
+
+
+def test_quality_columns_against_plain_loops(spark):
+    rng = random.Random(10)
+    texts = ODD + ["".join(rng.choices(["alpha ", "beta ", "# ", "$x ", "é ", "\n", "a.\n", "gamma delta "], k=rng.randrange(80))) for _ in range(150)]
+    for r in quality_rules.quality_rules(docs(spark, texts)).collect():
+        t = texts[r.doc_id] or ""
+        ws, lines, seen, dup = re.findall("[^\x20\x09-\x0d]+", t), t.split("\n"), set(), 0
+        for line in lines:
+            if re.search("[^\x20\x09-\x0d]", line):
+                dup += line in seen
+                seen.add(line)
+        at = {}
+        for i in range(len(ws) - 7):
+            at.setdefault(tuple(ws[i : i + 8]), []).append(i)
+        again = len({i + j for v in at.values() if len(v) > 1 for i in v for j in range(8)})
+        failed = len(ws) < 20 or 100 * again > 30 * len(ws)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for w in ws for c in w), dup, again, failed)
+        assert not (failed and r.kept)
+    assert quality_rules.quality_rules(docs(spark, [])).count() == 0
+
+
 def test_quality_rules(spark):
     prose = "\n".join(f"This is sentence number {i} about things that differ in word {i * 7}." for i in range(8))
     texts = [*ODD, prose, prose + "\nHome | About | Contact | Login | Help", "\n".join(["a | b | c | d"] * 3) + " " + " ".join(map(str, range(40)))]
@@ -334,3 +485,20 @@ def test_line_dedup_of_odd_rows(spark):
     got = [(r.doc_id, r.text, r.lines_removed) for r in line_dedup.line_dedup(df).collect()]
     assert sorted(got, key=str) == sorted([(3, "", 1), (None, line, 0), (5, "", 1), (5, "", 1), (5, "other", 1), (6, None, 0), (7, "", 0), (8, "end", 1)], key=str)
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+def test_maximal_runs(spark):
+    """Later copies merge to the longest stretch on which they agree with the first occurrence."""
+    rng = random.Random(8)
+    shared = [f"line {i} of it" for i in range(12)]
+    rows = [(0, "\n".join(["start", *shared, "end"])), (1, "\n".join(["own a", *shared[2:9], "own b"])), (2, "\n".join(shared[:4] + ["cut"] + shared[6:])), (3, "\n".join(rng.sample(shared, 12)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = line_dedup.maximal_runs(line_dedup.repeated_runs(df, min_words=12)).collect()
+    assert sorted((r.doc, r.ln, r.n_lines, r.first.doc, r.first.ln) for r in runs) == [(1, 1, 7, 0, 3), (2, 0, 4, 0, 1), (2, 5, 6, 0, 7)]
+
+
+def test_operators_of_empty_tables(spark):
+    none = docs(spark, [])
+    assert secret_scan.secret_scan(none, ["doc_id"])[0].count() == 0
+    media = media_columns.media_columns(media_columns.text_media(none), "file", "declared")
+    assert media_columns.media_features(media).count() == 0
