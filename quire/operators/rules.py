@@ -70,4 +70,4 @@ def icon_rules(boxes: DataFrame) -> DataFrame:
         ("isolated_char", (F.length(s) == 1) & F.col("has_near").isNull()),
     ]
     reason = F.coalesce(first_match(rules), F.lit("text"))
-    return joined.drop("has_near").withColumn("reason", reason).withColumn("is_text", F.col("reason").isin("forced", "text"))
+    return joined.withColumn("reason", reason).drop("has_near").withColumn("is_text", F.col("reason").isin("forced", "text"))
