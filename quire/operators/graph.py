@@ -20,24 +20,24 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     """
     one = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"), (F.col(src) != F.col(dst)).alias("differ"))
     left = stored(one.where("differ").select("a", "b").distinct())
-    labels = None
+    labels, rows = None, left.count()  # links; there are no more hooks than links
     for _ in range(max_rounds):
-        ends = _ends(stored(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))), max_rounds)
-        labels = ends if labels is None else stored(_moved(labels, ends, "component").unionByName(ends))
+        ends = _ends(stored(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), rows), max_rounds, rows)
+        labels = ends if labels is None else stored(_moved(labels, ends, "component").unionByName(ends), rows)
         left = _moved(_moved(left, ends, "a"), ends, "b").where("a <> b")
-        left = stored(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        left = stored(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
         if not left.limit(1).count():
             return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _ends(hooks: DataFrame, max_rounds: int) -> DataFrame:
+def _ends(hooks: DataFrame, max_rounds: int, rows: int) -> DataFrame:
     """Hooks (node, component) followed until no component is itself a node."""
     for _ in range(max_rounds):
         nodes = hooks.select(F.col("node").alias("component"))
         if not hooks.select("component").distinct().join(nodes, "component", "left_semi").limit(1).count():
             return hooks
-        hooks = stored(_moved(hooks, hooks, "component"))
+        hooks = stored(_moved(hooks, hooks, "component"), rows)
     raise RuntimeError(f"hooks did not settle in {max_rounds} rounds")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side of a few longs that may still be broadcast (some 10 MB).
 BROADCAST_ROWS = 1_000_000
+#: Narrow rows for one task to write.
+PART_ROWS = 100_000
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -47,14 +49,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
+    ``rows``: about how many there are at most, if that is known; a table of few
+    is then written by few tasks, however many partitions a shuffle has.
+
     For intermediate results that several later jobs read: the files outlive
     lost executors, and Spark knows their size when it plans joins. The
     folder goes when the session ends.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // PART_ROWS + 1)
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
