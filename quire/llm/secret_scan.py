@@ -44,6 +44,8 @@ MORE_RULES = [
     Rule("url", r"\b[a-z][a-z0-9+.-]{1,30}://[^\s/:@]+:[^\s/:@]+@"),
 ]
 RULES = BASE_RULES + MORE_RULES
+#: Matches that one fold gathers.
+STRETCH = 256
 LEDGER = "blob string, rule string, version int"
 
 
@@ -58,26 +60,24 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     gaps = F.split(text, _quick(rule), -1)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     part = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    empty = F.array().cast("array<struct<at:int,start:int,end:int,size:int>>")
-    steps = F.aggregate(
-        F.arrays_zip(whole.alias("whole"), part.alias("part"), F.slice(gaps, 1, F.size(whole)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), empty.alias("all")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["whole"])).alias("at"),
-            F.concat(
-                acc["all"],
-                F.array(
-                    F.struct(
-                        acc["at"].alias("at"),
-                        (acc["at"] + F.length(x["gap"])).alias("start"),
-                        (acc["at"] + F.length(x["gap"]) + F.length(x["whole"])).alias("end"),
-                        F.length(x["part"]).alias("size"),
-                    )
-                ),
-            ).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
+    one = "struct<start:int,end:int,size:int>"
+    zipped = F.arrays_zip(whole.alias("whole"), part.alias("part"), F.slice(gaps, 1, F.size(whole)).alias("gap"))
+    begun = lambda at, kind: F.struct(at.alias("at"), F.array().cast(kind).alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["whole"])
+        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(start.alias("start"), end.alias("end"), F.length(x["part"]).alias("size")))).alias("all"))
+
+    def stretch(acc: Column, found: Column) -> Column:
+        return F.aggregate(found, begun(acc["at"], f"array<{one}>"), step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["all"], F.array(x["all"])).alias("all")))
+
+    def offsets(matches: Column) -> Column:
+        """Offsets add up from match to match; in stretches, as a fold copies what it has gathered."""
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / STRETCH).cast("int")), lambda k: F.slice(matches, k * STRETCH + 1, F.lit(STRETCH)))
+        return F.aggregate(parts, begun(F.lit(0), f"array<array<{one}>>"), stretch, lambda acc: F.flatten(acc["all"]))
+
+    steps = F.transform(F.array(zipped), offsets)[0]
     held = F.filter(steps, lambda s: s["size"] >= rule.least)
     typed = F.transform(held, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s["end"].alias("end"), F.lit(rule.base).alias("base")))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,base:boolean>>")
