@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import stored
+from quire.session import dropped, stored
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -23,10 +23,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     labels, rows = None, left.count()  # links; there are no more hooks than links
     for _ in range(max_rounds):
         ends = _ends(stored(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), rows), max_rounds, rows)
-        labels = ends if labels is None else stored(_moved(labels, ends, "component").unionByName(ends), rows)
-        left = _moved(_moved(left, ends, "a"), ends, "b").where("a <> b")
-        left = stored(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
+        was, labels = labels, ends if labels is None else stored(_moved(labels, ends, "component").unionByName(ends), rows)
+        moved = _moved(_moved(left, ends, "a"), ends, "b").where("a <> b")
+        old, left = left, stored(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
+        dropped(old, was, ends if labels is not ends else None)
         if not left.limit(1).count():
+            dropped(left)
             return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -37,7 +39,8 @@ def _ends(hooks: DataFrame, max_rounds: int, rows: int) -> DataFrame:
         nodes = hooks.select(F.col("node").alias("component"))
         if not hooks.select("component").distinct().join(nodes, "component", "left_semi").limit(1).count():
             return hooks
-        hooks = stored(_moved(hooks, hooks, "component"), rows)
+        old, hooks = hooks, stored(_moved(hooks, hooks, "component"), rows)
+        dropped(old)
     raise RuntimeError(f"hooks did not settle in {max_rounds} rounds")
 
 

@@ -56,18 +56,33 @@ def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     is then written by few tasks, however many partitions a shuffle has.
 
     For intermediate results that several later jobs read: the files outlive
-    lost executors, and Spark knows their size when it plans joins. The
-    folder goes when the session ends.
+    lost executors, and Spark knows their size when it plans joins. The folder
+    goes with ``dropped``, or when the session ends.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(rows // PART_ROWS + 1)
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete the folders of stored tables that nothing will read again; tables of other kinds stay."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            place, files = _place(table.sparkSession, path)
+            files.delete(place, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
