@@ -145,7 +145,7 @@ def retention_filter(spark, sf_dir):
     return jobs.retention_filter(view(spark, sf_dir, "jobs"), F.lit("1996-01-01").cast("timestamp"), 30).select("id")
 
 
-@register("boot_recover", with_views("jobs", select="select id, case when status = 'running' then 'failed' else status end as status, case when status = 'running' then 'interrupted by a restart' end as error_msg, case when status = 'queued' then row_number() over (partition by owner_id, status order by created_at, id) end as owner_turn from jobs"))
+@register("boot_recover", with_views("jobs", select="select id, case when status = 'running' then 'failed' else status end as status, case when status = 'running' then 'interrupted by restart' end as error_msg, case when status = 'queued' then row_number() over (partition by owner_id, status order by created_at, id) end as owner_turn from jobs"))
 def boot_recover(spark, sf_dir):
     return jobs.boot_recover(view(spark, sf_dir, "jobs")).select("id", "status", "error_msg", "owner_turn")
 
