@@ -61,7 +61,7 @@ def eta(jobs: DataFrame) -> DataFrame:
     me = F.col("status") == "running"
     place = F.col("n_before") + F.col("n_run") - me.cast("long")
     seconds = F.col("s_before") + F.col("s_run") + F.when(me, F.lit(0.0)).otherwise(F.col("own"))
-    waiting = both.select("id", place.alias("queue_position"), seconds.cast("long").alias("eta_seconds"))
+    waiting = both.select("id", place.alias("queue_position"), F.round(seconds, 6).cast("long").alias("eta_seconds"))  # sums differ in their last digits by order
     rest = rated.where("status not in ('queued', 'running')").select("id", F.lit(0).cast("long").alias("queue_position"), F.lit(0).cast("long").alias("eta_seconds"))
     return waiting.union(rest)
 

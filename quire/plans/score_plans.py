@@ -129,7 +129,7 @@ j as (select jobs.*, greatest(page_count - current_page, 1) * coalesce(nullif(r.
 q as (select created_at, count(*) as n, sum(own) as s from j where status = 'queued' group by created_at),
 u as (select (select count(*) from j where status = 'running') as n_run, (select coalesce(sum(own), 0) from j where status = 'running') as s_run)
 select id, case when status in ('queued', 'running') then (select coalesce(sum(n), 0) from q where q.created_at < j.created_at) + n_run - case when status = 'running' then 1 else 0 end else 0 end as queue_position,
-case when status in ('queued', 'running') then trunc((select coalesce(sum(s), 0) from q where q.created_at < j.created_at) + s_run + case when status = 'running' then 0 else own end) else 0 end as eta_seconds from j cross join u""").replace(") , r as", "), r as"),
+case when status in ('queued', 'running') then trunc(round((select coalesce(sum(s), 0) from q where q.created_at < j.created_at) + s_run + case when status = 'running' then 0 else own end, 6)) else 0 end as eta_seconds from j cross join u""").replace(") , r as", "), r as"),
 )
 def eta(spark, sf_dir):
     return jobs.eta(view(spark, sf_dir, "jobs"))
