@@ -3,9 +3,11 @@
 Templates are short license phrases. Every rolling word k-gram of every text
 is joined with the k-grams of the templates; a hit at word p of the text and
 word q of the template votes for the diagonal p - q. Diagonals next to each
-other (a word was put in or left out) merge; merged spans with enough of the
-template's k-grams are verified word by word. The templates are a bounded list,
-so their k-grams are broadcast. DataFrame operations only.
+other (a word was put in or left out) merge, within a band of bounded width;
+merged spans with enough of the template's k-grams are verified by aligning the
+template's words with the span's in order. The templates are a bounded list, so
+their k-grams are broadcast. Only texts with spans are looked at again.
+DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.session import small, stored
+
 #: Phrases whose words must stand in a row, and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -44,6 +48,8 @@ NOTICES = {
 }
 #: Words are runs of ASCII letters and digits and of characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Templates in all, at most; their k-grams are broadcast.
 MAX_TEMPLATES = 10_000
 K = 2
@@ -85,8 +91,10 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Spans that the votes suggest: ``(doc, version, template, label, base, body, first, votes, share)``.
 
     For a phrase every diagonal with all k-grams; for a notice the merged
-    diagonals (each within ``slack`` of the one before) that have ``least`` of
-    its k-grams. ``share`` is votes over k-grams; the text is not yet compared.
+    diagonals that have ``least`` of its k-grams. Diagonals merge while each is
+    within ``slack`` of the one before, and those that drift apart by more than
+    ``slack`` in all are cut into bands of that width from the first on.
+    ``share`` is votes over k-grams; the text is not yet compared.
     """
     templates = _templates(docs.sparkSession, phrases, notices)
     grams = templates.select("template", F.posexplode(_grams("body")).alias("q", "gram"))
@@ -98,13 +106,15 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     exact = votes.where("base and votes = grams").select("doc", "version", "template", "label", "base", "body", F.col("diagonal").alias("first"), (F.col("diagonal") + F.size("body") - 1).alias("last"), "votes", F.lit(1.0).alias("share"))
     of = Window.partitionBy("doc", "version", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(of) > slack).cast("int"), F.lit(0))
-    merged = votes.where("not base").withColumn("new", new).withColumn("band", F.sum("new").over(of))
-    merged = merged.groupBy("doc", "version", "template", "label", "base", "body", "grams", "band").agg(F.sum("votes").alias("votes"), F.min("low").alias("first"), (F.max("high") + K - 1).alias("last"))
+    merged = votes.where("not base").withColumn("new", new).withColumn("chain", F.sum("new").over(of))
+    drift = F.col("diagonal") - F.min("diagonal").over(Window.partitionBy("doc", "version", "template", "chain"))
+    merged = merged.withColumn("band", F.floor(drift / (slack + 1)))
+    merged = merged.groupBy("doc", "version", "template", "label", "base", "body", "grams", "chain", "band").agg(F.sum("votes").alias("votes"), F.min("low").alias("first"), (F.max("high") + K - 1).alias("last"))
     merged = merged.withColumn("share", F.least(F.col("votes") / F.col("grams"), F.lit(1.0))).where(F.col("share") >= least)
-    return exact.unionByName(merged.drop("grams", "band"))
+    return exact.unionByName(merged.drop("grams", "chain", "band"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, least: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, least: float = 0.8, slack: int = 2) -> DataFrame:
     """One row per document with its license labels.
 
     Returns ``(doc_id, n_words, n_base, first_word, last_word, base_labels,
@@ -115,25 +125,32 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans`` lists the verified spans as (label, first, last, share).
 
     A span is verified when the words of a phrase stand there one by one, or
-    when at least ``least`` of a notice's words occur among the span's. Null
-    texts count as empty: no words, no labels, score 0. Rows that repeat id and
-    text give equal rows; other columns are ignored.
+    when at least ``least`` of a notice's words are found in the span in order,
+    each at most ``slack`` words further on than expected. Null texts count as
+    empty: no words, no labels, score 0. Rows that repeat id and text give equal
+    rows; other columns are ignored.
     """
-    spans = license_spans(docs, id_col, text_col, phrases, notices, least)
+    spans = license_spans(docs, id_col, text_col, phrases, notices, least, slack)
     spans = spans.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last", "base", "label", "body", "share")).alias("found"))
-    spans = spans.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "found")
+    spans = stored(spans.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "found"))
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    both = text.join(spans, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("version") == F.col("__version")), "left")
-    both = both.select("doc_id", words(F.col("text")).alias("ws"), F.coalesce("found", F.array().cast("array<struct<first:int,last:int,base:boolean,label:string,body:array<string>,share:double>>")).alias("found"))
+    both = text.join(small(spans), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("version") == F.col("__version")), "left")
+    ws = F.when(F.col("found").isNotNull(), words(F.col("text")))
+    n_words = F.when(F.col("ws").isNotNull(), F.size("ws")).otherwise(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)))
+    none = F.array().cast("array<struct<first:int,last:int,base:boolean,label:string,body:array<string>,share:double>>")
+    both = both.select("doc_id", F.col("text"), ws.alias("ws"), F.coalesce("found", none).alias("found"))
     here = "slice(ws, s.first + 1, s.last - s.first + 1)"
-    held = f"case when s.base then {here} = s.body else size(filter(s.body, w -> array_contains({here}, w))) >= {least} * size(s.body) end"
+    # walk along the span with the notice's words: a word found within reach moves the place behind it
+    at = f"array_position(slice({here}, acc.p + 1, {slack + 2}), w)"
+    walk = f"aggregate(s.body, named_struct('p', 0, 'n', 0), (acc, w) -> if({at} > 0, named_struct('p', acc.p + cast({at} as int), 'n', acc.n + 1), acc), acc -> acc.n)"
+    held = f"case when s.base then {here} = s.body else {walk} >= {least} * size(s.body) end"
     both = both.withColumn("held", F.when(F.size("found") > 0, F.expr(f"filter(found, s -> {held})")).otherwise(F.col("found")))
     base = F.expr("filter(held, s -> s.base)")
     starts = F.transform(base, lambda s: s["first"])
     label = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     return both.select(
         "doc_id",
-        F.size("ws").cast("long").alias("n_words"),
+        n_words.cast("long").alias("n_words"),
         F.size(base).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),

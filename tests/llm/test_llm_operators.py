@@ -440,7 +440,7 @@ def brute_spans(x):
 def test_secrets_and_the_ledger(spark):
     rng = random.Random(4)
     bits = ["token", "Secret", "api_key", "=", ":", " ", '"', "abc", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "🎼", "\n", "x=y"]
-    texts = ODD + ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(300)] + ["secret=token: abcdefgh", "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = ODD + ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(300)] + ["secret=token: abcdefgh", "-----BEGIN RSA PRIVATE KEY-----", "é token=abcdef1 " * 20_000]
     df = docs(spark, texts)
     found, kept, ledger = secret_scan.secret_scan(df, ["doc_id"])
     for r in found.collect():
