@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.graph import components
-from quire.session import small, stored
+from quire.session import dropped, small, stored
 
 #: A token that more sets than this hold, as far as they gave it, is frequent.
 LONG_LIST = 64
@@ -271,7 +271,7 @@ def _counted(texts: DataFrame, chosen: DataFrame, ngram: int, num: int, den: int
 
     Goes on until each set has given a prefix of infrequent tokens, or all.
     """
-    parts = [chosen]
+    parts, spent = [chosen], [chosen]
     width = F.expr(_width(num, den))
     counts = stored(_listed(parts).groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1"))
     while True:
@@ -282,9 +282,12 @@ def _counted(texts: DataFrame, chosen: DataFrame, ngram: int, num: int, den: int
         missing = width - (F.col("at") - F.col("hot"))
         short = given.where((F.col("at") < F.col("n")) & (missing > 0))
         short = stored(short.select("set_id", F.col("n").alias("n"), "at", F.least("n", F.col("at") + 2 * missing + SPARE).alias("upto")))
+        spent += [hot, lost, short, counts]
         if not short.limit(1).count():
             # the counts grow with the corpus, so both sides are dealt by token at every size
-            return stored(_listed(parts).join(counts.hint("merge"), "tok").select("set_id", "n", "idx", "tok", "cnt"))
+            out = stored(_listed(parts).join(counts.hint("merge"), "tok").select("set_id", "n", "idx", "tok", "cnt"))
+            dropped(*spent)
+            return out
         rows = texts.withColumnRenamed("row_id", "set_id").join(small(short), "set_id").select("set_id", "text", "n", "at", "upto")
         more = stored(rows.mapInArrow(_stretch(ngram), "set_id long, n long, at long, toks array<long>"))
         fresh = stored(_listed([more]).groupBy("tok").agg(F.count("*").alias("cnt")))
@@ -292,6 +295,7 @@ def _counted(texts: DataFrame, chosen: DataFrame, ngram: int, num: int, den: int
         both = before.unionByName(fresh).groupBy("tok").agg(F.sum("cnt").alias("cnt")).where("cnt > 1")
         counts = stored(counts.unionByName(both).groupBy("tok").agg(F.max("cnt").alias("cnt")))
         parts.append(more)
+        spent += [more, fresh]
 
 
 def _prefixes(counted: DataFrame, num: int, den: int) -> DataFrame:
@@ -315,7 +319,9 @@ def _prefixes(counted: DataFrame, num: int, den: int) -> DataFrame:
 def _links(texts: DataFrame, sets: DataFrame, ids: DataFrame, ngram: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links (src, dst) that join the same components as all links do, and these components (node, component)."""
     chosen = sets.withColumnRenamed("row_id", "set_id").join(ids, "set_id", "left_semi").select("set_id", "n", F.lit(0).cast("long").alias("at"), "toks")
-    keyed = stored(_prefixes(_counted(texts, stored(chosen), ngram, num, den), num, den))
+    counted = _counted(texts, stored(chosen), ngram, num, den)
+    keyed = stored(_prefixes(counted, num, den))
+    dropped(counted)
     links, label = _cold_links(texts, keyed, ngram, num, den)
     return _common_links(keyed.where("hot is not null").select("set_id", "n", "hot"), links, label, num, den)
 
@@ -341,14 +347,15 @@ def _cold_links(texts: DataFrame, keyed: DataFrame, ngram: int, num: int, den: i
     best = best.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     own = member.where("set_id <> group_id").select(F.col("group_id").alias("src"), F.col("set_id").alias("dst"))
     tried = stored(best.union(own).distinct())
-    links = stored(_verify(texts, tried, ngram, num, den))
-    label = stored(components(links))
+    links = _verify(texts, tried, ngram, num, den)
+    label = _settled(links)
     a, b = (label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")) for end in ("src", "dst"))
     open_ = pairs.join(a, "src", "left").join(b, "dst", "left").where(F.coalesce("csrc", "src") != F.coalesce("cdst", "dst")).select("src", "dst")
     open_ = stored(open_.join(tried, ["src", "dst"], "left_anti"))
     if open_.limit(1).count():
         links = stored(links.union(_verify(texts, open_, ngram, num, den)))
-        tried, label = tried.union(open_), stored(components(links))
+        dropped(label)
+        tried, label = tried.union(open_), _settled(links)
 
     # members of groups that make a pair, and of one group, if they aren't of one component yet
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("group_id")).union(member.select("group_id")).distinct()
@@ -363,7 +370,7 @@ def _cold_links(texts: DataFrame, keyed: DataFrame, ngram: int, num: int, den: i
     if not rest.limit(1).count():
         return links, label
     links = stored(links.union(_verify(texts, rest, ngram, num, den)))
-    return links, stored(components(links))
+    return links, _settled(links)
 
 
 def _common_links(common: DataFrame, links: DataFrame, label: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -389,22 +396,24 @@ def _common_links(common: DataFrame, links: DataFrame, label: DataFrame, num: in
     centre = listed.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("h"), F.xxhash64("unit"), "unit", "n", "h")).alias("top")).select("key", *_as("top.", "a"))
     for k in range(STAR_ROUNDS + 1):
         star = listed.select("key", *_as("", "b")).join(small(centre), "key").where(_could(num, den)).where("unita <> unitb")
-        links = stored(links.union(_alike(sets, star, num, den)))
-        label = stored(components(links))
-        now = stored(listed.join(label.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
+        links = stored(links.union(_alike(sets, star, num, den, rows)))
+        label = _settled(links)
+        now = stored(listed.join(label.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")), rows)
         main = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        now = stored(now.join(small(stored(main)), "key").withColumn("inside", F.col("component") == F.col("main")).drop("main"))
+        now = stored(now.join(small(stored(main, rows)), "key").withColumn("inside", F.col("component") == F.col("main")).drop("main"), rows)
         # groups of equal counts first: could they hold a link between components?
-        groups = stored(now.groupBy("key", "n", "h", "inside").agg(F.count("*").alias("c")))
+        groups = stored(now.groupBy("key", "n", "h", "inside").agg(F.count("*").alias("c")), rows)
         a = groups.where("not inside").select("key", F.col("n").alias("na"), F.col("h").alias("ha"), F.col("c").alias("ca"))
         b = groups.select("key", F.col("n").alias("nb"), F.col("h").alias("hb"), F.col("c").alias("cb"), F.col("inside").alias("insideb"))
         itself = (F.col("na") == F.col("nb")) & (F.col("ha") == F.col("hb")) & ~F.col("insideb") & (F.col("cb") == 1)
         open_ = stored(a.join(b, "key").where(_could(num, den)).where(~itself))
         # where few are open, expanding them is in proportion
+        spent = [now, groups, open_, label]
         if k == STAR_ROUNDS or (open_.agg(F.sum(F.col("ca") * F.col("cb"))).first()[0] or 0) <= 2 * rows:
             break
         outside = now.where("not inside").join(open_.select("key", F.col("na").alias("n"), F.col("ha").alias("h")).distinct(), ["key", "n", "h"])
-        centre = stored(outside.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("h"), F.xxhash64("unit", F.lit(k)), "unit", "n", "h")).alias("top")).select("key", *_as("top.", "a")))
+        centre = stored(outside.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("h"), F.xxhash64("unit", F.lit(k)), "unit", "n", "h")).alias("top")).select("key", *_as("top.", "a")), rows)
+        dropped(*spent)
 
     outside = now.where("not inside").select("key", *_as("", "a"), F.col("component").alias("ka"))
     partner = open_.select("key", "na", "ha", "nb", "hb", "insideb")
@@ -414,7 +423,7 @@ def _common_links(common: DataFrame, links: DataFrame, label: DataFrame, num: in
     if not more.limit(1).count():
         return links, label
     links = stored(links.union(more))
-    return links, stored(components(links))
+    return links, _settled(links)
 
 
 def _as(prefix: str, suffix: str) -> list[Column]:
@@ -426,14 +435,19 @@ def _could(num: int, den: int) -> Column:
     return (num + den) * F.least("ha", "hb") >= num * (F.col("na") + F.col("nb"))
 
 
-def _alike(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of units that link by their frequent tokens, as (src, dst)."""
-    pairs = stored(pairs.select(F.least("unita", "unitb").alias("src"), F.greatest("unita", "unitb").alias("dst")).distinct())
+def _alike(sets: DataFrame, pairs: DataFrame, num: int, den: int, rows: int | None = None) -> DataFrame:
+    """The pairs of units that link by their frequent tokens, as (src, dst); ``rows``: about how many pairs there are at most."""
+    pairs = stored(pairs.select(F.least("unita", "unitb").alias("src"), F.greatest("unita", "unitb").alias("dst")).distinct(), rows)
     a, b = (sets.select(F.col("unit").alias(end), F.col("n").alias(f"n{s}"), F.col("hot").alias(f"hot{s}")) for end, s in (("src", "a"), ("dst", "b")))
     both = pairs.join(a, "src").join(b, "dst").withColumn("both", F.size(F.array_intersect("hota", "hotb")))
     return both.where((num + den) * F.col("both") >= num * (F.col("na") + F.col("nb"))).select("src", "dst")
 
 
+def _settled(links: DataFrame) -> DataFrame:
+    """The components of stored links, stored; a link has two nodes."""
+    return stored(components(links), 2 * links.count())
+
+
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     """Add the component; a set without links is its own."""
     return rows.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -461,21 +475,15 @@ def _enough(num: int, den: int) -> Column:
     return (num + den) * (F.col("common") + F.col("more") + left) >= num * (F.col("na") + F.col("nb"))
 
 
-def _overlaps(texts: DataFrame, pairs: DataFrame, ngram: int) -> DataFrame:
-    """Pairs (src, dst) with the sizes of both sets, and of what they share: (src, dst, na, nb, both)."""
+def _verify(texts: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """The pairs (src, dst) that link, verified on whole sets; stored."""
     pairs = stored(pairs.distinct())
     ids = stored(pairs.select(F.col("src").alias("set_id")).union(pairs.select("dst")).distinct())
     sets = stored(_read_sets(texts, ids, ngram))
     a = sets.select(F.col("set_id").alias("src"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("set_id").alias("dst"), F.col("tokens").alias("tb"))
-    rows = pairs.join(a, "src").join(b, "dst")
-    return rows.select("src", "dst", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
-
-
-def _linked(measured: DataFrame, num: int, den: int) -> DataFrame:
-    return measured.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("src", "dst")
-
-
-def _verify(texts: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """The pairs (src, dst) that link, verified on whole sets."""
-    return _linked(_overlaps(texts, pairs, ngram), num, den)
+    both = F.size(F.array_intersect("ta", "tb"))
+    rows = pairs.join(a, "src").join(b, "dst").select("src", "dst", F.size("ta").alias("na"), F.size("tb").alias("nb"), both.alias("both"))
+    out = stored(rows.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("src", "dst"))
+    dropped(pairs, ids, sets)
+    return out
