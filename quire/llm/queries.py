@@ -18,6 +18,7 @@ from quire.llm.quality_rules import quality_rules
 from quire.llm.secret_scan import secret_scan
 from quire.llm.sentencepiece_codec import sentencepiece_digests
 from quire.llm.source_mix import mix_sources
+from quire.llm.toxicity import toxicity
 
 
 def model_file() -> str:
@@ -92,6 +93,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), min_words=50).select("doc_id", "text", "lines_total", "lines_removed")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, by models of the labels of two thirds of the ids."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
