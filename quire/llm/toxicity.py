@@ -4,14 +4,17 @@ Each class (toxic, ordinary) has a model of the next character in a word, given
 the ``order - 1`` before it, and backs off to a Kneser-Ney model of both classes
 together. From a class's count of a window (a character and its context) goes a
 discount: Kneser-Ney's own, what the shared model leads to expect, and ``sure``
-standard deviations of that; what is left is the class's own, all else is smoothed
+standard deviations of that (texts as the units of chance, not words); what is left is the class's own, all else is smoothed
 by the shared model. So expressions that are rare, or about as frequent in both
 classes, say nothing for either. The ratio of the two likelihoods of a place
 depends only on its window: one value where a class has something of its own, and
 one for its context otherwise. A document's log ratio is the sum of these values
 over its distinct words, divided by the root of their number (so that documents of
 any length vary alike by chance); a rising curve, fitted on labelled documents
-scored by models that haven't read them, makes it a score. A text counts each of its words once, so that neither a word said
+scored by models that haven't read them, makes it a score. A text counts each of
+its words once, and of near copies (texts with a common least hash of their
+shingles) one counts, so that neither a word said over and over nor a text of many
+copies speaks for its class alone. A text counts each of its words once, so that neither a word said
 over and over nor a long text speaks for its class alone.
 
 Counts come from all labelled texts, and are summed in partitions before the
@@ -26,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -113,11 +117,21 @@ class Windows:
 
 
 _TAUGHT = [f"{c}{k}" for c in "to" for k in range(FOLDS)]
-_GRAMS = "size int, opens boolean, gram long, tail long, head long, " + ", ".join(f"{c} long" for c in _TAUGHT)
+_SUMS = [*_TAUGHT, "squares"]
+_GRAMS = "size int, opens boolean, gram long, tail long, head long, " + ", ".join(f"{c} long" for c in _SUMS)
+
+
+def _expanded(codes: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``codes`` the places of its word, where ``word`` (rising) has the word of each place: (number in codes, place)."""
+    size = np.bincount(word, minlength=words)
+    first = np.cumsum(size) - size
+    many = size[codes]
+    ends = np.cumsum(many)
+    return np.repeat(np.arange(len(codes)), many), np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[codes] - ends + many, many)
 
 
 def _count(order: int) -> Callable:
-    """Batches (text, kind) to the windows of all orders and how often each kind (place in ``_TAUGHT``) has them."""
+    """Batches (text, kind) to the windows of all orders, how often each kind (place in ``_TAUGHT``) has them, and the sum of the squares of how often each text has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,12 +145,17 @@ def _count(order: int) -> Callable:
 
             def rows(m: int, opens: bool, at: np.ndarray, counted: bool) -> pa.RecordBatch:
                 gram, first, back = np.unique(w.keys(m, at), return_index=True, return_inverse=True)
-                n = [np.bincount(back, times[w.word[at], k] if counted else np.zeros(len(at)), len(gram)).astype(np.int64) for k in range(len(_TAUGHT))]
+                n = np.zeros((len(_SUMS), len(gram)), np.int64)
+                if counted:
+                    for k in range(len(_TAUGHT)):
+                        n[k] = np.bincount(back, times[w.word[at], k], len(gram))
+                    of, place = _expanded(codes, w.word[at], len(words))
+                    pairs, many = np.unique(row[of] * len(gram) + back[place], return_counts=True)
+                    n[-1] = np.bincount(pairs % max(len(gram), 1), many.astype(np.float64) ** 2, len(gram))
                 one = at[first]
-                tail = w.keys(m - 1, one)
-                head = w.keys(m, one, context=True)
                 fixed = [pa.array(np.full(len(gram), m, np.int32)), pa.array(np.full(len(gram), opens))]
-                return pa.RecordBatch.from_arrays([*fixed, pa.array(gram), pa.array(tail), pa.array(head), *map(pa.array, n)], ["size", "opens", "gram", "tail", "head", *_TAUGHT])
+                keys = [pa.array(x) for x in (gram, w.keys(m - 1, one), w.keys(m, one, context=True))]
+                return pa.RecordBatch.from_arrays([*fixed, *keys, *map(pa.array, n)], ["size", "opens", "gram", "tail", "head", *_SUMS])
 
             for m, opens, at in w.ending():
                 yield rows(m, opens, at, True)
@@ -146,6 +165,41 @@ def _count(order: int) -> Callable:
     return run
 
 
+#: Least hashes of a text's shingles of five words; texts of a class that share one teach once.
+SKETCH, SHINGLE = 8, 5
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, toxic, hash, text): the text becomes the least hashes of its shingles (of all its words, if they are fewer)."""
+    for batch in batches:
+        words, codes, row = _words(batch.column(3))
+        out = np.zeros((SKETCH, batch.num_rows), np.int64)
+        if len(words):
+            hashed = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)[codes]
+            with np.errstate(over="ignore"):
+                rolled, power = np.zeros(len(hashed), np.uint64), np.uint64(1)
+                for k in range(SHINGLE):
+                    power *= _BASE
+                    there = row[: len(row) - k] == row[k:]
+                    rolled[: len(row) - k] += np.where(there, hashed[k:] * power, 0).astype(np.uint64)
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                whole = np.append(row[: 1 - SHINGLE] == row[SHINGLE - 1 :], np.zeros(min(SHINGLE - 1, len(row)), bool)) if len(row) >= SHINGLE else np.zeros(len(row), bool)
+                whole[first] = True
+                for k in range(SKETCH):
+                    least = np.minimum.reduceat(np.where(whole, _mixed(rolled ^ (np.uint64(k + 1) * _SEED)), ~np.uint64(0)), first)
+                    out[k, row[first]] = least.view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, out)], [*batch.schema.names[:3], *(f"m{k}" for k in range(SKETCH))])
+
+
+def _apart(labelled: DataFrame) -> DataFrame:
+    """One text (doc_id, toxic, hash) of each lot of near copies in a class: a smallest id for each least hash, hash after hash."""
+    names = [f"m{k}" for k in range(SKETCH)]
+    rows = labelled.select("doc_id", "toxic", "hash", "text").mapInArrow(_sketch, extended(labelled.select("doc_id", "toxic", "hash"), ", ".join(f"{m} long" for m in names)))
+    for m in names:
+        rows = rows.groupBy("toxic", m).agg(F.min(F.struct("doc_id", "hash", *(x for x in names if x != m))).alias("x")).select("toxic", m, "x.*")
+    return stored(rows.select("doc_id", "toxic", "hash"))
+
+
 def _discount(ones: Column, twos: Column) -> Column:
     """Kneser-Ney's discount from how many grams were seen once and twice; between 0.1 and 0.95."""
     return F.least(F.greatest(F.coalesce(F.try_divide(ones, ones + 2 * twos), F.lit(0.75)), F.lit(0.1)), F.lit(0.95))
@@ -176,7 +230,7 @@ def _shared(grams: DataFrame, order: int) -> DataFrame:
         else:
             mine = mine.join(level.select(F.col("gram").alias("tail"), F.col("p").alias("lower")), "tail")
         p = (F.greatest(F.col("times") - F.col("cut"), F.lit(0.0)) + F.col("cut") * F.col("kinds") * F.col("lower")) / F.col("all")
-        mine = stored(mine.select("gram", "head", "opens", *_TAUGHT, p.alias("p")))
+        mine = stored(mine.select("gram", "head", "opens", *_SUMS, p.alias("p")))
         found = mine.where("opens") if m < order else mine
         windows = found if level is None else windows.unionByName(found)
         level = mine.where("not opens")
@@ -186,7 +240,7 @@ def _shared(grams: DataFrame, order: int) -> DataFrame:
 def _model(taught: DataFrame, order: int, sure: float) -> DataFrame:
     """``(key, a, x, y)``: what a window, and a context whose window is unknown, add to the log ratio of a document."""
     counted = taught.select("text", "kind").mapInArrow(_count(order), _GRAMS)
-    grams = stored(counted.groupBy("size", "opens", "gram", "tail", "head").agg(*[F.sum(c).alias(c) for c in _TAUGHT]))
+    grams = stored(counted.groupBy("size", "opens", "gram", "tail", "head").agg(*[F.sum(c).alias(c) for c in _SUMS]))
     windows = _shared(grams, order)
     counts = {c + v: F.expr(" + ".join(f"{c}{k}" for k in range(FOLDS) if v != f"w{k}")) for c in "to" for v in VERSIONS}
     cuts = windows.agg(*[_discount(_seen(n, 1), _seen(n, 2)).alias(k) for k, n in counts.items()]).first()
@@ -195,7 +249,8 @@ def _model(taught: DataFrame, order: int, sure: float) -> DataFrame:
     def own(k: str) -> Column:
         """The share of a context's count that a class has of a window for itself."""
         expected = F.col(f"all_{k}") * F.col("p")
-        return F.coalesce(F.try_divide(F.greatest(counts[k] - cuts[k] - expected - sure * F.sqrt(expected), F.lit(0.0)), F.col(f"all_{k}")), F.lit(0.0))
+        spread = F.sqrt(expected * F.col("squares") / F.expr(" + ".join(_TAUGHT)))
+        return F.coalesce(F.try_divide(F.greatest(counts[k] - cuts[k] - expected - sure * spread, F.lit(0.0)), F.col(f"all_{k}")), F.lit(0.0))
 
     windows = stored(windows.join(heads, "head").select("gram", "head", "p", *[own(k).alias(k) for k in counts]).where(" + ".join(counts) + " > 0"))
     heads = windows.groupBy("head").agg(*[(1 - F.sum(k)).alias(f"rest_{k}") for k in counts])
@@ -251,12 +306,10 @@ def _emitted(order: int) -> Callable:
                 continue
             keys, word = _places(Windows(words, order))
             by_word = np.argsort(word, kind="stable")
-            keys, ends = keys[by_word], np.cumsum(np.bincount(word, minlength=len(words)))
+            keys = keys[by_word]
             for k in range(0, len(codes), 100_000):
-                w = codes[k : k + 100_000]
-                size = ends[w] - np.where(w > 0, ends[w - 1], 0)
-                at = np.repeat(ends[w] - np.cumsum(size), size) + np.arange(size.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[row[k : k + 100_000]], size)), pa.array(keys[at]), pa.nulls(len(at), pa.int64())], ["row", "key", "n_words"])
+                of, at = _expanded(codes[k : k + 100_000], word[by_word], len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[k : k + 100_000][of]]), pa.array(keys[at]), pa.nulls(len(at), pa.int64())], ["row", "key", "n_words"])
 
     return run
 
@@ -299,7 +352,7 @@ def toxicity(
     held_part: int = 1,
     threshold: float = 0.7,
     order: int = ORDER,
-    sure: float = 5.0,
+    sure: float = 2.5,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -309,8 +362,8 @@ def toxicity(
 
     ``labels`` holds ``id_col`` and ``label_col`` (1 toxic, 0 ordinary). The part
     of an id is crc32 of it as text, modulo 3; labels of ``held_part`` are never
-    read. The labelled texts of the two other parts teach the models, repeated
-    texts of a class once; each fold of them is scored by what the others taught,
+    read. The labelled texts of the two other parts teach the models, near copies
+    in a class once; each fold of them is scored by what the others taught,
     so no text is judged by its own label, and the curve is fitted on these
     scores. All other documents are scored by all of them together.
 
@@ -328,7 +381,7 @@ def toxicity(
     given = stored(given.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     labelled = source.join(small(given), "doc_id").withColumn("hash", F.xxhash64("text"))
-    once = stored(labelled.groupBy("hash", "toxic").agg(F.min("doc_id").alias("doc_id")))
+    once = _apart(labelled)
     taught = labelled.join(small(once), ["doc_id", "toxic", "hash"], "left_semi").withColumn("kind", FOLDS * (1 - F.col("toxic")) + fold)
     model = _model(taught, order, sure)
     rows = source.join(small(given), "doc_id", "left").select("doc_id", "toxic", F.coalesce(part(F.col("doc_id")), F.lit(-1)).cast("int").alias("part"), "text")
