@@ -43,4 +43,19 @@ a as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) fil
   string_agg(concat_ws(':', kind, s, e), ',' order by s, rank) filter (base) as base, string_agg(concat_ws(':', kind, s, e), ',' order by s, rank) as spans from s group by doc_id)
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a on d.doc_id = a.doc_id"""
 
-SQL = {"op2_ngram_jaccard_join": OP2, "op9_secret_scan": OP9, "op10_line_dedup": OP10}
+OP12 = r"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]+')) as piece from documents),
+w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+u as materialized (select lang, x as w, count(*) as f from (select lang, unnest(w) as x from w) group by all),
+t as (select lang, cast(sum(f) as bigint) as n from u group by lang),
+b as materialized (select lang, x.a as a, x.b as b, count(*) as f from (select lang, unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]})) as x from w where len(w) > 1) group by all having count(*) >= 10),
+c as materialized (select lang, x.a as a, x.b as b, x.c as c, count(*) as f from (select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: {'a': w[i], 'b': w[i + 1], 'c': w[i + 2]})) as x from w where len(w) > 2) group by all having count(*) >= 10),
+longer as (select lang, a, b, max(f) as m from (select lang, a, b, f from c union all select lang, b, c, f from c) group by all),
+two as (select b.lang, b.a || ' ' || b.b as phrase, b.f as a, x.f as l, y.f as r, 1 as cut from b join u x on x.lang = b.lang and x.w = b.a join u y on y.lang = b.lang and y.w = b.b left join longer g on g.lang = b.lang and g.a = b.a and g.b = b.b where g.m is null or 100 * g.m < 50 * b.f),
+s as (select c.lang, c.a || ' ' || c.b || ' ' || c.c as phrase, c.f as a, x.f as f1, y.f as f23, z.f as f12, v.f as f3 from c join u x on x.lang = c.lang and x.w = c.a join b y on y.lang = c.lang and y.a = c.b and y.b = c.c join b z on z.lang = c.lang and z.a = c.a and z.b = c.b join u v on v.lang = c.lang and v.w = c.c),
+k as (select *, cast(1000000 as hugeint) * a * a // (cast(f1 as hugeint) * f23) as s1, cast(1000000 as hugeint) * a * a // (cast(f12 as hugeint) * f3) as s2 from s),
+every as (select lang, phrase, a, l, r, cut, cast(1000000 as hugeint) * a * a // (cast(l as hugeint) * r) as score from two
+  union all select lang, phrase, a, case when s1 <= s2 then f1 else f12 end, case when s1 <= s2 then f23 else f3 end, case when s1 <= s2 then 1 else 2 end, least(s1, s2) from k),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from every)
+select o.lang, rank, phrase, a, l, r, t.n, cast(score as bigint) as score, cut from o join t on t.lang = o.lang where rank <= 2000"""
+
+SQL = {"op2_ngram_jaccard_join": OP2, "op9_secret_scan": OP9, "op10_line_dedup": OP10, "op12_collocations": OP12}

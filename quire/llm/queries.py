@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import oracles
+from quire.llm.collocations import collocations
 from quire.llm.html_extract import html_extract
 from quire.llm.jaccard import ngram_jaccard_join
 from quire.llm.license_scan import license_scan
@@ -19,6 +20,7 @@ from quire.llm.secret_scan import secret_scan
 from quire.llm.sentencepiece_codec import sentencepiece_digests
 from quire.llm.source_mix import mix_sources
 from quire.llm.toxicity import toxicity
+from quire.llm.whitening import whiten
 
 
 def model_file() -> str:
@@ -98,6 +100,16 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two or three words of each language."""
+    return collocations(table(spark, sf_dir, "documents"), best=2000, least=10, cover=50)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitening components of all embeddings."""
+    return whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
