@@ -3,7 +3,7 @@
 A phrase grows word by word from its prefix. The score of a phrase with the count a is
 a * a / (f(first part) * f(rest)) at its worst cut, and neither part is rarer than the
 phrase, so no phrase that grows from a prefix can score more than f(prefix) over the
-count of the prefix without its last word. One pass counts all words and word pairs;
+count of the prefix without its last word. Two passes count all words and all word pairs;
 longer phrases are counted only where their bound, with their largest possible count,
 still reaches the best scores found so far. What is counted in a round is the frontier:
 prefixes that a phrase above the mark can grow from, and pairs above the mark whose
@@ -53,17 +53,16 @@ def _narrow(df: DataFrame, *texts: str, rows: int = 500_000, size: int = 32 << 2
     return F.broadcast(df) if n <= rows and held <= size else df
 
 
-def counted_pairs(words: DataFrame, least: int) -> DataFrame:
-    """``(lang, a, b, n)``: pairs of neighbours and single words (b null) that occur ``least`` times, and the sum of all rarer words (a and b null).
+def counted_words(words: DataFrame, least: int) -> DataFrame:
+    """``(lang, a, n)``: words that occur ``least`` times, and the sum of all rarer ones (a null)."""
+    single = words.select("lang", F.explode("w").alias("a")).groupBy("lang", "a").agg(F.count("*").alias("n"))
+    return stored(single.groupBy("lang", F.when(F.col("n") >= least, F.col("a")).alias("a")).agg(F.sum("n").alias("n")))
 
-    One scan and one shuffle: a piece's last word is a pair with no second word, so
-    the words' counts are sums over the pairs.
-    """
-    pair = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))
-    pairs = words.select("lang", F.explode(pair).alias("p")).groupBy("lang", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
-    single = pairs.groupBy("lang", "a").agg(F.sum("n").alias("n"))
-    single = single.groupBy("lang", F.when(F.col("n") >= least, F.col("a")).alias("a")).agg(F.sum("n").alias("n"))
-    return stored(single.select("lang", "a", F.lit(None).cast("string").alias("b"), "n").unionByName(pairs.where((F.col("n") >= least) & F.col("b").isNotNull())))
+
+def counted_pairs(words: DataFrame, least: int) -> DataFrame:
+    """``(lang, a, b, n)``: pairs of neighbours that occur ``least`` times."""
+    pairs = words.select("lang", F.inline(F.arrays_zip("w", F.slice("w", F.lit(2), F.size("w"))))).toDF("lang", "a", "b").where("b is not null")
+    return pairs.groupBy("lang", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def _key(a: str, b: str) -> Column:
@@ -76,8 +75,8 @@ def _grown(words: DataFrame, frontier: DataFrame, least: int) -> DataFrame:
     The frontier meets the words by hash; where that lets another phrase in, its
     count is right too. A frontier that isn't small lets all phrases in.
     """
-    three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.struct(*[F.get("w", i + k).alias(c) for k, c in ((-1, "a"), (0, "b"), (1, "c"))]))
-    rows = words.where(F.size("w") >= LONGEST).select("lang", F.explode(three).alias("t")).select("lang", "t.*")
+    after = lambda k: F.slice("w", F.lit(k), F.size("w"))
+    rows = words.where(F.size("w") >= LONGEST).select("lang", F.inline(F.arrays_zip("w", after(2), after(3)))).toDF("lang", "a", "b", "c").where("c is not null")
     keys = frontier.groupBy(_key("a", "b").alias("key")).agg(F.max("open").alias("open"))
     if keys.count() <= FRONTIER:
         keys = F.broadcast(keys)
@@ -121,12 +120,11 @@ def collocations(docs: DataFrame, best: int = 2000, least: int = 10, cover: int
     without candidates gives no rows.
     """
     words = pieces(docs, lang_col, text_col, no_lang)
-    counts = counted_pairs(words, least)
-    single = counts.where("b is null")
+    single = counted_words(words, least)
     known = single.where("a is not null").select("lang", F.col("a").alias("w"), F.col("n").alias("f"))
     ones = _narrow(known, "w")
     one = lambda w, f: ones.select("lang", F.col("w").alias(w), F.col("f").alias(f))
-    two = counts.where("b is not null").join(one("a", "l"), ["lang", "a"]).join(one("b", "r"), ["lang", "b"])
+    two = counted_pairs(words, least).join(one("a", "l"), ["lang", "a"]).join(one("b", "r"), ["lang", "b"])
     two = stored(two.select("lang", "a", "b", "n", "l", "r", _score("n", "l", "r").alias("score"), F.expr(f"cast(n as decimal(19,0)) * {UNIT} div l").alias("bound")))
     pairs = _narrow(two.select("lang", "a", "b", "n"), "a", "b")
     pair = lambda a, b, f: pairs.select("lang", F.col("a").alias(a), F.col("b").alias(b), F.col("n").alias(f))
