@@ -136,10 +136,12 @@ def sliding_limit(events: DataFrame, limit: int, window_s: float = 60, key: str
     Rejected events don't count, so the verdict depends on all verdicts before;
     a key's events are taken in order of (ts, event_id). A pause of a window's
     length forgets all, so a key's events are cut there into parts of their own;
-    sorted parts are streamed, and a part holds ``limit`` times at most.
+    sorted parts are streamed, and a part holds ``limit`` times at most. (A key that
+    never pauses stays one part.) ``ts`` may be with or without a time zone and
+    keeps its type.
     """
     order = Window.partitionBy(key).orderBy("ts", "event_id")
-    at = F.col("ts").cast("double")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     new = F.coalesce((at - F.lag(at).over(order) >= window_s).cast("int"), F.lit(0))
     rows = events.select(key, "event_id", "ts").withColumn("__new", new).withColumn("__part", F.sum("__new").over(order)).withColumn("__at", at)
 
@@ -162,4 +164,4 @@ def sliding_limit(events: DataFrame, limit: int, window_s: float = 60, key: str
             yield pdf[[key, "event_id", "ts"]].assign(accepted=accepted, retry_after=wait)
 
     sorted_ = rows.repartition(key, "__part").sortWithinPartitions(key, "__part", "ts", "event_id")
-    return sorted_.select(key, "event_id", "ts", "__part", "__at").mapInPandas(work, f"{key} long, event_id long, ts timestamp, accepted boolean, retry_after double")
+    return sorted_.select(key, "event_id", "ts", "__part", "__at").mapInPandas(work, f"{key} long, event_id long, ts {events.schema['ts'].dataType.simpleString()}, accepted boolean, retry_after double")

@@ -19,14 +19,14 @@ CELL = 128
 SIDES = ("x1", "y1", "x2", "y2")
 
 
-def _cells(df: DataFrame, box: Box, margin: float, cell: int) -> DataFrame:
+def _cells(df: DataFrame, box: Box, margin: float | Column, cell: int) -> DataFrame:
     b = box.grow(margin)
     low = lambda v: F.floor(v / cell).cast("int")
     return df.withColumn("__gx", F.explode(F.sequence(low(b.x1), low(b.x2)))).withColumn("__gy", F.explode(F.sequence(low(b.y1), low(b.y2))))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, margin: float = 0, cell: int = CELL) -> DataFrame:
-    """Pairs of boxes of a page whose boxes touch, the left ones grown by ``margin``.
+def box_pairs(left: DataFrame, right: DataFrame, margin: float | str = 0, cell: int = CELL) -> DataFrame:
+    """Pairs of boxes of a page whose boxes touch, the left ones grown by ``margin`` (or by a column of theirs).
 
     The columns of the sides get the suffixes ``_a`` and ``_b``; ``page_id`` stays.
     Boxes turned inside out (x2 < x1 or y2 < y1) and null sides meet nothing.
@@ -34,6 +34,7 @@ def box_pairs(left: DataFrame, right: DataFrame, margin: float = 0, cell: int =
     good = "x2 >= x1 and y2 >= y1"
     a = left.where(good).select("page_id", *[F.col(c).alias(f"{c}_a") for c in left.columns if c != "page_id"])
     b = right.where(good).select("page_id", *[F.col(c).alias(f"{c}_b") for c in right.columns if c != "page_id"])
+    margin = F.col(f"{margin}_a") if isinstance(margin, str) else margin
     big, other = Box.of("_a").grow(margin), Box.of("_b")
     met = _cells(a, Box.of("_a"), margin, cell).join(_cells(b, other, 0, cell), ["page_id", "__gx", "__gy"])
     corner_x = F.floor(F.greatest(big.x1, other.x1) / cell).cast("int")

@@ -313,12 +313,6 @@ def _slots(spark, sf_dir):
     return texts, slots.pair_edges(texts, contains, column_gap=60)
 
 
-@register("pair_edges")
-def pair_edges(spark, sf_dir):
-    """Texts of one image that stand in a row or column; held against a plain loop in tests."""
-    return _slots(spark, sf_dir)[1]
-
-
 @register("size_class")
 def size_class(spark, sf_dir):
     texts, edges = _slots(spark, sf_dir)
