@@ -65,30 +65,81 @@ PLAIN = frozenset("list links link box bar wrap wrapper container area section b
 #: Elements that hold other blocks; inside the article only these are left out for their class, or for holding template text alone.
 BOXES = frozenset("div section ul ol dl table details figure fieldset".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""", re.DOTALL)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+#: What a head can hold; anything else ends one that isn't closed.
+METADATA = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The end of a tag, or one attribute with its value. No part can match in two ways, so a tag is read once.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+)""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _unwanted(name: str, attributes: str, inside: bool) -> bool:
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, dict[str, str] | None]]:
+    """Each tag and comment: (start, end, name, is it an end tag, attributes); comments have no name.
+
+    Names are in lower case, the first of two equal attributes counts. A tag
+    that the page ends in is dropped. What follows ``<`` decides: a ``<`` before anything but
+    a letter, ``/``, ``!`` or ``?`` is text. Send a place to go on from there.
+    """
+    at, size = 0, len(source)
+    while (start := source.find("<", at)) >= 0:
+        mark = source[start + 1 : start + 2]
+        end_tag = mark == "/"
+        name = _NAME.match(source, start + 1 + end_tag)
+        if name is None:
+            at = start + 1
+            if mark and mark in "!?/":
+                if source.startswith("<!--", start):
+                    short = next((x for x in ("<!-->", "<!--->") if source.startswith(x, start)), None)
+                    close = source.find("-->", start + 4)
+                    at = start + len(short) if short else close + 3 if close >= 0 else size
+                else:
+                    close = source.find(">", start + 2)
+                    at = close + 1 if close >= 0 else size
+                yield start, at, "", False, None
+            continue
+        attributes: dict[str, str] = {}
+        at = name.end()
+        if source.startswith(">", at):
+            at += 1
+            new = yield start, at, name[0].lower(), end_tag, attributes
+            at = at if new is None else new
+            continue
+        while (m := _ATTRIBUTE.match(source, at)) is not None:
+            at = m.end()
+            if m[1]:
+                break
+            value = m[3] or m[4] or m[5] or ""
+            attributes.setdefault(m[2].lower(), html.unescape(value) if "&" in value else value)
+        else:
+            yield start, size, "", False, None
+            return
+        if source[at - 2] == "/" and m.end() - m.start() > 1:
+            attributes["/"] = ""
+        new = yield start, at, name[0].lower(), end_tag, attributes
+        if new is not None:
+            at = new
+
+
+def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
     """Is an element left out with all it holds? ``inside`` an article or <main>, ids and classes of headings and paragraphs don't count."""
     if name in DROPPED:
         return True
     if not attributes or name in ("html", "body"):
         return False
-    for key, *values in _ATTR.findall(attributes):
-        key, value = key.lower(), "".join(values).lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in ROLES):
-            return True
-        if inside and key == "class" and name in BOXES:
-            for token in value.split():
-                words = [w for w in _SPLIT.split(token) if w]
-                if any(w in MARKED for w in words) and all(w in MARKED or w in PLAIN for w in words):
-                    return True
-        elif not inside and key in ("class", "id"):
-            words = _SPLIT.split(value)
-            if any(w in MARKED and not (i and words[i - 1] in LAYOUT) for i, w in enumerate(words)):
+    of = lambda key: attributes.get(key, "").strip().lower()
+    if "hidden" in attributes or of("aria-hidden") == "true" or of("role") in ROLES:
+        return True
+    if inside:
+        for token in of("class").split() if name in BOXES else ():
+            words = [w for w in _SPLIT.split(token) if w]
+            if any(w in MARKED for w in words) and all(w in MARKED or w in PLAIN for w in words):
                 return True
+        return False
+    for key in ("class", "id"):
+        words = _SPLIT.split(of(key))
+        if any(w in MARKED and not (i and words[i - 1] in LAYOUT) for i, w in enumerate(words)):
+            return True
     return False
 
 
@@ -97,30 +148,35 @@ class Page:
 
     def __init__(self, source: str):
         self.tokens: list[int] = []
-        #: (index of the block's token, kind, article, boxes, text); kind 0: outside, 1: in <main>, 2: in <article>, -1: left out
-        self.blocks: list[tuple[int, int, int, tuple, str]] = []
-        self._open: list[tuple] = []  # name, elements left out so far, kind, article, boxes in the container, path
+        #: (index of the block's token, kind, article, innermost box, text); kind 0: outside, 1: in <main>, 2: in <article>, -1: left out
+        self.blocks: list[tuple[int, int, int, int, str]] = []
+        #: The box around each box in a container; 0: none.
+        self.around: list[int] = [0]
+        self._open: list[tuple] = []  # name, elements left out so far, kind, article, innermost box in the container, path
         self._names: Counter = Counter()
-        self._articles = self._boxes = 0
+        self._articles = 0
         self._text: list[str] = []
-        at = 0
-        while (m := _TAG.search(source, at)) is not None:
-            self._add(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+        found, at, go_on = tags(source), 0, None
+        while True:
+            try:
+                start, end, name, end_tag, attributes = found.send(go_on)
+            except StopIteration:
+                break
+            self._add(source[at:start])
+            at, go_on = end, None
+            if not name:
                 continue
-            name = m[2].lower()
-            if m[1]:
+            if end_tag:
                 self._end(name)
                 continue
-            self._start(name, m[3] or "")
-            if name in RAW and not (m[3] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b", re.IGNORECASE).search(source, at)
-                if end is None:
+            self._start(name, attributes)
+            if name in RAW and "/" not in attributes:
+                close = re.compile(rf"</{re.escape(name)}\b", re.IGNORECASE).search(source, at)
+                if close is None:
                     self._text.clear()
                     at = len(source)
                     break
-                at = end.start()
+                at = go_on = close.start()
         self._add(source[at:])
         self._flush()
 
@@ -129,6 +185,8 @@ class Page:
         return xxhash.xxh64_intdigest(f"{above}/{last}") - (1 << 63)
 
     def _add(self, text: str) -> None:
+        if self._open and self._open[-1][0] == "head" and text.strip():
+            self._pop("head")
         if text and not (self._open and self._open[-1][1]):
             self._text.append(html.unescape(text))
 
@@ -136,11 +194,13 @@ class Page:
         text = " ".join("".join(self._text).split())
         self._text.clear()
         if text:
-            _, left_out, kind, article, boxes, _ = self._open[-1] if self._open else ("", 0, 0, 0, (), 0)
-            self.blocks.append((len(self.tokens), -1 if left_out else kind, article, boxes, text))
+            _, left_out, kind, article, box, _ = self._open[-1] if self._open else ("", 0, 0, 0, 0, 0)
+            self.blocks.append((len(self.tokens), -1 if left_out else kind, article, box, text))
             self.tokens.append(self._path("#" + text))
 
-    def _start(self, name: str, attributes: str) -> None:
+    def _start(self, name: str, attributes: dict[str, str]) -> None:
+        if self._names["head"] and name not in METADATA:
+            self._pop("head")
         if name not in INLINE:
             self._flush()
         if name in ENDS_P and self._names["p"]:
@@ -151,18 +211,18 @@ class Page:
                 self._pop(self._open[-1][0])
         path = self._path(name)
         self.tokens.append(path)
-        if name in VOID or attributes.endswith("/"):
+        if name in VOID or "/" in attributes:
             return
-        _, left_out, kind, article, boxes, _ = self._open[-1] if self._open else ("", 0, 0, 0, (), 0)
+        _, left_out, kind, article, box, _ = self._open[-1] if self._open else ("", 0, 0, 0, 0, 0)
         unwanted = _unwanted(name, attributes, kind > 0)
         if kind and name in BOXES:
-            self._boxes += 1
-            boxes = (*boxes[-7:], self._boxes)
+            self.around.append(box)
+            box = len(self.around) - 1
         if name == "article" and kind < 2:
             self._articles += 1
             article = self._articles
-        kind = max(kind, {"article": 2, "main": 1}.get(name, 1 if "main" in attributes and re.search(r"role\s*=\s*[\"']?main", attributes) else 0))
-        self._open.append((name, left_out + unwanted, kind, article, boxes, path))
+        kind = max(kind, {"article": 2, "main": 1}.get(name, 1 if attributes.get("role", "").strip().lower() == "main" else 0))
+        self._open.append((name, left_out + unwanted, kind, article, box, path))
         self._names[name] += 1
 
     def _end(self, name: str) -> None:
@@ -369,9 +429,13 @@ def main_text(page: Page, template: set[int], best: int | None = None, main: set
             sizes[b[2]] += len(b[4])
         chosen = [(s, b) for s, b in chosen if sizes[b[2]] >= ARTICLE_SHARE * max(sizes.values())]
     if best and best > 0:
-        own = {box for s, b in chosen if s is not None for box in b[3]}
+        own = {0}  # boxes that hold text of the page's own, with all around them
+        for box in (b[3] for s, b in chosen if s is not None):
+            while box not in own:
+                own.add(box)
+                box = page.around[box]
         if 2 * sum(len(b[4]) for s, b in chosen if s is not None) > sum(len(b[4]) for _, b in chosen):
-            chosen = [(s, b) for s, b in chosen if all(box in own for box in b[3])]
+            chosen = [(s, b) for s, b in chosen if b[3] in own]
     return " ".join(b[4] for _, b in chosen), len({s for s, _ in chosen if s is not None})
 
 

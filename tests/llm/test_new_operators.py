@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quire.llm import collocations as co
+from quire.llm import html_extract
 from quire.llm import toxicity as tox
 from quire.llm import whitening
 
@@ -170,3 +172,35 @@ def test_query_runs(spark, name):
     assert rows or name == "op12_collocations"
     if name == "op11_toxicity":
         assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<article><div style="overflow:hidden"><p>Body of the story.</p></div><p>Tail.</p></article>', "Body of the story. Tail."),
+        ('<p title="the hidden truth">Body text</p>', "Body text"),
+        ('<div data-id="menu"><p>Body</p></div>', "Body"),
+        ("<html><head><meta charset=x><body><p>Body text.</p>", "Body text."),
+        ("<head><title>T</title><p>x</p>", "x"),
+        ("a < b <3 </> <!x> c <b", "a < b <3 c"),
+        ("<p>q <!-- c --> w <!--> e", "q w e"),
+        ('<div class=nav>n</div><p hidden>h</p><p>k<br/>l</p><p a="1>2" a=hidden>m</p>', "k l m"),
+        ("<div id='&#109;enu'>x</div>y", "y"),
+    ],
+)
+def test_pages_keep_their_text(source, text):
+    assert html_extract.main_text(html_extract.Page(source), set())[0] == text
+
+
+@pytest.mark.parametrize("part", ['<b"', '<b "', "<a b='", "<b/", "<", "<!--", "</", "<div>"])
+def test_odd_pages_take_linear_time(part):
+    began = time.process_time()
+    html_extract.Page(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 30
+
+
+def test_boxes_of_any_depth_are_known():
+    deep = "<article><p>own text of the page, long enough to be the larger part</p>" + "<div>" * 12 + "<p>site</p>" + "</div>" * 12 + "</article>"
+    page = html_extract.Page(deep)
+    site = {page.tokens[at] for at, *_, text in page.blocks if text == "site"}
+    assert html_extract.main_text(page, site)[0].startswith("own text") and "site" not in html_extract.main_text(page, site)[0]
