@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quire.operators.jobs import parse_log
+from quire.operators.jobs import parse_log, retention_filter
 
 #: Milliseconds that a key's state outlives its last event.
 IDLE_MS = 7_200_000
@@ -105,6 +106,70 @@ def stream_quota(changes: DataFrame, limit: int) -> DataFrame:
     return changes.groupBy("owner_id").agg(F.sum(delta).alias("active")).withColumn("admitted", F.col("active") < limit)
 
 
+def stream_active(changes: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
+    """(owner_id, active, admitted) from status changes (owner_id, job_id, seq, status, ts); update mode.
+
+    The state of an owner is the last change of each job by ``seq``: a change that
+    comes again, or after a later one, counts for nothing. Jobs at their end are
+    forgotten when the watermark is two hours past their last change (older
+    changes are dropped as late by then), owners with their last job; jobs that
+    wait or run stay.
+    """
+
+    def kept(jobs: dict, watermark: int) -> dict:
+        return {j: x for j, x in jobs.items() if x[1] or x[2] + IDLE_MS >= watermark}
+
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, seqs, active, times = state.get if state.exists else ([], [], [], [])
+        jobs = {j: (s, a, t) for j, s, a, t in zip(ids, seqs, active, times, strict=True)}
+        watermark = state.getCurrentWatermarkMs()
+        fresh = not state.hasTimedOut
+        if fresh:
+            for pdf in batches:
+                for job, seq, status, ts in zip(pdf["job_id"], pdf["seq"], pdf["status"], pdf["ts"], strict=True):
+                    if job not in jobs or seq > jobs[job][0]:
+                        jobs[job] = (int(seq), status in ("queued", "running"), int(ts.timestamp() * 1000))
+        jobs = kept(jobs, watermark)
+        if jobs:
+            state.update((list(jobs), *([x[k] for x in jobs.values()] for k in range(3))))
+            state.setTimeoutTimestamp(max(watermark, *(x[2] for x in jobs.values())) + IDLE_MS + 1)
+        elif state.exists:
+            state.remove()
+        if fresh:
+            n = sum(x[1] for x in jobs.values())
+            yield pd.DataFrame({"owner_id": [key[0]], "active": [n], "admitted": [n < limit]})
+
+    state = "jobs array<long>, seqs array<long>, active array<boolean>, times array<long>"
+    return changes.withWatermark("ts", late).groupBy("owner_id").applyInPandasWithState(work, "owner_id long, active long, admitted boolean", state, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def sweep_batch(read_jobs: Callable[[], DataFrame], ledger: str, days: int) -> Callable[[DataFrame, int], None]:
+    """A sink of ticks (ts): each batch adds the jobs that are now too old to the ledger (id, batch), each job once.
+
+    A batch writes its own part of the ledger, and only earlier parts count as
+    swept, so a batch that runs again after a failure gives the same part.
+    """
+
+    def sweep(ticks: DataFrame, batch: int) -> None:
+        now = ticks.agg(F.max("ts")).first()[0]
+        if now is None:
+            return
+        old = retention_filter(read_jobs(), F.lit(now).cast("timestamp"), days).select("id").distinct()
+        spark = ticks.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            before = spark.read.schema(old.schema.add("batch", "long")).parquet(ledger).where(F.col("batch") < batch)
+            old = old.join(before, "id", "left_anti")
+        old.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}/batch={batch}")
+
+    return sweep
+
+
+def stream_retention(ticks: DataFrame, read_jobs: Callable[[], DataFrame], ledger: str, checkpoint: str, days: int) -> DataStreamWriter:
+    """The sweep of finished jobs older than ``days``, a run over all ticks that have come; the ledger says what to delete."""
+    return ticks.writeStream.foreachBatch(sweep_batch(read_jobs, ledger, days)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def stream_template(lines: DataFrame, least: int = 2) -> DataFrame:
     """Running repeat counts of texts: (text, pages); approximate, the batch operator decides. Update mode."""
     text = F.trim("text")
