@@ -20,11 +20,31 @@ def _millis(ts: pd.Series) -> int:
     return int(ts.max().timestamp() * 1000)
 
 
-def stream_progress(lines: DataFrame) -> DataFrame:
-    """(job_id, percent, page, lines): the last stage and the largest page so far; for update mode."""
-    rows = parse_log(lines)
-    last = F.max(F.when(F.col("percent").isNotNull(), F.struct("seq", "percent")))["percent"]
-    return rows.groupBy("job_id").agg(F.coalesce(last, F.lit(0)).alias("percent"), F.coalesce(F.max("page"), F.lit(0)).alias("page"), F.count("*").alias("lines"))
+def stream_progress(lines: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(job_id, percent, page, lines): the last stage by ``seq`` and the largest page so far; update mode.
+
+    ``lines``: job_id, seq, line, ts. A job is forgotten when event time is two
+    hours past its last line, and lines later than the watermark are dropped.
+    """
+
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, percent, page, n, newest = state.get if state.exists else (-1, 0, 0, 0, 0)
+        for pdf in batches:
+            n, newest = n + len(pdf), max(newest, _millis(pdf["ts"]))
+            staged, pages = pdf[pdf["percent"].notna()], pdf["page"].dropna()
+            if len(staged) and (last := staged.loc[staged["seq"].idxmax()])["seq"] >= at:
+                at, percent = int(last["seq"]), int(last["percent"])
+            page = max(page, int(pages.max())) if len(pages) else page
+        state.update((at, percent, page, n, newest))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + IDLE_MS)
+        yield pd.DataFrame({"job_id": [key[0]], "percent": [percent], "page": [page], "lines": [n]})
+
+    rows = parse_log(lines).withWatermark("ts", late).select("job_id", "seq", "percent", "page", "ts")
+    state = "at long, percent int, page int, n long, newest long"
+    return rows.groupBy("job_id").applyInPandasWithState(work, "job_id long, percent int, page int, lines long", state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_tail(lines: DataFrame, last: int = 200, late: str = "1 hour") -> DataFrame:
@@ -50,10 +70,36 @@ def stream_tail(lines: DataFrame, last: int = 200, late: str = "1 hour") -> Data
     return lines.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(work, "job_id long, tail string", "kept array<string>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_latest(messages: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame:
-    """The newest message of each key; update mode."""
+def stream_latest(messages: DataFrame, key: str = "id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """The newest message of each key, whenever a newer one comes; update mode.
+
+    A key's state is the time and text of its newest message; it is forgotten
+    when event time is two hours past it. Of messages of one time the one with
+    the largest text as JSON counts, in whatever order they come; those without a
+    time go.
+    """
     rest = [c for c in messages.columns if c != key]
-    return messages.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(ts)).alias("m")).select(key, "m.*")
+    body = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+    rows = messages.where(F.col(ts).isNotNull()).withWatermark(ts, late)
+    rows = rows.select(F.col(key), F.col(ts).alias("__ts"), F.to_json(F.struct(*rest), body).alias("__body"))
+    kind = messages.schema[key].dataType.simpleString()
+
+    def work(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old = tuple(state.get) if state.exists else (-1, "")
+        new = old
+        for pdf in batches:
+            newest = pdf["__ts"].max()
+            new = max(new, (newest.value // 1000, pdf.loc[pdf["__ts"] == newest, "__body"].max()))
+        state.update(new)
+        state.setTimeoutTimestamp(max(new[0] // 1000, state.getCurrentWatermarkMs()) + IDLE_MS)
+        if new != old:
+            yield pd.DataFrame({key: [k[0]], "__body": [new[1]]})
+
+    out = rows.groupBy(key).applyInPandasWithState(work, f"`{key}` {kind}, __body string", "at long, body string", "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, F.from_json("__body", messages.select(*rest).schema, body).alias("m")).select(key, "m.*")
 
 
 def stream_fanout(messages: DataFrame, jobs: DataFrame, users: DataFrame) -> DataFrame:
@@ -100,13 +146,7 @@ def stream_ratelimit(events: DataFrame, limit: int, window_s: float = 60, key: s
     return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(work, f"{key} long, event_id long, accepted boolean, retry_after double", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_quota(changes: DataFrame, limit: int) -> DataFrame:
-    """(owner_id, active, admitted) from status changes (owner_id, job_id, seq, status); update mode, two levels of state."""
-    delta = F.when(F.col("status") == "queued", 1).when(F.col("status").isin("done", "failed", "canceled"), -1).otherwise(0)
-    return changes.groupBy("owner_id").agg(F.sum(delta).alias("active")).withColumn("admitted", F.col("active") < limit)
-
-
-def stream_active(changes: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
+def stream_quota(changes: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
     """(owner_id, active, admitted) from status changes (owner_id, job_id, seq, status, ts); update mode.
 
     The state of an owner is the last change of each job by ``seq``: a change that
@@ -170,10 +210,16 @@ def stream_retention(ticks: DataFrame, read_jobs: Callable[[], DataFrame], ledge
     return ticks.writeStream.foreachBatch(sweep_batch(read_jobs, ledger, days)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def stream_template(lines: DataFrame, least: int = 2) -> DataFrame:
-    """Running repeat counts of texts: (text, pages); approximate, the batch operator decides. Update mode."""
-    text = F.trim("text")
-    return lines.where(text != "").groupBy(text.alias("text")).agg(F.approx_count_distinct("page_id").alias("pages")).where(F.col("pages") >= least)
+def stream_template(lines: DataFrame, least: int = 2, every: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Running repeat counts of texts in windows of event time: (start, text, pages); update mode.
+
+    Approximate (a sketch of the pages is all the state of a text), the batch
+    operator decides. A window's texts are forgotten when the watermark passes
+    its end. Frequent texts are counted on the map side first.
+    """
+    rows = lines.withColumn("text", F.trim("text")).where("text != ''").withWatermark("ts", late)
+    counted = rows.groupBy(F.window("ts", every).alias("w"), "text").agg(F.approx_count_distinct("page_id").alias("pages"))
+    return counted.where(F.col("pages") >= least).select(F.col("w.start").alias("start"), "text", "pages")
 
 
 def windowed_counts(events: DataFrame, every: str = "10 minutes", late: str = "30 minutes", slide: str | None = None) -> DataFrame:

@@ -87,7 +87,7 @@ def test_active_jobs_count_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
         seen = {}
         source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        q = streams.stream_active(source, 2).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+        q = streams.stream_quota(source, 2).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
         q.foreachBatch(lambda df, _: seen.update({r.owner_id: (r.active, r.admitted) for r in df.collect()})).start().awaitTermination()
         return seen
 
@@ -99,6 +99,39 @@ def test_active_jobs_count_once(spark, tmp_path):
     assert feed("d", [(1, 10, 1, "queued", at(0)), (2, 20, 2, "failed", at(901))]) == {2: (0, True)}
 
 
+def test_latest_and_progress_forget_idle_keys(spark, tmp_path):
+    at = lambda m, us=0: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(minutes=m, microseconds=us)
+
+    def feed(view, schema, name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / view.__name__ / name))
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / view.__name__))
+        out, held = [], []
+        q = view(source).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / f"{view.__name__}-cp")).trigger(availableNow=True)
+        q = q.foreachBatch(lambda df, _: out.extend(tuple(r) for r in df.collect())).start()
+        q.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        return sorted(out), held[-1]
+
+    big = 2**60 + 1
+    latest = lambda name, rows: feed(streams.stream_latest, "id string, n long, ts timestamp", name, rows)
+    got, _ = latest("a", [("x", big, at(0, 7)), ("x", 1, at(0, 6)), ("y", None, at(1)), ("z", 1, None)])
+    assert [(r[0], r[1], r[2].microsecond) for r in got] == [("x", big, 7), ("y", None, 0)]
+    # after a restart: what comes again or is older gives nothing, what is newer does
+    got, _ = latest("b", [("x", big, at(0, 7)), ("y", 5, at(2)), ("x", 3, at(0))])
+    assert [r[:2] for r in got] == [("y", 5)]
+    got, held = latest("c", [("w", 1, at(1000))])
+    assert [r[:2] for r in got] == [("w", 1)] and held == 1
+    got, _ = latest("d", [("x", 9, at(5))])
+    assert got == []
+
+    progress = lambda name, rows: feed(streams.stream_progress, "job_id long, seq long, line string, ts timestamp", name, rows)
+    assert progress("a", [(1, 5, "=== 2/4 x", at(0)), (1, 1, "=== 1/4 x", at(0)), (1, 6, "page 7: ok", at(1))])[0] == [(1, 50, 7, 3)]
+    # a stage that comes after a later one doesn't set the progress back
+    assert progress("b", [(1, 3, "=== 1/4 x", at(2)), (1, 8, "page 2: ok", at(2))])[0] == [(1, 50, 7, 5)]
+    assert progress("c", [(2, 1, None, at(1000))]) == ([(2, 0, 0, 1)], 1)
+    assert progress("d", [(1, 9, "=== 3/4 x", at(4))])[0] == []
+
+
 def test_sweep_deletes_once(spark, tmp_path):
     day = lambda n: dt.datetime(2024, 1, n, tzinfo=dt.UTC)
     done = [(1, "done", day(1)), (2, "failed", day(5)), (3, "running", None), (4, "done", day(20)), (1, "done", day(1))]
