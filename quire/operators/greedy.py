@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect
 from collections.abc import Callable, Iterator
 from itertools import product
-from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -167,71 +165,6 @@ def majority(rows: DataFrame, key: list[str], flag: str) -> DataFrame:
     return rows.join(vote, key).withColumn(flag, F.col("__vote")).drop("__vote")
 
 
-def table_detect(boxes: DataFrame, least_rows: int = 3, least_cols: int = 2, gap: float = 20, snap: float = 20, max_cv: float = 0.6, density: float = 0.6, pad: float = 8) -> DataFrame:
-    """Runs of rows that share columns: (page_id, x1, y1, x2, y2, rows, cols, cells, density, cv_rows, cv_cols).
-
-    Rows by the running mean of centres; columns by gaps of left edges; edges
-    snapped to the nearest column; rows in a row that share ``least_cols``
-    columns with all of the run so far; kept if the spacing is even and the grid
-    is filled enough.
-    """
-
-    def centre(r) -> float:
-        return (r.y1 + r.y2) / 2
-
-    def cv(values: list[float]) -> float:
-        mean = sum(values) / len(values) if values else 0.0
-        return (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5 / mean if mean > 0 else (0.0 if len(values) == 1 else float("inf"))
-
-    def found(page: list) -> Iterator[tuple]:
-        tolerance = max(8.0, 0.6 * median(r.y2 - r.y1 for r in page))
-        rows: list[list] = []
-        total = 0.0
-        for r in sorted(page, key=lambda r: (centre(r), r.x1, r.idx)):
-            if rows and abs(centre(r) - total / len(rows[-1])) <= tolerance:
-                rows[-1].append(r)
-                total += centre(r)
-            else:
-                rows.append([r])
-                total = centre(r)
-        edges = sorted(r.x1 for r in page)
-        clusters = [[edges[0]]]
-        for x in edges[1:]:
-            if x - clusters[-1][-1] > gap:
-                clusters.append([])
-            clusters[-1].append(x)
-        columns = [round(sum(c) / len(c)) for c in clusters]
-
-        def nearest(x: float) -> tuple[float, int]:
-            i = bisect(columns, x)
-            return min((abs(x - columns[j]), j) for j in (i - 1, i) if 0 <= j < len(columns))
-
-        def hits(row: list) -> set[int]:
-            return {j for d, j in (nearest(r.x1) for r in row) if d <= snap}
-
-        run: list = []
-        shared: set[int] = set()
-        for row in [*rows, None]:
-            cols = hits(row) if row else set()
-            if row and len(cols) >= least_cols and (not run or len(cols & shared) >= least_cols):
-                run.append(row)
-                shared |= cols
-                continue
-            if len(run) >= least_rows:
-                items = [r for x in run for r in x]
-                centres = [sum(map(centre, x)) / len(x) for x in run]
-                xs = sorted(columns[j] for j in shared)
-                steps = [[b - a for a, b in zip(v, v[1:])] for v in (centres, xs)]  # noqa: B905
-                fill = len(items) / (len(run) * len(shared))
-                a, b = cv(steps[0]), cv(steps[1])
-                if a <= max_cv and b <= max_cv and fill >= density:
-                    yield (page[0].page_id, min(r.x1 for r in items) - pad, min(r.y1 for r in items) - pad, max(r.x2 for r in items) + pad, max(r.y2 for r in items) + pad, len(run), len(shared), len(items), fill, a, b)
-            run, shared = ([row], cols) if row and len(cols) >= least_cols else ([], set())
-
-    schema = "page_id long, x1 double, y1 double, x2 double, y2 double, rows int, cols int, cells int, density double, cv_rows double, cv_cols double"
-    return per_page(boxes.select("page_id", "idx", "x1", "y1", "x2", "y2"), found, schema)
-
-
 def table_accept(candidates: DataFrame, cells: DataFrame, score: float = 0.5, filled: float = 0.5) -> DataFrame:
     """Candidates with a finite score of ``score``, two rows and columns, and cells that span enough of the grid.
 

@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from quire.plans import box_plans, finish_plans, scalar_plans, score_plans, slot_plans, stream_plans, text_plans  # noqa: F401
+    from quire.plans import box_plans, finish_plans, scalar_plans, score_plans, slot_plans, stream_plans, table_plans, text_plans  # noqa: F401
 
 
 _load()

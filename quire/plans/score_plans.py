@@ -251,13 +251,6 @@ def fuzzy_group(spark, sf_dir):
     return greedy.fuzzy_group(rows)
 
 
-@register("table_detect")
-def table_detect(spark, sf_dir):
-    """Grids among the words of each document; held against planted grids in tests."""
-    words = view(spark, sf_dir, "word_boxes").withColumn("idx", F.col("ln") * 100_000 + F.col("wn"))
-    return greedy.table_detect(words)
-
-
 @register(
     "propagate_confident",
     with_views("li_boxes", select=""", c as (select page_id, x1 % 5 as v, count(*) as n, min(idx) as f from li_boxes where confidence >= 0.8 group by all), m as (select page_id, arg_max(v, n * 1000 - f) as mode from c group by page_id)

@@ -84,13 +84,6 @@ def test_fuzzy_group(spark):
     assert sorted((r.idx, r.seed) for r in got.collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
 
 
-def test_table_detect_finds_a_planted_grid(spark):
-    grid = [(1, r * 10 + c, c * 100, r * 30, c * 100 + 60, r * 30 + 16) for r in range(5) for c in range(4)]
-    noise = [(1, 900, 7, 400, 50, 416), (2, 0, 0, 0, 50, 16)]
-    got = greedy.table_detect(spark.createDataFrame(grid + noise, BOX)).collect()
-    assert [(r.page_id, r.rows, r.cols, r.cells, r.x1, r.y2) for r in got] == [(1, 5, 4, 20, -8.0, 144.0)]
-
-
 def test_folds_against_loops(spark):
     rng = random.Random(5)
     rows = [(k, float(rng.randrange(300))) for k in range(6) for _ in range(rng.randint(1, 30))]
