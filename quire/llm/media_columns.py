@@ -10,6 +10,7 @@ value's type, whatever type was declared; what starts later is embedded, and
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -86,23 +87,37 @@ def _gif(b: memoryview, at: int) -> int | None:
     return None
 
 
+#: A marker in entropy-coded bytes that is neither a stuffed byte nor a restart.
+_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]")
+
+
 def _jpeg(b: memoryview, at: int) -> int | None:
-    """JPEG: marker segments up to the scan, then entropy-coded bytes up to EOI."""
+    """JPEG: marker segments and the entropy-coded bytes of scans up to EOI; a second SOI or a gap makes it invalid.
+
+    So a start without an end is read no further than the next start.
+    """
     p, scan = at + 2, False
-    while p + 4 <= len(b):
+    while p + 2 <= len(b):
         if b[p] != 0xFF:
             return None
-        kind, size = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
-        if kind in (0x00, 0xD8, 0xD9) or size < 2:
+        kind = b[p + 1]
+        if kind == 0xFF:
+            p += 1
+            continue
+        if kind == 0xD9:
+            return p + 2 - at if scan else None
+        if kind in (0x00, 0xD8) or p + 4 > len(b):
+            return None
+        size = struct.unpack_from(">H", b, p + 2)[0]
+        if size < 2:
             return None
         p += 2 + size
         if kind == 0xDA:
-            scan = True
-            break
-    if not scan:
-        return None
-    end = bytes(b[p:]).find(b"\xff\xd9")
-    return p + end + 2 - at if end >= 0 else None
+            scan, marker = True, _MARKER.search(b, p)
+            if marker is None:
+                return None
+            p = marker.start()
+    return None
 
 
 def _bmp(b: memoryview, at: int) -> int | None:
@@ -261,14 +276,19 @@ def _flac(b: memoryview, at: int) -> int | None:
     return p - at if done and done >= total else None
 
 
+_PDF_MARK = re.compile(rb"%PDF-|%%EOF")
+
+
 def _pdf(b: memoryview, at: int) -> int | None:
     """PDF: a version number, up to the last end mark before another header, as each saved change adds one."""
     if not bytes(b[at + 5 : at + 8]).replace(b".", b"").isdigit():
         return None
-    rest = bytes(b[at:])
-    following = rest.find(b"%PDF-", 5)
-    end = rest.rfind(b"%%EOF", 0, following if following >= 0 else len(rest))
-    return end + 5 if end >= 0 else None
+    end = None
+    for mark in _PDF_MARK.finditer(b, at + 5):
+        if mark.group() == b"%PDF-":
+            break
+        end = mark.end()
+    return end - at if end is not None else None
 
 
 #: Magic bytes, type and validator.
