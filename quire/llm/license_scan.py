@@ -3,7 +3,7 @@
 Templates are short license phrases. Every rolling word k-gram of every text
 is joined with the k-grams of the templates; a hit at word p of the text and
 word q of the template votes for the diagonal p - q. Diagonals next to each
-other (a word was put in or left out) merge, within a band of bounded width;
+other (a word was put in or left out) merge in overlapping bands of bounded width;
 merged spans with enough of the template's k-grams are verified by aligning the
 template's words with the span's in order. The templates are a bounded list, so
 their k-grams are broadcast. Only texts with spans are looked at again.
@@ -90,28 +90,28 @@ def _grams(array: str) -> Column:
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, least: float = 0.8, slack: int = 2) -> DataFrame:
     """Spans that the votes suggest: ``(doc, version, template, label, base, body, first, votes, share)``.
 
-    For a phrase every diagonal with all k-grams; for a notice the merged
-    diagonals that have ``least`` of its k-grams. Diagonals merge while each is
-    within ``slack`` of the one before, and those that drift apart by more than
-    ``slack`` in all are cut into bands of that width from the first on.
-    ``share`` is votes over k-grams; the text is not yet compared.
+    For a phrase every diagonal with all k-grams; for a notice the bands of
+    diagonals that have ``least`` of its k-grams. Each diagonal opens a band with
+    those up to ``slack`` behind it, so bands overlap and a stray hit before a
+    notice cannot cut it; a k-gram votes once in a band. ``share`` is votes over
+    k-grams; the text is not yet compared.
     """
     templates = _templates(docs.sparkSession, phrases, notices)
     grams = templates.select("template", F.posexplode(_grams("body")).alias("q", "gram"))
     text = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), words(F.col(text_col)).alias("ws")).where(F.size("ws") >= K)
     rolling = text.select("doc", "version", F.posexplode(_grams("ws")).alias("p", "gram"))
     hits = rolling.join(F.broadcast(grams), "gram").select("doc", "version", "template", "q", "p").distinct()
-    votes = hits.groupBy("doc", "version", "template", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("p").alias("low"), F.max("p").alias("high"))
+    votes = hits.groupBy("doc", "version", "template", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_set("q").alias("qs"), F.min("p").alias("low"), F.max("p").alias("high"))
     votes = votes.join(F.broadcast(templates), "template")
     exact = votes.where("base and votes = grams").select("doc", "version", "template", "label", "base", "body", F.col("diagonal").alias("first"), (F.col("diagonal") + F.size("body") - 1).alias("last"), "votes", F.lit(1.0).alias("share"))
-    of = Window.partitionBy("doc", "version", "template").orderBy("diagonal")
-    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(of) > slack).cast("int"), F.lit(0))
-    merged = votes.where("not base").withColumn("new", new).withColumn("chain", F.sum("new").over(of))
-    drift = F.col("diagonal") - F.min("diagonal").over(Window.partitionBy("doc", "version", "template", "chain"))
-    merged = merged.withColumn("band", F.floor(drift / (slack + 1)))
-    merged = merged.groupBy("doc", "version", "template", "label", "base", "body", "grams", "chain", "band").agg(F.sum("votes").alias("votes"), F.min("low").alias("first"), (F.max("high") + K - 1).alias("last"))
-    merged = merged.withColumn("share", F.least(F.col("votes") / F.col("grams"), F.lit(1.0))).where(F.col("share") >= least)
-    return exact.unionByName(merged.drop("grams", "chain", "band"))
+    band = Window.partitionBy("doc", "version", "template").orderBy("diagonal").rangeBetween(0, slack)
+    seen = F.size(F.array_distinct(F.flatten(F.collect_list("qs").over(band))))
+    merged = votes.where("not base").select(
+        "doc", "version", "template", "label", "base", "body", F.min("low").over(band).alias("first"), (F.max("high").over(band) + K - 1).alias("last"),
+        seen.cast("long").alias("votes"), (seen / F.col("grams")).alias("share"),
+    )
+    merged = merged.where(F.col("share") >= least)
+    return exact.unionByName(merged)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, least: float = 0.8, slack: int = 2) -> DataFrame:
@@ -122,7 +122,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stand in a row, ``first_word`` and ``last_word`` are the smallest and largest
     start of these (words from 0), ``labels`` also has those of the notices.
     ``score`` is the largest share of a template's k-grams in a verified span,
-    ``spans`` lists the verified spans as (label, first, last, share).
+    ``spans`` lists the verified spans as (label, first, last, share); a notice with
+    words put in may be there by more than one band.
 
     A span is verified when the words of a phrase stand there one by one, or
     when at least ``least`` of a notice's words are found in the span in order,
@@ -157,5 +158,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         label(base).alias("base_labels"),
         label(F.col("held")).alias("labels"),
         F.coalesce(F.array_max(F.transform("held", lambda s: s["share"])), F.lit(0.0)).alias("score"),
-        F.array_sort(F.transform("held", lambda s: F.struct(s["label"].alias("label"), s["first"].cast("long").alias("first"), s["last"].cast("long").alias("last"), s["share"].alias("share")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.transform("held", lambda s: F.struct(s["label"].alias("label"), s["first"].cast("long").alias("first"), s["last"].cast("long").alias("last"), s["share"].alias("share"))))).alias("spans"),
     )

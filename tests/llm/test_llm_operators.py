@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -346,17 +347,10 @@ def plain_licenses(text, least=0.8, slack=2):
             for q, h in enumerate(grams):
                 if g == h:
                     votes.setdefault(p - q, []).append(p)
-        bands, last, first = [], None, None
-        for d in sorted(votes):
-            if last is None or d - last > slack:
-                first = d
-            key = (first, (d - first) // (slack + 1))
-            if not bands or bands[-1][0] != key:
-                bands.append((key, []))
-            bands[-1][1].extend(votes[d])
-            last = d
-        for _, places in bands:
-            share = min(len(places) / len(grams), 1.0)
+        for d in votes:
+            near = {e: votes[e] for e in votes if d <= e <= d + slack}
+            places = [p for ps in near.values() for p in ps]
+            share = len({p - e for e, ps in near.items() for p in ps}) / len(grams)
             if share < least:
                 continue
             span, at, n = ws[min(places) : max(places) + 2], 0, 0
@@ -372,6 +366,27 @@ def plain_licenses(text, least=0.8, slack=2):
     return len(ws), len(base), min(starts, default=None), max(starts, default=None), ",".join(labels), ",".join(sorted({*labels, *found})), max([*shares, *[1.0 for _ in base]])
 
 
+def test_a_stray_hit_cuts_no_notice(spark):
+    mit = next(n for n, label in license_scan.NOTICES.items() if label == "mit").split()
+    put_in = [*mit[:9], "very", *mit[9:]]
+    texts = [" ".join(x) for x in (put_in, ["permission", "is", *put_in], ["permission", "is", "so", *put_in, *mit])]
+    got = license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["mit"] * 3 and all(r.score > 0.9 for r in got)
+    assert len({(s.first // 10, s["last"] // 10) for s in got[2].spans}) >= 2
+
+
+def test_media_marks_without_ends_take_linear_time():
+    began = time.time()
+    assert media_columns.sniff(b"%PDF-1.4 " * 200_000) == []
+    start = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02data"
+    assert media_columns.sniff(start * 100_000) == []
+    assert time.time() - began < 20
+    pdf = b"%PDF-1.4 x %%EOF y %%EOF"
+    assert media_columns.sniff(b"%PDF-1.7 " + pdf + b" %PDF-1.4") == [(9, len(pdf), "application/pdf")]
+    jpeg = start + b"\xff\x00\xff\xd0more\xff\xc4\x00\x04\xff\xd9\xff\xda\x00\x02rest\xff\xff\xd9"
+    assert media_columns.sniff(start + jpeg + b"tail") == [(len(start), len(jpeg), "image/jpeg")]
+
+
 def test_licenses_against_a_plain_loop(spark):
     rng = random.Random(9)
     phrases = [*license_scan.PHRASES, *license_scan.NOTICES]
