@@ -101,9 +101,10 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), words(F.col(text_col)).alias("ws")).where(F.size("ws") >= K)
     rolling = text.select("doc", "version", F.posexplode(_grams("ws")).alias("p", "gram"))
     hits = rolling.join(F.broadcast(grams), "gram").select("doc", "version", "template", "q", "p").distinct()
-    votes = hits.groupBy("doc", "version", "template", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_set("q").alias("qs"), F.min("p").alias("low"), F.max("p").alias("high"))
+    votes = hits.groupBy("doc", "version", "template", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.min("p").alias("low"), F.max("p").alias("high"))
     votes = votes.join(F.broadcast(templates), "template")
-    exact = votes.where("base and votes = grams").select("doc", "version", "template", "label", "base", "body", F.col("diagonal").alias("first"), (F.col("diagonal") + F.size("body") - 1).alias("last"), "votes", F.lit(1.0).alias("share"))
+    # both branches need the same columns of the votes, so that the texts are read once
+    exact = votes.where("base and size(qs) = grams").select("doc", "version", "template", "label", "base", "body", F.col("low").alias("first"), (F.col("high") + K - 1).alias("last"), F.size("qs").cast("long").alias("votes"), F.lit(1.0).alias("share"))
     band = Window.partitionBy("doc", "version", "template").orderBy("diagonal").rangeBetween(0, slack)
     seen = F.size(F.array_distinct(F.flatten(F.collect_list("qs").over(band))))
     merged = votes.where("not base").select(
