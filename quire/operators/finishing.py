@@ -15,7 +15,7 @@ from quire.functions.text import strip, visible
 from quire.operators.greedy import per_page
 from quire.operators.islands import avg2_cluster, gap_cluster, median_cluster
 from quire.operators.slots import size_class
-from quire.session import stored
+from quire.session import dropped, stored
 
 #: Marks that a label of a stack or a table cell doesn't hold, and those that a compact Latin label doesn't.
 SENTENCE_MARKS = "，。！？；;,:："
@@ -80,39 +80,40 @@ def table_like_scopes(members: DataFrame, key: list[str], least_rows: int = 3) -
     return rows.where(F.col("rows") >= least_rows).select(*key)
 
 
-def table_column_snap(texts: DataFrame, contains: DataFrame, reach: float = 34, max_scopes: int = 64) -> DataFrame:
+def table_column_snap(texts: DataFrame, contains: DataFrame, reach: float = 34) -> DataFrame:
     """(page_id, idx, x1, new_x): labels in a column of a table-like scope take the column's modal left edge.
 
     ``texts``: page_id, idx, x1, y1, x2, y2, label (may be a cell's label);
     ``contains``: (page_id, text_idx, container_idx, area). Scopes go from the
     smallest; what a scope has aligned, larger ones leave alone, so the n-th
-    table-like scopes of all pages make one round. A page with more than
-    ``max_scopes`` of them fails the job.
+    table-like scopes of all pages make one round. Only scopes with the three
+    labels that a column needs count. There are as many rounds as the page with
+    most of them has; each reads the labels that no round before has aligned.
     """
     box = Box.of()
     rows = texts.select("page_id", "idx", F.col("x1").cast("double").alias("x"), box.width.cast("double").alias("w"), box.height.cast("double").alias("h"), box.cy.cast("double").alias("cy"), "label")
     of = contains.select("page_id", F.col("text_idx").alias("idx"), F.col("container_idx").alias("scope"), "area")
     members = rows.join(of, ["page_id", "idx"])
     scopes = table_like_scopes(members, ["page_id", "scope"])
-    open_ = members.where("label").join(scopes, ["page_id", "scope"])
-    open_ = stored(open_.withColumn("rank", F.dense_rank().over(Window.partitionBy("page_id").orderBy("area", "scope"))))
-    last = open_.agg(F.max("rank")).first()[0] or 0
-    if last > max_scopes:
-        raise ValueError(f"{last} table-like scopes on a page; the bound is {max_scopes}")
-    aligned: list[DataFrame] = []
-    for k in range(1, last + 1):
-        here = open_.where(F.col("rank") == k)
-        if aligned:
-            here = here.join(reduce(DataFrame.unionByName, aligned).select("page_id", "idx"), ["page_id", "idx"], "left_anti")
+    labels = members.where("label").join(scopes, ["page_id", "scope"])
+    enough = labels.groupBy("page_id", "scope").agg(F.count("*").alias("n")).where("n >= 3").select("page_id", "scope")
+    left = labels.join(enough, ["page_id", "scope"])
+    left = stored(left.withColumn("rank", F.dense_rank().over(Window.partitionBy("page_id").orderBy("area", "scope"))))
+    aligned: DataFrame | None = None
+    for k in range(1, (left.agg(F.max("rank")).first()[0] or 0) + 1):
+        here = left.where(F.col("rank") == k)
         found = _column_targets(here.select("page_id", "scope", "idx", "x", "w", "h", "cy"), ["page_id", "scope"], reach)
         off = F.abs(F.col("x") - F.col("target"))
         found = found.withColumn("new_x", F.when((off <= reach) & (off >= 0.15), F.col("target")).otherwise(F.col("x")))
         moved = F.max((F.col("new_x") != F.col("x")).cast("int")).over(Window.partitionBy("page_id", "scope", "column"))
-        aligned.append(stored(found.withColumn("moved", moved).where("moved = 1").groupBy("page_id", "idx").agg(F.min_by("new_x", "scope").alias("new_x"))))
-    if not aligned:
+        new = stored(found.withColumn("moved", moved).where("moved = 1").groupBy("page_id", "idx").agg(F.min_by("new_x", "scope").alias("new_x")))
+        was, aligned = aligned, new if aligned is None else stored(aligned.unionByName(new))
+        old, left = left, stored(left.where(F.col("rank") > k).join(new.select("page_id", "idx"), ["page_id", "idx"], "left_anti"))
+        dropped(old, was, new if was is not None else None)
+    dropped(left)
+    if aligned is None:
         return texts.select("page_id", "idx", "x1", F.col("x1").cast("double").alias("new_x"))
-    new = reduce(DataFrame.unionByName, aligned)
-    return texts.join(new, ["page_id", "idx"], "left").select("page_id", "idx", "x1", F.coalesce("new_x", F.col("x1").cast("double")).alias("new_x"))
+    return texts.join(aligned, ["page_id", "idx"], "left").select("page_id", "idx", "x1", F.coalesce("new_x", F.col("x1").cast("double")).alias("new_x"))
 
 
 def reliability(text: Column, box: Box) -> Column:

@@ -3,43 +3,88 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.graph import components
 from quire.session import cut
 
 
-def greedy_suppress(rows: DataFrame, conflicts: DataFrame, key: list[str], priority: list[str]) -> DataFrame:
+def greedy_suppress(rows: DataFrame, conflicts: DataFrame, key: list[str], priority: list[str], rounds: int = 3, held: int = 100_000) -> DataFrame:
     """Rows that a greedy pass by priority keeps: a row stays unless it conflicts with one kept before.
 
     ``conflicts``: pairs (key_a, key_b) of ``rows``, in any direction;
-    ``priority`` orders ascending and must be unique with the key. Rounds of
-    local winners: a row without an undecided conflict of higher priority stays,
-    and its neighbours go. The same set as the sequential pass. The rounds go on
-    until all is decided; each decides one row at least, most decide nearly all.
+    ``priority`` orders ascending and must be unique with the key. The same set
+    as the sequential pass. ``rounds`` rounds of local winners come first: a row
+    without an undecided conflict of higher priority stays, and its neighbours
+    go; they decide nearly all, hubs of any size among them. What is left, such
+    as chains of falling priority, is cut into components, and those of at most
+    ``held`` conflicts are passed in order of priority, each in one task. Larger
+    components go on with rounds, until all is decided.
     """
     rank = F.struct(*priority, *key)
     nodes = rows.select(*key, rank.alias("rank")).distinct()
     ka, kb = [f"{k}_a" for k in key], [f"{k}_b" for k in key]
     both = conflicts.select(*ka, *kb).union(conflicts.select(*kb, *ka)).distinct()
     named = lambda suffix: nodes.select(*[F.col(k).alias(f"{k}{suffix}") for k in key], F.col("rank").alias(f"rank{suffix}"))
-    edges = cut(both.join(named("_a"), ka).join(named("_b"), kb).where("rank_a < rank_b").select(*ka, *kb))  # a goes before b
-    open_ = cut(edges.select(*[F.col(f"{k}_a").alias(k) for k in key]).union(edges.select(*[F.col(f"{k}_b").alias(k) for k in key])).distinct())
-    gone = None
-    while True:
-        beaten = edges.select(*[F.col(f"{k}_b").alias(k) for k in key]).distinct()
-        won = cut(open_.join(beaten, key, "left_anti"))
-        lost = cut(edges.join(won.select(*[F.col(k).alias(f"{k}_a") for k in key]), ka, "left_semi").select(*[F.col(f"{k}_b").alias(k) for k in key]).distinct())
-        gone = lost if gone is None else gone.union(lost)
-        decided = won.union(lost)
-        open_ = cut(open_.join(decided, key, "left_anti"))
-        drop = lambda e, ks: e.join(decided.select(*[F.col(k).alias(n) for k, n in zip(key, ks, strict=True)]), ks, "left_anti")  # noqa: B023,E731
-        edges = cut(drop(drop(edges, ka), kb))
-        if not open_.limit(1).count():
-            return rows.join(gone, key, "left_anti")
+    ends = lambda e: e.select(*[F.col(f"{k}_a").alias(k) for k in key]).union(e.select(*[F.col(f"{k}_b").alias(k) for k in key])).distinct()
+    edges = cut(both.join(named("_a"), ka).join(named("_b"), kb).where("rank_a < rank_b").select(*ka, *kb, "rank_b"))  # a goes before b
+    open_ = cut(ends(edges))
+    gone: list[DataFrame] = []
+    while open_.limit(1).count():
+        for _ in range(rounds):
+            beaten = edges.select(*[F.col(f"{k}_b").alias(k) for k in key]).distinct()
+            won = cut(open_.join(beaten, key, "left_anti"))
+            lost = cut(edges.join(won.select(*[F.col(k).alias(f"{k}_a") for k in key]), ka, "left_semi").select(*[F.col(f"{k}_b").alias(k) for k in key]).distinct())
+            gone.append(lost)
+            decided = won.union(lost)
+            open_ = cut(open_.join(decided, key, "left_anti"))
+            drop = lambda e, ks: e.join(decided.select(*[F.col(k).alias(n) for k, n in zip(key, ks, strict=True)]), ks, "left_anti")  # noqa: B023,E731
+            edges = cut(drop(drop(edges, ka), kb))
+            if not edges.limit(1).count():  # whoever is open is beaten by nobody
+                return rows.join(reduce(DataFrame.union, gone), key, "left_anti")
+        lost, edges = _settled(edges, key, held)
+        gone.append(lost)
+        open_ = cut(ends(edges))
+    return rows.join(reduce(DataFrame.union, gone), key, "left_anti") if gone else rows
+
+
+def _settled(edges: DataFrame, key: list[str], held: int) -> tuple[DataFrame, DataFrame]:
+    """Keys that lose in the components of at most ``held`` edges, and the edges of the other components.
+
+    Nodes are known by a hash while components are sought: two keys of one hash
+    only join their components. In order of the later node, the earlier one of an
+    edge is always decided before.
+    """
+    ka, kb = [f"{k}_a" for k in key], [f"{k}_b" for k in key]
+    hashed = edges.select("*", F.xxhash64(*ka).alias("__src"), F.xxhash64(*kb).alias("__dst"))
+    label = components(hashed, "__src", "__dst")
+    placed = hashed.join(label, hashed["__src"] == label["node"], "left").select(*edges.columns, F.coalesce("component", "__src").alias("__component"))
+    placed = cut(placed)
+    sizes = placed.groupBy("__component").agg((F.count("*") <= held).alias("__fits"))
+    placed = cut(placed.join(sizes, "__component"))
+    n = len(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, lost = None, set()
+        for batch in batches:
+            out = []
+            for c, *pair in batch.itertuples(index=False, name=None):
+                if c != component:
+                    component, lost = c, set()
+                a, b = tuple(pair[:n]), tuple(pair[n:])
+                if a not in lost and b not in lost:
+                    lost.add(b)
+                    out.append(b)
+            yield pd.DataFrame(out, columns=key)
+
+    schema = ", ".join(f"`{k}` {edges.schema[f'{k}_b'].dataType.simpleString()}" for k in key)
+    dealt = placed.where("__fits").repartition("__component").sortWithinPartitions("__component", "rank_b").select("__component", *ka, *kb)
+    return cut(dealt.mapInPandas(run, schema)), placed.where("not __fits").select(*edges.columns)
 
 
 def per_page(df: DataFrame, work: Callable[[list], Iterator[tuple]], schema: str, key: str = "page_id") -> DataFrame:

@@ -49,6 +49,16 @@ def test_greedy_suppress_is_the_sequential_pass(spark):
     assert sorted((r.page_id, r.idx) for r in got.collect()) == sorted(k[:2] for k in kept)
 
 
+@pytest.mark.parametrize("n, held", [(10_000, 100_000), (18, 4)])
+def test_greedy_suppress_of_falling_chains(spark, n, held):
+    """Every box conflicts with the next one: each second stays, also where a component is too long for one task."""
+    chains = [("a", i) for i in range(n)] + [("b", i) for i in range(7)] + [("c", 0)]
+    df = spark.createDataFrame([(p, i, i) for p, i in chains], "page string, idx long, order long")
+    links = df.select(F.col("page").alias("page_a"), F.col("idx").alias("idx_a"), F.col("page").alias("page_b"), (F.col("idx") + 1).alias("idx_b"))
+    got = greedy.greedy_suppress(df, links, ["page", "idx"], ["order"], rounds=2, held=held)
+    assert sorted((r.page, r.idx) for r in got.collect()) == sorted((p, i) for p, i in chains if i % 2 == 0)
+
+
 def test_components_follow_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 70)] + [(100, 101), (102, 101), (101, 101), (5, 5), (None, 3)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
