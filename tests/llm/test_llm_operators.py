@@ -339,11 +339,11 @@ def plain_licenses(text, least=0.8, slack=2):
     for phrase, label in license_scan.PHRASES.items():
         body = phrase.split()
         base += [(i, label) for i in range(len(ws)) if ws[i : i + len(body)] == body]
-    for notice, label in license_scan.NOTICES.items():
-        body = notice.split()
-        grams = list(zip(body, body[1:]))  # noqa: B905
+    licenses = [(re.findall(r"[a-z0-9]+", t.lower()), label, 4) for label, t in license_scan.LICENSES.items()]
+    for body, label, k in [(n.split(), label, 2) for n, label in license_scan.NOTICES.items()] + licenses:
+        grams = [body[i : i + k] for i in range(len(body) - k + 1)]
         votes = {}
-        for p, g in enumerate(zip(ws, ws[1:])):  # noqa: B905
+        for p, g in enumerate(ws[i : i + k] for i in range(len(ws) - k + 1)):
             for q, h in enumerate(grams):
                 if g == h:
                     votes.setdefault(p - q, []).append(p)
@@ -353,7 +353,7 @@ def plain_licenses(text, least=0.8, slack=2):
             share = len({p - e for e, ps in near.items() for p in ps}) / len(grams)
             if share < least:
                 continue
-            span, at, n = ws[min(places) : max(places) + 2], 0, 0
+            span, at, n = ws[min(places) : max(places) + k], 0, 0
             for w in body:
                 near = span[at : at + slack + 2]
                 if w in near:
@@ -387,6 +387,17 @@ def test_media_marks_without_ends_take_linear_time():
     assert media_columns.sniff(start + jpeg + b"tail") == [(len(start), len(jpeg), "image/jpeg")]
 
 
+def test_a_text_without_anchors_holds_no_template():
+    """Taking the anchors out of a template leaves fewer k-grams than a span needs."""
+    bodies = license_scan._bodies(license_scan.PHRASES, license_scan.NOTICES, license_scan.LICENSES)
+    need = license_scan.anchors(bodies, 0.8)
+    assert 0 < len(need) <= license_scan.MAX_ANCHORS and not license_scan.COMMON & set(need)
+    for _, body, _, base, k in bodies:
+        grams = [body[i : i + k] for i in range(len(body) - k + 1)]
+        left = sum(not set(g) & set(need) for g in grams)
+        assert left < len(grams) if base else left / len(grams) < 0.8
+
+
 def test_licenses_against_a_plain_loop(spark):
     rng = random.Random(9)
     phrases = [*license_scan.PHRASES, *license_scan.NOTICES]
@@ -402,6 +413,13 @@ def test_licenses_against_a_plain_loop(spark):
                 rng.shuffle(body)
             ws += body + rng.choices(["a", "License", "cc", "by", "K", "é"], k=rng.randrange(5))
         texts.append(rng.choice([" ", ", ", "\n"]).join(ws))
+    for text in license_scan.LICENSES.values():
+        for often in (0, 1, 3, 8):  # words left out, put in or changed
+            body = text.split()
+            for _ in range(often):
+                at = rng.randrange(len(body))
+                body[at : at + rng.choice([0, 1])] = rng.choice([[], ["x"], ["The"]])
+            texts += ["Copyright 2001 N. N.\n" + " ".join(body) + "\nend", " ".join(body[: len(body) // 2])]
     texts += ["cc by " * 60 + "nc", "word " * 200_000]
     got = {r.doc_id: tuple(r)[1:8] for r in license_scan.license_scan(docs(spark, texts)).collect()}
     assert {i: plain_licenses(t) for i, t in enumerate(texts)} == {i: (*r[:6], r[6]) for i, r in got.items()}
