@@ -174,7 +174,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grams = reduce(DataFrame.union, [templates.where(F.col("k") == k).select("template", F.inline(_grams("body", k)).alias("q", "gram")) for k in (K, LONG_K)])
     text = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     if len(need := anchors(bodies, least)) <= MAX_ANCHORS:
-        text = text.where(ascii_lower(F.col("text")).rlike(f"(?<![a-z0-9])(?:{'|'.join(need)})(?![a-z0-9])"))
+        text = text.where(ascii_lower(F.col("text")).rlike(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, need))})(?![a-z0-9])"))
     # places and hashes of both lengths come from one pass over the words
     rolling = text.select("doc", "version", words(F.col("text")).alias("ws")).select("doc", "version", F.inline(F.concat(_grams("ws", K), _grams("ws", LONG_K))))
     hits = rolling.join(F.broadcast(grams), "gram").select("doc", "version", "template", "q", "p").distinct()
