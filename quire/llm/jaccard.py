@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.graph import components
-from quire.session import dropped, small, stored
+from quire.session import TEXT_ROWS, dropped, small, stored
 
 #: A token that more sets than this hold, as far as they gave it, is frequent.
 LONG_LIST = 64
@@ -222,7 +222,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         texts = texts.withColumn("row_id", F.col("doc_id"))
     texts = texts.select("row_id", "text", "doc_id")
-    sets = stored(texts.mapInArrow(_emit(ngram, num, den), "row_id long, doc_id long, n long, k1 long, k2 long, toks array<long>"))
+    sets = stored(texts.mapInArrow(_emit(ngram, num, den), "row_id long, doc_id long, n long, k1 long, k2 long, toks array<long>"), batch=TEXT_ROWS)
     filled = sets.where("n > 0 and doc_id is not null")
     equal = stored(filled.groupBy("k1", "k2", "n").agg(F.min("row_id").alias("set_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     once, single = filled, texts
@@ -289,7 +289,7 @@ def _counted(texts: DataFrame, chosen: DataFrame, ngram: int, num: int, den: int
             dropped(*spent)
             return out
         rows = texts.withColumnRenamed("row_id", "set_id").join(small(short), "set_id").select("set_id", "text", "n", "at", "upto")
-        more = stored(rows.mapInArrow(_stretch(ngram), "set_id long, n long, at long, toks array<long>"))
+        more = stored(rows.mapInArrow(_stretch(ngram), "set_id long, n long, at long, toks array<long>"), batch=TEXT_ROWS)
         fresh = stored(_listed([more]).groupBy("tok").agg(F.count("*").alias("cnt")))
         before = _listed(parts).join(small(fresh.select("tok")), "tok").groupBy("tok").agg(F.count("*").alias("cnt"))
         both = before.unionByName(fresh).groupBy("tok").agg(F.sum("cnt").alias("cnt")).where("cnt > 1")
@@ -479,7 +479,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int)
     """The pairs (src, dst) that link, verified on whole sets; stored."""
     pairs = stored(pairs.distinct())
     ids = stored(pairs.select(F.col("src").alias("set_id")).union(pairs.select("dst")).distinct())
-    sets = stored(_read_sets(texts, ids, ngram))
+    sets = stored(_read_sets(texts, ids, ngram), batch=TEXT_ROWS)
     a = sets.select(F.col("set_id").alias("src"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("set_id").alias("dst"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))

@@ -18,7 +18,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import sentencepiece
@@ -29,8 +29,10 @@ from quire.llm.schemas import extended
 
 #: The word mark that stands for a space.
 MARK = "▁"
-#: Parts in the cache of a worker, at most.
-CACHE_PARTS = 600_000
+#: Parts in the cache of a worker, at most; some 350 bytes each.
+CACHE_PARTS = 100_000
+#: Parts that stay when the cache is full or a task ends: those seen first, which are mostly the frequent ones.
+KEPT_PARTS = 30_000
 #: Texts encoded at a time, so that what a batch adds to the cache is bounded.
 BLOCK_CHARS = 2_000_000
 #: Longest part kept in the cache.
@@ -116,7 +118,7 @@ class Codec:
     def learn(self, parts: set[str]) -> dict[str, tuple[str, str]]:
         """``(ids joined by commas, decoded part)`` of each part, from the cache or new in it."""
         if len(self.seen) + len(parts) > CACHE_PARTS:
-            self.seen = {}
+            self.trim()
         new = [p for p in parts if p not in self.seen]
         ids = [self.merge(p) for p in new]
         if self.lib is not None:
@@ -132,6 +134,10 @@ class Codec:
             if len(p) > CACHE_CHARS:
                 self.seen.pop(p, None)
 
+    def trim(self) -> None:
+        """Keep the parts seen first; a worker that has no more texts to encode is used by other stages."""
+        self.seen = dict(islice(self.seen.items(), KEPT_PARTS))
+
     def compare(self, parts: list[str], ids: list[list[int]]) -> None:
         """Raise unless the library gives the same ids; it adds a word mark, which parts without one go without."""
         dummy = self.ids[MARK]
@@ -263,6 +269,7 @@ def sentencepiece_encode(docs: DataFrame, model: str, text_col: str = "text", ch
                 ids = pa.array([[int(i) for i in r[1].split(",")] if r[1] else [] for r in rows], pa.list_(pa.int32()))
                 columns = [part.column(part.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*columns, ids, pa.array([r[2] for r in rows], pa.string())], [*keep, "ids", "decoded"])
+        c.trim()
 
     source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = extended(docs.select(*keep), "ids array<int>, decoded string")
@@ -282,9 +289,12 @@ def sentencepiece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, check)
         for batch in batches:
-            rows = [(n, digest(ids), digest(text)) for n, ids, text in _encoded(batch.column(1).to_pylist(), c)]
-            n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                rows = [(n, digest(ids), digest(text)) for n, ids, text in _encoded(part.column(1).to_pylist(), c)]
+                n, ids, text = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.trim()
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = extended(source.select("doc_id"), "n_tokens long, ids_sha256 string, decoded_sha256 string")
