@@ -5,6 +5,7 @@ import pyarrow as pa
 from quire.llm import queries
 from quire.llm import quality_classifier as qc
 from quire.llm import sentencepiece_codec as sp
+from quire.llm import toxicity as tox
 from quire.session import TEXT_ROWS, batches_of, stored
 
 
@@ -39,3 +40,28 @@ def test_codec_cache_is_trimmed_and_ids_stay(monkeypatch):
     first = list(c.seen)[:10]
     c.trim()
     assert list(c.seen) == first
+
+
+def test_toxicity_takes_texts_apart_in_blocks(monkeypatch):
+    monkeypatch.setattr(tox, "BLOCK", 50)
+    texts = ["a" * 20, None, "b" * 30, "", "c" * 200, "é" * 20, "d" * 11, "e"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(tox._blocks(iter([batch.slice(0, 0), batch, batch.slice(5)]), 1))
+    assert sum((p.column(0).to_pylist() for p in parts), []) == [*range(24), *range(5, 24)]
+    size = lambda p: sum(len((t or "").encode()) for t in p.column(1).to_pylist())
+    assert all(size(p) <= 50 or p.num_rows == 1 or size(p) == 200 for p in parts) and min(map(len, parts)) > 0
+
+
+def test_counts_of_blocks_add_up_to_those_of_a_batch(monkeypatch):
+    texts = [f"word{i % 7} common word{i % 3}x" for i in range(60)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % len(tox._TAUGHT) for i in range(len(texts))], pa.int32())], ["text", "kind"])
+
+    def summed():
+        made = [b for b in tox._count(tox.ORDER)(iter([batch]))]
+        table = pa.Table.from_batches(made).group_by(["size", "opens", "gram", "tail", "head"]).aggregate([(c, "sum") for c in tox._SUMS])
+        return len(made), sorted(map(tuple, (r.values() for r in table.to_pylist())))
+
+    whole, counts = summed()
+    monkeypatch.setattr(tox, "BLOCK", 200)
+    blocks, again = summed()
+    assert blocks > whole and again == counts
