@@ -21,8 +21,9 @@ are joined:
 Lists of frequent tokens may be long, so they are not paired off. A star first
 measures each unit against one centre, and what it joins is one component.
 Outside the list's largest component, groups of units with the same size and
-number of frequent tokens are compared first, and only groups that could hold a
-link between components are expanded to units. Both counts bound what two units
+number of frequent tokens left from the list's token on are compared first, and
+only groups that could hold a link between components are expanded to units. In
+the list of the first token that two units share, both counts bound what they
 may share, so this loses no link between components.
 """
 
@@ -389,36 +390,39 @@ def _common_links(common: DataFrame, links: DataFrame, label: DataFrame, num: in
     units = stored(keyed.groupBy("n", "hot", "alone").agg(F.min("set_id").alias("unit"), F.count("*").alias("members")))
     several = units.where("members > 1").select("n", "hot", "unit")
     links = stored(links.union(keyed.where("alone is null").join(several, ["n", "hot"]).where("set_id <> unit").select(F.col("unit").alias("src"), F.col("set_id").alias("dst"))))
-    listed = units.select("unit", "n", held.alias("h"), F.explode(F.slice("hot", F.lit(1), width - F.col("n").cast("int") + F.size("hot"))).alias("key"))
-    listed = stored(listed.join(listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key").select("key", "unit", "n", "h"))
+    listed = units.select("unit", "n", held.alias("h"), F.posexplode(F.slice("hot", F.lit(1), width - F.col("n").cast("int") + F.size("hot"))).alias("pos", "key"))
+    listed = listed.withColumn("r", F.col("h") - F.col("pos"))
+    listed = stored(listed.join(listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key").select("key", "unit", "n", "h", "r"))
     rows = listed.count()
     sets = units.select("unit", "n", "hot")
     centre = listed.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("h"), F.xxhash64("unit"), "unit", "n", "h")).alias("top")).select("key", *_as("top.", "a"))
     for k in range(STAR_ROUNDS + 1):
-        star = listed.select("key", *_as("", "b")).join(small(centre), "key").where(_could(num, den)).where("unita <> unitb")
+        star = listed.select("key", *_as("", "b")).join(small(centre), "key").where(_could("h", num, den)).where("unita <> unitb")
         links = stored(links.union(_alike(sets, star, num, den, rows)))
         label = _settled(links)
         now = stored(listed.join(label.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")), rows)
         main = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
         now = stored(now.join(small(stored(main, rows)), "key").withColumn("inside", F.col("component") == F.col("main")).drop("main"), rows)
-        # groups of equal counts first: could they hold a link between components?
-        groups = stored(now.groupBy("key", "n", "h", "inside").agg(F.count("*").alias("c")), rows)
-        a = groups.where("not inside").select("key", F.col("n").alias("na"), F.col("h").alias("ha"), F.col("c").alias("ca"))
-        b = groups.select("key", F.col("n").alias("nb"), F.col("h").alias("hb"), F.col("c").alias("cb"), F.col("inside").alias("insideb"))
-        itself = (F.col("na") == F.col("nb")) & (F.col("ha") == F.col("hb")) & ~F.col("insideb") & (F.col("cb") == 1)
-        open_ = stored(a.join(b, "key").where(_could(num, den)).where(~itself))
+        # groups of equal counts first: could they hold a link between components, if this is the first token shared?
+        groups = stored(now.groupBy("key", "n", "r", "inside").agg(F.count("*").alias("c")), rows)
+        a = groups.where("not inside").select("key", F.col("n").alias("na"), F.col("r").alias("ra"), F.col("c").alias("ca"))
+        b = groups.select("key", F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb"), F.col("inside").alias("insideb"))
+        itself = (F.col("na") == F.col("nb")) & (F.col("ra") == F.col("rb")) & ~F.col("insideb")
+        once = F.col("insideb") | (F.struct("na", "ra") <= F.struct(F.col("nb").alias("na"), F.col("rb").alias("ra")))
+        open_ = stored(a.join(b, "key").where(_could("r", num, den)).where(once & ~(itself & (F.col("cb") == 1))))
         # where few are open, expanding them is in proportion
         spent = [now, groups, open_, label]
         if k == STAR_ROUNDS or (open_.agg(F.sum(F.col("ca") * F.col("cb"))).first()[0] or 0) <= 2 * rows:
             break
-        outside = now.where("not inside").join(open_.select("key", F.col("na").alias("n"), F.col("ha").alias("h")).distinct(), ["key", "n", "h"])
+        ends = open_.select("key", F.col("na").alias("n"), F.col("ra").alias("r")).union(open_.where("not insideb").select("key", "nb", "rb")).distinct()
+        outside = now.where("not inside").join(ends, ["key", "n", "r"])
         centre = stored(outside.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("h"), F.xxhash64("unit", F.lit(k)), "unit", "n", "h")).alias("top")).select("key", *_as("top.", "a")), rows)
         dropped(*spent)
 
-    outside = now.where("not inside").select("key", *_as("", "a"), F.col("component").alias("ka"))
-    partner = open_.select("key", "na", "ha", "nb", "hb", "insideb")
-    ends = now.select("key", *_as("", "b"), F.col("component").alias("kb"), F.col("inside").alias("insideb"))
-    rest = outside.join(partner, ["key", "na", "ha"]).join(ends, ["key", "nb", "hb", "insideb"]).where("ka <> kb")
+    outside = now.where("not inside").select("key", *_as("", "a"), F.col("r").alias("ra"), F.col("component").alias("ka"))
+    partner = open_.select("key", "na", "ra", "nb", "rb", "insideb")
+    ends = now.select("key", *_as("", "b"), F.col("r").alias("rb"), F.col("component").alias("kb"), F.col("inside").alias("insideb"))
+    rest = outside.join(partner, ["key", "na", "ra"]).join(ends, ["key", "nb", "rb", "insideb"]).where("ka <> kb")
     more = stored(_alike(sets, rest, num, den))
     if not more.limit(1).count():
         return links, label
@@ -430,9 +434,9 @@ def _as(prefix: str, suffix: str) -> list[Column]:
     return [F.col(f"{prefix}{c}").alias(f"{c}{suffix}") for c in ("unit", "n", "h")]
 
 
-def _could(num: int, den: int) -> Column:
-    """Could units overlap enough by their frequent tokens alone?"""
-    return (num + den) * F.least("ha", "hb") >= num * (F.col("na") + F.col("nb"))
+def _could(held: str, num: int, den: int) -> Column:
+    """Could units overlap enough by their frequent tokens alone? ``held``: all of these (h), or those left from the shared one on (r)."""
+    return (num + den) * F.least(f"{held}a", f"{held}b") >= num * (F.col("na") + F.col("nb"))
 
 
 def _alike(sets: DataFrame, pairs: DataFrame, num: int, den: int, rows: int | None = None) -> DataFrame:

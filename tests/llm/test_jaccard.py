@@ -157,3 +157,16 @@ def test_words_of_any_length_have_hashes_of_their_own(spark):
     rows = [(10 * i + j, w) for i, pair in enumerate(words) for j, w in enumerate(pair)] + [(30 + k, "a" * k) for k in range(7, 18)]
     got = jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), ngram=4, num=85, den=100).collect()
     assert all(r.component_id == r.doc_id and r.n_shingles == 1 for r in got)
+
+
+def test_lists_of_late_tokens_need_no_stars(spark, monkeypatch):
+    """Units that share tokens, but too late in their lists to link, make no open pairs; one pair links."""
+    rounds, plain = [], jaccard._settled
+    monkeypatch.setattr(jaccard, "_settled", lambda links: (rounds.append(1), plain(links))[1])
+    own = lambda i: [1000 * i + j for j in range(14)]
+    rng = random.Random(5)
+    hot = [[*own(i), *sorted(rng.sample(range(10**7, 10**7 + 120), 86))] for i in range(200)]
+    hot.append([*hot[7][:-2], 10**8, 10**8 + 1])
+    common = spark.createDataFrame([(i, 100, h) for i, h in enumerate(hot)], "set_id long, n long, hot array<long>")
+    links, _ = jaccard._common_links(common, spark.createDataFrame([], "src long, dst long"), None, 80, 100)
+    assert {tuple(r) for r in links.collect()} == {(7, 200)} and len(rounds) <= 2
