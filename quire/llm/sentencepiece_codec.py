@@ -29,9 +29,11 @@ from quire.llm.schemas import extended
 
 #: The word mark that stands for a space.
 MARK = "▁"
-#: Parts in the cache of a worker, at most; some 350 bytes each.
-CACHE_PARTS = 100_000
-#: Parts that stay when the cache is full or a task ends: those seen first, which are mostly the frequent ones.
+#: Parts in the cache of a worker, at most; some 300 bytes each.
+CACHE_PARTS = 200_000
+#: Share of them, in percent, that stays when the cache is full: those seen first, which are mostly the frequent ones.
+KEPT_SHARE = 60
+#: Parts that stay when a task ends.
 KEPT_PARTS = 30_000
 #: Texts encoded at a time, so that what a batch adds to the cache is bounded.
 BLOCK_CHARS = 2_000_000
@@ -61,7 +63,8 @@ class Codec:
             raise ValueError(f"{model}: only merge vocabularies with byte fallback, word marks in front and a dummy prefix are read")
         self.split = _splitter(several)
         self.lib = lib if check else None
-        self.seen: dict[str, tuple[str, str]] = {}
+        self.seen: dict[str, str] = {}
+        self.changed: dict[str, str] = {}  # decoded parts that differ from what was encoded
 
     def merge(self, part: str) -> list[int]:
         """The ids of one part, by the agenda of its adjacent pairs."""
@@ -115,28 +118,35 @@ class Codec:
         """The parts of a normalised text: a word mark in front, and one for each space."""
         return self.split.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, parts: set[str]) -> dict[str, tuple[str, str]]:
-        """``(ids joined by commas, decoded part)`` of each part, from the cache or new in it."""
+    def learn(self, parts: set[str]) -> dict[str, str]:
+        """The ids of each part, joined by commas, from the cache or new in it."""
         if len(self.seen) + len(parts) > CACHE_PARTS:
-            self.trim()
+            self.trim(CACHE_PARTS * KEPT_SHARE // 100)
         new = [p for p in parts if p not in self.seen]
         ids = [self.merge(p) for p in new]
         if self.lib is not None:
             self.compare(new, ids)
         for p, x in zip(new, ids, strict=True):
-            back = self.decode_part(x)
-            self.seen[p] = (",".join(map(str, x)), p if back == p else back)  # one string for both, mostly
+            self.seen[p] = ",".join(map(str, x))
+            if (back := self.decode_part(x)) != p:
+                self.changed[p] = back
         return self.seen
 
+    def decoded(self, parts: list[str]) -> str:
+        """The text that the ids of learnt parts decode to."""
+        return _plain("".join([self.changed.get(p, p) for p in parts] if self.changed else parts))
+
     def forget(self, parts: list[str]) -> None:
         """Keep long parts out of the cache."""
         for p in parts:
             if len(p) > CACHE_CHARS:
                 self.seen.pop(p, None)
+                self.changed.pop(p, None)
 
-    def trim(self) -> None:
-        """Keep the parts seen first; a worker that has no more texts to encode is used by other stages."""
-        self.seen = dict(islice(self.seen.items(), KEPT_PARTS))
+    def trim(self, keep: int | None = None) -> None:
+        """Keep the parts seen first, by default few; a worker that has no more texts to encode is used by other stages."""
+        self.seen = dict(islice(self.seen.items(), KEPT_PARTS if keep is None else keep))
+        self.changed = {p: back for p, back in self.changed.items() if p in self.seen}
 
     def compare(self, parts: list[str], ids: list[list[int]]) -> None:
         """Raise unless the library gives the same ids; it adds a word mark, which parts without one go without."""
@@ -243,9 +253,8 @@ def _encoded(texts: list[str | None], c: Codec) -> Iterator[tuple[int, str, str]
         cut = [c.parts(t) for t in block]
         got = c.learn(set(chain.from_iterable(cut)))
         for parts in cut:
-            ids, text = zip(*map(got.__getitem__, parts), strict=True) if parts else ((), ())
-            ids = ",".join(ids)
-            yield ids.count(",") + bool(ids), ids, _plain("".join(text))
+            ids = ",".join(map(got.__getitem__, parts))
+            yield ids.count(",") + bool(ids), ids, c.decoded(parts)
         for parts in cut:
             c.forget(parts)
 

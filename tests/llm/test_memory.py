@@ -6,7 +6,7 @@ from quire.llm import queries
 from quire.llm import quality_classifier as qc
 from quire.llm import sentencepiece_codec as sp
 from quire.llm import toxicity as tox
-from quire.session import TEXT_ROWS, batches_of, stored
+from quire.session import PART_ROWS, TEXT_ROWS, batches_of, compiled_from, stored
 
 
 def test_text_batches_are_bounded_inside_only(spark):
@@ -65,3 +65,28 @@ def test_counts_of_blocks_add_up_to_those_of_a_batch(monkeypatch):
     monkeypatch.setattr(tox, "BLOCK", 200)
     blocks, again = summed()
     assert blocks > whole and again == counts
+
+
+def test_full_codec_cache_keeps_most_and_decodes_alike(monkeypatch):
+    """Of a full cache three parts in five stay, so that frequent ones aren't learnt again; texts still decode to the library's."""
+    monkeypatch.setattr(sp, "CACHE_PARTS", 100)
+    monkeypatch.setattr(sp, "KEPT_PARTS", 5)
+    c, learnt, merge = sp.Codec(queries.model_file()), [], sp.Codec.merge
+    monkeypatch.setattr(sp.Codec, "merge", lambda self, p: (learnt.append(p), merge(self, p))[1])
+    common = " ".join(f"word{i}x" for i in range(12))
+    for i in range(40):
+        text = f"{common} new{i}a new{i}b �▁ é日\x00"
+        (n, ids, back), lib = next(sp._encoded([text], c)), c.lib.encode(text)
+        assert ids == ",".join(map(str, lib)) and n == len(lib) and back == c.lib.decode(lib)
+    assert len(learnt) == len(set(learnt)) and len(c.seen) <= 100
+
+
+def test_small_tables_are_not_compiled(spark):
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key)
+    with compiled_from(spark, 10):
+        assert spark.conf.get(key) == "false"
+    for rows in (None, PART_ROWS):
+        with compiled_from(spark, rows):
+            assert spark.conf.get(key) == before
+    assert spark.conf.get(key) == before and stored(spark.range(5), 5).count() == 5
