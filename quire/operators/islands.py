@@ -198,6 +198,15 @@ def mode_in_group(df: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def coeff_var(df: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Population deviation over mean; infinite where the mean isn't positive."""
-    mean = F.avg(value)
-    return df.groupBy(*key).agg(F.when(mean > 0, F.stddev_pop(value) / mean).otherwise(F.lit(float("inf"))).alias("cv"), F.count("*").alias("n"))
+    """Population deviation over mean; infinite where the mean isn't positive.
+
+    Squares of whole numbers (int or shorter) are summed exactly: the deviation
+    then doesn't hang on the order in which rows and partial sums meet.
+    """
+    mean, spread = F.avg(value), F.stddev_pop(value)
+    if df.schema[value].dataType.simpleString() in ("tinyint", "smallint", "int"):
+        v, n = F.col(value).cast("long"), F.count(value).cast("decimal(12,0)")
+        total = F.sum(v).cast("decimal(19,0)")
+        squares = (n * F.sum((v * v).cast("decimal(19,0)")) - total * total).cast("double")
+        spread = F.sqrt(squares / F.count(value) / F.count(value))
+    return df.groupBy(*key).agg(F.when(mean > 0, spread / mean).otherwise(F.lit(float("inf"))).alias("cv"), F.count("*").alias("n"))
