@@ -8,6 +8,7 @@ from quire.functions.geometry import Box
 from quire.operators import greedy, graph, islands, jobs, quality, slots, spatial
 from quire.plans.catalogue import register
 from quire.plans.views import view, with_views
+from quire.session import stored
 
 _NOW, _PREV = "(select * from scores where year = 1996)", "(select * from scores where year = 1995)"
 _COMPARE = f"""t as (select n.fixture, n.composite as now, p.composite as prev, p.fixture is not null as old, n.n % 7 <> 0 as ok,
@@ -189,8 +190,8 @@ _OVER = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(
 _PAIRS = f"from li_boxes a join li_boxes b on a.page_id = b.page_id and a.idx < b.idx and {_OVER} > 0"
 
 
-def _overlaps(spark, sf_dir):
-    boxes = view(spark, sf_dir, "li_boxes")
+def _overlaps(spark, sf_dir, boxes=None):
+    boxes = view(spark, sf_dir, "li_boxes") if boxes is None else boxes
     a, b = Box.of("_a"), Box.of("_b")
     from quire.functions.geometry import intersection
 
@@ -220,7 +221,7 @@ def components(spark, sf_dir):
 @register("greedy_suppress")
 def greedy_suppress(spark, sf_dir):
     """Boxes that a pass by area keeps; held against a plain loop in tests."""
-    boxes, pairs = _overlaps(spark, sf_dir)
+    boxes, pairs = _overlaps(spark, sf_dir, stored(view(spark, sf_dir, "li_boxes").select("page_id", "idx", *spatial.SIDES)))
     rows = boxes.withColumn("order", -Box.of().area)
     both = pairs.select(F.col("page_id").alias("page_id_a"), "idx_a", F.col("page_id").alias("page_id_b"), "idx_b")
     return greedy.greedy_suppress(rows, both, ["page_id", "idx"], ["order"]).select("page_id", "idx")
