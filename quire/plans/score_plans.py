@@ -302,8 +302,9 @@ def hist_corr(spark, sf_dir):
 
 def _slots(spark, sf_dir):
     """Texts with a style, a size and a weight, and the classes of those in one column of an image."""
-    texts = view(spark, sf_dir, "li_boxes").where("kind = 'text'").withColumns({"style": F.lit(0), "size": F.col("y2") - F.col("y1"), "bold": F.col("idx") % 2 == 0, "align": F.element_at(F.array(F.lit("left"), F.lit("right")), (F.col("x1") % 2 + 1).cast("int"))})
-    contains = spatial.containment_join(texts, view(spark, sf_dir, "li_boxes").where("kind = 'image'"))
+    boxes = stored(view(spark, sf_dir, "li_boxes").select("page_id", "idx", "kind", *spatial.SIDES))
+    texts = boxes.where("kind = 'text'").withColumns({"style": F.lit(0), "size": F.col("y2") - F.col("y1"), "bold": F.col("idx") % 2 == 0, "align": F.element_at(F.array(F.lit("left"), F.lit("right")), (F.col("x1") % 2 + 1).cast("int"))})
+    contains = spatial.containment_join(texts, boxes.where("kind = 'image'"))
     return texts, slots.pair_edges(texts, contains, column_gap=60)
 
 
