@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,11 +18,13 @@ from quire.functions.text import strip, visible
 from quire.operators.greedy import per_page
 from quire.operators.islands import avg2_cluster, gap_cluster, median_cluster
 from quire.operators.slots import size_class
-from quire.session import dropped, stored
+from quire.session import TEXT_ROWS, dropped, stored
 
 #: Marks that a label of a stack or a table cell doesn't hold, and those that a compact Latin label doesn't.
 SENTENCE_MARKS = "，。！？；;,:："
 LABEL_MARKS = SENTENCE_MARKS + "、/\\()（）[]{}<>《》"
+#: What ``visible`` doesn't count.
+_SPACES = re.compile(r"[ \t\n\x0b\f\r]")
 #: Columns that clearing takes away again.
 ANNOTATIONS = ("class_idx", "new_size", "new_x1", "new_x", "reasons", "style_table_column_x", "inferred")
 #: Emission order of the kinds of elements.
@@ -157,6 +162,92 @@ def colour_snap(r: Column, g: Column, b: Column, line: tuple[Column, Column, Col
 _RUN = "array<struct<text:string,r:int,g:int,b:int>>"
 
 
+def _near(x: tuple, y: tuple, tolerance: int) -> bool:
+    """Are all channels known and within ``tolerance``?"""
+    return all(p is not None and q is not None and abs(p - q) <= tolerance for p, q in zip(x, y, strict=True))
+
+
+def _same(x: tuple, y: tuple) -> bool | None:
+    """SQL's equality of all channels: None if it hangs on an unknown one."""
+    known = [p == q for p, q in zip(x, y, strict=True) if p is not None and q is not None]
+    return False if not all(known) else True if len(known) == len(x) else None
+
+
+def _line_runs(colours: list[tuple], starts: list[int], seen: list[int], whole: list[bool], line: tuple, tolerance: int) -> tuple[list[int], list[tuple]]:
+    """(starts, colours) of the runs of a line, given as stretches of one colour.
+
+    ``seen``: visible characters of each stretch; ``whole``: no character is null.
+    """
+    runs: list[list] = []
+    for colour, start, n, known in zip(colours, starts, seen, whole, strict=True):
+        last = runs[-1] if runs else None
+        if last and (colour[0] is None or last[0][0] is None or _near(colour, last[0], tolerance)):
+            last[0] = colour if last[0][0] is None else last[0]
+            last[2] += n
+            last[3] &= known
+        else:
+            runs.append([colour, start, n, known])
+    at: list[int] = []
+    out: list[tuple] = []
+    for colour, start, n, known in runs:
+        colour = tuple(v if v is not None else w for v, w in zip(colour, line, strict=True))
+        noise = known and n < 2 and _same(colour, line) is False
+        if out and (noise or _same(colour, out[-1])):
+            continue
+        at.append(start)
+        out.append(line if noise else colour)
+    return at, out
+
+
+def _fuzzy_runs(chars: pa.Array, r: pa.Array, g: pa.Array, b: pa.Array, tolerance: int) -> pa.Array:
+    """The runs of a batch of lines. Characters are only compared and counted as whole columns; Python goes from one change of colour to the next."""
+    flat = chars.flatten()
+    n = len(flat)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(chars), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    parts = dict(zip(("ch", *"rgb"), flat.flatten(), strict=True))
+    sides = [parts[k].cast(pa.int64()) for k in "rgb"]
+    # unknown channels differ from all known values
+    codes = [pc.fill_null(v, np.iinfo(np.int64).min).to_numpy() for v in sides]
+    change = np.zeros(n, bool)
+    for v in codes:
+        change[1:] |= v[1:] != v[:-1]
+    change[ends[:-1][ends[:-1] < n]] = True
+    # colours known in part are near none, not even themselves
+    valid = [v.is_valid().to_numpy(zero_copy_only=False) for v in sides]
+    change |= valid[0] & ~(valid[1] & valid[2])
+    starts = np.flatnonzero(change)
+    kinds = parts["ch"].dictionary_encode()
+    width = np.array([0 if c is None else len(_SPACES.sub("", c)) for c in kinds.dictionary.to_pylist()] or [0])
+    lost = parts["ch"].is_null().to_numpy(zero_copy_only=False)
+    visible_ = np.where(lost, 0, width[pc.fill_null(kinds.indices, 0).to_numpy()])
+    seen = np.add.reduceat(visible_, starts).tolist() if n else []
+    whole = (~np.logical_or.reduceat(lost, starts)).tolist() if n else []
+    colours = list(zip(*[v.take(starts).to_pylist() for v in sides], strict=True))
+    first = np.searchsorted(starts, ends).tolist()
+    starts = starts.tolist()
+
+    at: list[int] = []
+    found: list[tuple] = []
+    sizes = [0]
+    for i, line in enumerate(zip(r.to_pylist(), g.to_pylist(), b.to_pylist(), strict=True)):
+        p, q = first[i], first[i + 1]
+        if p < q:
+            where, what = _line_runs(colours[p:q], starts[p:q], seen[p:q], whole[p:q], line, tolerance)
+            at += where
+            found += what
+        sizes.append(len(at))
+    # a run's text is a stretch of the characters, which stand one after the other already
+    ch = parts["ch"].cast(pa.large_string())
+    places = np.frombuffer(ch.buffers()[1], np.int64, n + 1, ch.offset * 8) if n else np.zeros(1, np.int64)
+    cuts = np.array([*at, n], np.int64)
+    whole_runs = ~np.logical_or.reduceat(lost, cuts[:-1]) if at else np.zeros(0, bool)
+    mask = pa.py_buffer(np.packbits(whole_runs, bitorder="little").tobytes())
+    text = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(places[cuts].tobytes()), ch.buffers()[2] if n else pa.py_buffer(b""), mask).cast(pa.string())
+    channels = [pa.array([c[k] for c in found], pa.int32()) for k in range(3)]
+    runs = pa.StructArray.from_arrays([text, *channels], names=["text", *"rgb"])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), runs, mask=chars.is_null())
+
+
 def fuzzy_rle(lines: DataFrame, key: list[str], tolerance: int = 40) -> DataFrame:
     """(key, runs): neighbouring characters of like colour as runs.
 
@@ -164,32 +255,20 @@ def fuzzy_rle(lines: DataFrame, key: list[str], tolerance: int = 40) -> DataFram
     known), and the line's colour ``r, g, b``. A character joins the run while
     within ``tolerance`` of its first colour; without a colour it joins anyhow.
     Runs of another colour than the line's with fewer than two visible
-    characters go to the run before, or take the line's colour. One fold over
-    the characters of a line.
+    characters go to the run before, or take the line's colour. Linear in the
+    characters of a line: Arrow batches are folded from one change of colour to
+    the next.
     """
-    last = lambda acc: F.element_at(acc, -1)
-    head = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-    run = lambda text, c: F.array(F.struct(text.alias("text"), c["r"].cast("int").alias("r"), c["g"].cast("int").alias("g"), c["b"].cast("int").alias("b"))).cast(_RUN)
-
-    def step(acc: Column, c: Column) -> Column:
-        near = reduce(lambda x, y: x & y, [F.abs(c[k] - last(acc)[k]) <= tolerance for k in "rgb"])
-        joins = F.coalesce((F.size(acc) > 0) & (c["r"].isNull() | last(acc)["r"].isNull() | near), F.lit(False))
-        colour = F.when(last(acc)["r"].isNull(), F.struct(*[c[k].alias(k) for k in "rgb"])).otherwise(F.struct(*[last(acc)[k].alias(k) for k in "rgb"]))
-        return F.when(joins, F.concat(head(acc), run(F.concat(last(acc)["text"], c["ch"]), colour))).otherwise(F.concat(acc, run(c["ch"], c))).cast(_RUN)
-
-    line = F.struct("r", "g", "b")
-    runs = F.aggregate("chars", F.array().cast(_RUN), step)
-    known = F.transform("runs", lambda x: F.struct(x["text"].alias("text"), *[F.coalesce(x[k], F.col(k)).cast("int").alias(k) for k in "rgb"]).alias("x"))
-
-    def clean(acc: Column, x: Column) -> Column:
-        other = ~reduce(lambda p, q: p & q, [x[k] == F.col(k) for k in "rgb"])
-        noise = other & (visible(x["text"]) < 2)
-        same = reduce(lambda p, q: p & q, [x[k] == last(acc)[k] for k in "rgb"])
-        joins = (F.size(acc) > 0) & F.coalesce(noise | same, F.lit(False))
-        return F.when(joins, F.concat(head(acc), run(F.concat(last(acc)["text"], x["text"]), last(acc)))).when(noise, run(x["text"], line)).otherwise(F.concat(acc, F.array(x))).cast(_RUN)
-
-    folded = lines.withColumn("runs", runs).withColumn("runs", known.cast(_RUN))
-    return folded.select(*key, F.aggregate("runs", F.array().cast(_RUN), clean).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXT_ROWS):
+                some = batch.slice(at, TEXT_ROWS)
+                runs = _fuzzy_runs(*[some.column(c) for c in ("__chars", "__r", "__g", "__b")], tolerance)
+                yield pa.RecordBatch.from_arrays([*[some.column(k) for k in key], runs], names=[*key, "runs"])
+
+    schema = ", ".join(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in key)
+    return lines.select(*key, *[F.col(c).alias(f"__{c}") for c in ("chars", *"rgb")]).mapInArrow(run, f"{schema}, runs {_RUN}")
 
 
 def style_cells(cells: DataFrame) -> DataFrame:

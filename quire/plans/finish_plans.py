@@ -104,7 +104,7 @@ def colour_snap(spark, sf_dir):
 @register("fuzzy_rle")
 def fuzzy_rle(spark, sf_dir):
     """Whole lines as runs of like colour, capitals and digits coloured; held against a plain loop in tests."""
-    char = lambda c: F.struct(c.alias("ch"), *[F.when(c == " ", None).when(c.rlike("[A-Z]"), v).when(c.rlike("[0-9]"), v + 30).otherwise(20).cast("int").alias(k) for k, v in (("r", 200), ("g", 60), ("b", 60))])
+    char = lambda c: F.struct(c.alias("ch"), *[F.when(c == " ", None).when(c.between("A", "Z"), v).when(c.between("0", "9"), v + 30).otherwise(20).cast("int").alias(k) for k, v in (("r", 200), ("g", 60), ("b", 60))])
     chars = F.transform(F.filter(F.split("line", ""), lambda c: c != ""), char)
     lines = view(spark, sf_dir, "lines").select("doc_id", "ln", chars.alias("chars"), F.lit(20).alias("r"), F.lit(20).alias("g"), F.lit(20).alias("b"))
     return finishing.fuzzy_rle(lines, ["doc_id", "ln"])
